@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Separators of words: space and the five ASCII controls 0x09 to 0x0D.  Everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -64,3 +65,38 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet")
+
+
+#: Blocks in which rows of a group are numbered or summed up one by one.
+BLOCKS = 512
+
+
+def number_within(rows: DataFrame, group: str, by: list[str], name: str) -> DataFrame:
+    """Adds ``name`` (long): the place of a row among those of its ``group``, gapless from 0, in an order that ``by`` fixes.
+
+    A group is cut into blocks by a hash of ``by``; each block is numbered by itself and starts where the blocks before
+    it end, so no task holds a whole group.  Rows equal in ``by`` follow each other in any order.  There must be few
+    groups (one row for each group and block is broadcast).
+    """
+    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(*by), F.lit(BLOCKS)).cast("int"))
+    counts = blocked.groupBy(group, "__block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = blocked.withColumn("__row", F.row_number().over(Window.partitionBy(group, "__block").orderBy(*by)))
+    joined = numbered.join(F.broadcast(starts), [group, "__block"])
+    return joined.select(*[F.col(c) for c in rows.columns], (F.col("__start") + F.col("__row") - 1).cast("long").alias(name))
+
+
+def running_total(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
+    """Adds ``name`` (long): the sum of ``value`` over the rows before this one, in an order that ``by`` (unique) fixes.
+
+    As ``number_within``: blocks are summed first, then each block's rows start at its sum.
+    """
+    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(by), F.lit(BLOCKS)).cast("int"))
+    sums = blocked.groupBy("__block").agg(F.sum(value).alias("__n"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inner = Window.partitionBy("__block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    summed = blocked.withColumn("__sum", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    joined = summed.join(F.broadcast(starts), "__block")
+    return joined.select(*[F.col(c) for c in rows.columns], (F.col("__start") + F.col("__sum")).cast("long").alias(name))

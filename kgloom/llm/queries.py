@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, quality, sharding, urls
+from . import common, exact, mixing, packing, quality, sharding, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -16,6 +16,25 @@ MIX_WEIGHTS = [5, 2, 1]
 MIX_EPOCHS = 3
 
 
+PACK_WINDOW = 4096
+PACK_END = 2
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer's file lies on this machine; only the driver opens it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return digest_pieces(packing.pack(common.documents(spark, folder).select("doc_id", "text"), tokenizer_path(), PACK_WINDOW, PACK_END))
+
+
+def digest_pieces(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.documents(spark, folder).select("doc_id", "lang", "text")
     metrics = common.materialise(quality.with_metrics(docs).drop("text"), "metrics")
@@ -48,7 +67,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("group")
     )
     placed = sharding.assign_shards(common.materialise(rows, "sizes"), SHARDS, "group", "size")
-    slots = sharding.number_slots(placed, ["doc_id", "group", "size"])
+    slots = common.number_within(placed, "shard", ["doc_id", "group", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -87,6 +106,7 @@ FROM g WINDOW w AS (PARTITION BY t)
 
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
         "op3_quality": op3_quality,
         "op4_urls": op4_urls,
         "op5_sharding": op5_sharding,

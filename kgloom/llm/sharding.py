@@ -13,7 +13,6 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise
 
@@ -21,8 +20,6 @@ from .common import materialise
 HEAVY = 64
 #: Levels of bundles, and bundles of each level for each shard.
 LEVELS, BUNDLES = 14, 8
-#: Blocks of a shard in which slots are numbered.
-SLOT_BLOCKS = 512
 
 
 def least_loaded(sizes: list[tuple[object, int]], shards: int) -> dict[object, int]:
@@ -66,19 +63,3 @@ def _bundle(key: str, shards: int) -> Column:
     for i in reversed(range(LEVELS - 1)):
         level = F.when(F.getbit(spread, F.lit(i)) == 0, F.lit(i)).otherwise(level)
     return F.concat_ws(":", level.cast("string"), F.pmod(F.shiftrightunsigned(spread, LEVELS), F.lit(shards * BUNDLES)).cast("string"))
-
-
-def number_slots(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with ``slot`` (long): gapless from 0 within each ``shard``, in an order that ``by`` fixes.
-
-    A shard is cut into blocks by a hash of ``by``; each block is numbered by itself and starts where the blocks
-    before it end, so no task holds a whole shard.  Rows that are equal in ``by`` follow each other in any order.
-    """
-    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(*by), F.lit(SLOT_BLOCKS)).cast("int"))
-    counts = blocked.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy("shard", "__block").orderBy(*by)
-    numbered = blocked.withColumn("__row", F.row_number().over(inner))
-    joined = numbered.join(F.broadcast(starts), ["shard", "__block"])
-    return joined.select(*[F.col(c) for c in rows.columns], (F.col("__start") + F.col("__row") - 1).cast("long").alias("slot"))
