@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, packing, quality, sharding, urls
+from . import common, exact, mixing, near, packing, quality, sharding, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -104,6 +104,10 @@ FROM g WINDOW w AS (PARTITION BY t)
 """
 
 
+def op10_near(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(common.documents(spark, folder).select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -112,6 +116,7 @@ def queries() -> dict:
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
         "op8_exact": op8_exact,
+        "op10_near": op10_near,
     }
 
 
