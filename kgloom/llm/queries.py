@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, near, packing, quality, sharding, urls
+from . import common, exact, mixing, near, packing, quality, sharding, substring, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -92,6 +92,13 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size
 """
 
 
+REPEAT_WORDS = 50
+
+
+def op7_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(common.documents(spark, folder).select("doc_id", "text"), REPEAT_WORDS)
+
+
 def op8_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(common.documents(spark, folder).select("doc_id", "text"))
 
@@ -115,6 +122,7 @@ def queries() -> dict:
         "op4_urls": op4_urls,
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
+        "op7_substring": op7_substring,
         "op8_exact": op8_exact,
         "op10_near": op10_near,
     }
