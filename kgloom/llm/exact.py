@@ -198,3 +198,10 @@ def exact_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id")
     groups = materialise(rest.groupBy("digest").agg(F.max(F.struct("id", "rid")).alias("top"), F.count("*").alias("group_size")), "groups")
     joined = rest.join(groups, "digest").select("id", "digest", F.col("top.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"))
     return alone.unionByName(joined).select(F.col("id").alias(order), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that ``exact_duplicates`` doesn't keep."""
+    kept = exact_duplicates(docs, text, order).where("kept").select(F.xxhash64(order, "text_sha256").alias("__row"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(order), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return keyed.join(materialise(kept, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -174,14 +174,14 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the operator ---------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id", with_row: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``order``, n_shingles, component_id, kept.
 
     Documents are linked when their sets are similar enough; ``component_id`` is the smallest ``order`` reachable by
     links, the row itself included, and ``kept`` says whether it is the row's own.  Texts without words (null and
     empty ones too) are linked with nothing.  Repeated rows have equal sets and so share a component; both are kept
     if they also share the smallest ``order``.  Null orders count as larger than all others.  An empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read.  ``with_row`` adds ``row``, the 64-bit hash of ``order`` and ``text``.
     """
     kind = docs.schema[order].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -220,8 +220,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id")
     joined = materialise(joined, "labels")
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     final = materialise(joined.join(least, "component").select("key", "component_id"), "classes")
-    out = base.select("id", "n", "key").join(final, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select(F.col("id").alias(order), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = base.select("id", "row", "n", "key").join(final, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    return out.select(F.col("id").alias(order), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *["row"] * with_row)
+
+
+def drop_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` doesn't keep; of rows equal in order and text one stays."""
+    kept = near_duplicates(docs, text, order, with_row=True).where("kept").select(F.col("row").alias("__row"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(order), F.col(text)))
+    return keyed.join(materialise(kept, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def _likely(pairs: DataFrame, own: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, near, packing, quality, sharding, substring, urls
+from . import chat, common, exact, html, mixing, near, packing, quality, sharding, substring, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -35,6 +35,43 @@ def digest_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+CHAT_SCHEMAS = {
+    "ask": {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False},
+}
+
+
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn that isn't the assistant's is a call of ``ask``; the assistant's next turn is its result.
+
+    A call depends on the call two turns before it.
+    """
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    name = lambda shift: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + shift).cast("string"))
+    calls = turns.where("role <> 'assistant'").select(
+        "conv_id", name(0).alias("call_id"), F.col("turn").alias("position"), F.lit("ask").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.array(name(-2)).alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", name(-1).alias("call_id"), F.col("text").alias("content"))
+    linked = chat.link_tool_calls(calls, results, CHAT_SCHEMAS)
+    return linked.select("conv_id", "call_id", "position", "level", "status", "n_results", F.size("errors").cast("long").alias("n_errors"), F.sha2("json", 256).alias("json_sha256"))
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id,
+           turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role <> 'assistant'),
+l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1)::INTEGER AS level FROM c),
+r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+j AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.call_id, r.call_id) AS call_id, l.turn AS position, l.level, l.text, r.content, coalesce(r.n, 0) AS n_results,
+      CASE WHEN l.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+      FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id)
+SELECT conv_id, call_id, position, level, status, n_results, CASE WHEN status <> 'orphan' AND coalesce(text, '') = '' THEN 1 ELSE 0 END::BIGINT AS n_errors,
+       sha256('{' || CASE WHEN status = 'orphan' THEN '' ELSE '"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text)::VARCHAR || ',' END || '"turn":' || position || '},' END
+       || '"call_id":' || to_json(call_id)::VARCHAR || ',"level":' || coalesce(level::VARCHAR, 'null') || ',"name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"ask"' END
+       || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '"}') AS json_sha256
+FROM j
+"""
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.documents(spark, folder).select("doc_id", "lang", "text")
     metrics = common.materialise(quality.with_metrics(docs).drop("text"), "metrics")
@@ -111,6 +148,10 @@ FROM g WINDOW w AS (PARTITION BY t)
 """
 
 
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_text(common.pages(spark, folder).select("page_id", "url", "html"))
+
+
 def op10_near(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(common.documents(spark, folder).select("doc_id", "text"))
 
@@ -118,15 +159,17 @@ def op10_near(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_chat": op2_chat,
         "op3_quality": op3_quality,
         "op4_urls": op4_urls,
         "op5_sharding": op5_sharding,
         "op6_mixing": op6_mixing,
         "op7_substring": op7_substring,
         "op8_exact": op8_exact,
+        "op9_html": op9_html,
         "op10_near": op10_near,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op8_exact": OP8_SQL}
+    return {"op2_chat": OP2_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op8_exact": OP8_SQL}
