@@ -27,7 +27,7 @@ class QueryError(ValueError):
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<num>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)
-    |(?P<tag>@[A-Za-z][\w-]*)|(?P<op>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!*+/|^?\[\]-])|(?P<name>[A-Za-z_][\w-]*:[\w.-]*[\w-]|[A-Za-z_][\w-]*:|:[\w-]+|[A-Za-z_]\w*)""",
+    |(?P<tag>@[A-Za-z][\w-]*)|(?P<op>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!*+/|^?\[\]-])|(?P<name>[A-Za-z_][\w-]*:[\w.-]*[\w-]|:[\w-]+|(?:[A-Za-z_][\w-]*)?:|[A-Za-z_]\w*)""",
     re.X,
 )
 _PREFIX = re.compile(r"\bPREFIX\s+([A-Za-z][\w-]*)?\s*:\s*<([^>]*)>", re.I)
