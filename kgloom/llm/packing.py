@@ -10,8 +10,10 @@ gaps that rounding lengths up to bins has left, a fragment each, and then window
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,36 +39,66 @@ _GAP = re.compile(r"[\x20\x09-\x0D]+")
 # ---- tokens ---------------------------------------------------------------------------------------------------
 
 
-class ChunkTokenizer:
-    """Tokens of whole texts, from the remembered tokens of their chunks between white space.
+#: The normaliser and pre-tokenizer that the short way below stands for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_SPLIT = re.compile(_SPLIT.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", r"[^\x20\x09-\x0Da-z0-9]"))
 
-    It holds for tokenizers that drop white space and never join what stands on both sides of it.
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others above 255."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class ChunkTokenizer(dict):
+    """Tokens of whole texts, from the remembered tokens of their chunks between white space (chunk -> ids as bytes).
+
+    It holds for tokenizers that drop white space and never join what stands on both sides of it.  With the normaliser
+    and pre-tokenizer named above, a chunk of letters, or of ASCII, goes to the vocabulary's own merges without them.
     """
 
     def __init__(self, definition: str, limit: int = CACHE):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(definition)
         self.width = "<u2" if self.inner.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.size = np.dtype(self.width).itemsize
         self.limit = limit
-
-    def _encode(self, chunks: list[str]) -> None:
-        found = self.inner.encode_batch_fast(chunks, add_special_tokens=False)
-        self.known.update((c, np.array(x.ids, self.width).tobytes()) for c, x in zip(chunks, found, strict=True))
+        said = json.loads(definition)
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.short = said.get("normalizer") == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[-1].get("type") == "ByteLevel"
+        self.marks = [t["content"] for t in said.get("added_tokens", [])]
+        self.letters = _byte_letters()
+        self.merge = self.inner.model.tokenize
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > self.limit:
+            self.clear()
+        tail = chunk[-1] if chunk[-1] in ".," else ""
+        core = chunk[: len(chunk) - len(tail)]
+        low = core.lower()
+        # A final sigma depends on what stands around it; other letters fall to lower case one by one.
+        if self.short and core.isalpha() and low.isalpha() and (core.isascii() or "\u03c2" not in low and "\u03c3" not in low):
+            if low != chunk:
+                out = self[low] + self[tail] if tail else self[low]
+            else:
+                out = self._ids(self.merge("".join([self.letters[b] for b in unicodedata.normalize("NFC", low).lower().encode()])))
+        elif self.short and chunk.isascii() and chunk.isprintable() and not any(m in chunk for m in self.marks):
+            out = b"".join([self._ids(self.merge(part)) for part in _ASCII_SPLIT.findall(chunk.lower())])
+        else:
+            out = np.array(self.inner.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, self.width).tobytes()
+        self[chunk] = out
+        return out
+
+    def _ids(self, tokens: list) -> bytes:
+        return b"".join([t.id.to_bytes(self.size, "little") for t in tokens])
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [_chunks(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = {c for chunks in split for c in chunks if c not in known}
-        parts = {c: _parts(c) for c in new}
-        self._encode([p for p in {p for ps in parts.values() for p in ps} if p not in known])
-        known.update((c, b"".join([known[p] for p in ps])) for c, ps in parts.items() if len(ps) > 1)
-        known.update((c, known[ps[0]]) for c, ps in parts.items() if len(ps) == 1)
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(self.__getitem__, _chunks(t))) if t else b"" for t in texts]
 
 
 def _chunks(text: str) -> list[str]:
@@ -76,16 +108,6 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
-def _parts(chunk: str) -> tuple[str, ...]:
-    """A chunk as parts that have the same tokens: ASCII letters in lower case, and a full stop or comma after them."""
-    if chunk.isascii():
-        if chunk.isalpha():
-            return (chunk.lower(),)
-        if chunk[-1] in ".," and chunk[:-1].isalpha():
-            return chunk[:-1].lower(), chunk[-1]
-    return (chunk,)
-
-
 _TOKENIZERS: dict[int, ChunkTokenizer] = {}
 
 
