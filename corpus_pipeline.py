@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from kgloom.llm import common, exact, mixing, near, packing, quality, queries
 
 
+def _wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and whole rows as ``__doc``, so that a document's other columns clash with nothing."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs of their language."""
     metrics = common.materialise(quality.with_metrics(docs.select("doc_id", "lang", "text")).drop("text"), "metrics")
     cutoffs = quality.learn(metrics, spark.read.parquet(f"{sf_dir}/labels.parquet"), "lang")
-    return quality.judge(quality.with_metrics(docs), cutoffs, "lang").where("kept").select(*docs.columns)
+    judged = quality.judge(quality.with_metrics(_wrapped(docs, "lang", "text")), cutoffs, "lang")
+    return judged.where("kept").select("__doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    sized = docs.withColumn("size", common.count_words(F.col("text")))
-    return mixing.repeat_rows(mixing.mix(sized, queries.MIX_WEIGHTS, queries.MIX_EPOCHS)).select(*docs.columns)
+    sized = _wrapped(docs, "doc_id", "source").withColumn("size", common.count_words(F.col("__doc.text")))
+    return mixing.repeat_rows(mixing.mix(sized, queries.MIX_WEIGHTS, queries.MIX_EPOCHS)).select("__doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 #: Separators of words: space and the five ASCII controls 0x09 to 0x0D.  Everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests in local mode) a temporary folder of this machine is set.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="kgloom-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
