@@ -81,6 +81,35 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(metrics, cutoffs, "lang").select(*own)
 
 
+def _op3_sql() -> str:
+    grid = ", ".join(f"('{rule}', {i}, {cut}::DOUBLE)" for rule, cuts in quality.SOFT_RULES.items() for i, cut in enumerate(cuts))
+    rules, each = len(quality.SOFT_RULES), quality.RISK / len(quality.SOFT_RULES)
+    return rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS_SQL} AS ws,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+rep AS (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT place) AS n FROM rep GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+      len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share,
+      n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share FROM m),
+x AS (SELECT doc_id, lang, rule, share FROM (SELECT doc_id, lang, symbol_share, dup_line_share, repeat_share FROM b) UNPIVOT (share FOR rule IN (symbol_share, dup_line_share, repeat_share))),
+good AS (SELECT x.* FROM x JOIN b USING (doc_id) JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE q = 1 AND NOT base_failed),
+grid(rule, step, cutoff) AS (VALUES {grid}),
+tests AS (SELECT lang, g.rule, step, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM good JOIN grid g ON g.rule = good.rule GROUP BY ALL),
+proof AS (SELECT *, k < n * {each} AND least(1.0, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each})))))
+      <= {quality.ERROR} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM good)) * {rules}) AS proven FROM tests),
+upto AS (SELECT *, bool_and(proven) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM proof),
+cut AS (SELECT lang, rule, arg_max(cutoff, step) AS cutoff FROM upto WHERE ok GROUP BY ALL),
+bad AS (SELECT DISTINCT x.doc_id FROM x JOIN cut c ON x.lang IS NOT DISTINCT FROM c.lang AND x.rule = c.rule AND x.share > c.cutoff)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM b LEFT JOIN bad USING (doc_id)
+"""
+
+
+OP3_SQL = _op3_sql()
+
+
 def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA)
     return urls.filter_urls(common.pages(spark, folder).select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -172,4 +201,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op8_exact": OP8_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op8_exact": OP8_SQL}
