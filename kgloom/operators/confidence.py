@@ -55,3 +55,9 @@ def containment(base: Column, at: Column, starts: Column, ends: Column, length:
     inside = F.exists(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: (at >= x["s"]) & (at <= x["e"]))
     nearest = F.array_min(F.transform(F.concat(starts, ends), lambda x: F.abs(at - x)))
     return F.when(at.isNull() | (F.size(starts) == 0) | inside, base).otherwise(F.round(base * outside * decay(nearest, length, weight, floor), 4))
+
+
+def hierarchy(primary: Column, pooled_score: Column, target: Column, at: Column, start: Column, end: Column) -> Column:
+    """Entities with a literal of a leading predicate count with both sides' confidences; others with the target's, if
+    it stands in the fallback section, and else not at all."""
+    return F.when(primary, pooled_score).when((at >= start) & (at <= end), target)

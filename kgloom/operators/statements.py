@@ -178,3 +178,14 @@ def last_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last row of each key."""
     window = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
     return rows.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+
+
+def is_pending(strict: bool = False) -> Column:
+    """Whether a version is pending; ``strict`` leaves out edited ones, whose status some stores keep as plain text
+    that no longer equals the status term."""
+    pending = F.col("status") == "pending"
+    return pending & (F.col("activity_type") != "edit") if strict else pending
+
+
+def alignment_id(workspace: str, run: str, documents: Column, duplicate: Column, canonical: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(workspace), F.lit(run), F.array_join(F.array_sort(F.array_distinct(documents)), ","), duplicate, canonical), 256), 1, 24)

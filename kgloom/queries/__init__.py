@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..views import Views
-from . import algebra, alignment, export, log, scalars, text
+from . import algebra, alignment, export, log, more, scalars, text
 
-MODULES = (algebra, log, scalars, alignment, export, text)
+MODULES = (algebra, log, scalars, alignment, export, text, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import matching
-from ..functions.columns import cosine, structural_similarity
+from ..functions import columns
+from ..functions.columns import cosine
 from ..operators import alignment as A
 from ..views import NS, Views, with_views
 from .scalars import _TOKENS
@@ -65,10 +66,10 @@ def syntactic_similarity(v: Views) -> DataFrame:
 
 
 @register("SELECT a_uri, b_uri, CASE WHEN a_size % 3 = b_size % 3 THEN 1.0::DOUBLE ELSE greatest(0.4, 1.0 / 2)::DOUBLE END AS score FROM (" + _PAIRS + ")", "entities")
-def structural_similarity_pairs(v: Views) -> DataFrame:
+def structural_similarity(v: Views) -> DataFrame:
     named = v.entities.withColumn("fields", F.array(F.lit("name"), F.concat(F.lit("size"), F.col("size") % 3)))
     pairs = A.candidate_pairs(named, ["type", "brand"])
-    return pairs.select("a_uri", "b_uri", structural_similarity(F.col("a_fields"), F.col("b_fields")).alias("score"))
+    return pairs.select("a_uri", "b_uri", columns.structural_similarity(F.col("a_fields"), F.col("b_fields")).alias("score"))
 
 
 @register("SELECT a_uri, b_uri, round(0.1 * 0.5 + 0.9 * fuzz, 6) AS score FROM scored", "entities")
