@@ -47,6 +47,9 @@ KEPT_TAGS = frozenset("html body article main".split())
 #: Words that make even an article junk.
 FIRM_WORDS = frozenset("ad ads advert advertisement sponsored comment comments reply replies".split())
 
+#: A name that begins so says what stands in an element or beside it, not what the element is.
+ABOUT = (["has"], ["with"], ["without"], ["no"], ["is"])
+
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[/!?a-zA-Z][^<>]*\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -75,7 +78,9 @@ def _named(node: _Node, attributes: str) -> None:
         value = "".join(values)
         name = name.lower()
         if name in ("class", "id"):
-            words.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+            for one in value.split():
+                parts = _NAME.findall(_CAMEL.sub(" ", one).lower())
+                words.update(parts if parts[:1] not in ABOUT else ())
         elif name == "role":
             node.junk |= value.strip().lower() in JUNK_ROLES
         elif name == "style":

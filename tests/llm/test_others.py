@@ -241,6 +241,7 @@ PAGES = [
     (f'<body><header>Site</header><div id="main"><h2>H</h2><p>{_LONG}</p><p>short</p></div><div class="side"><ul><li><a href=1>link one, two</a></li></ul></div>', f"H\n{_LONG}\nshort"),
     (f'<main><p>{_LONG}</p><form><p>Name, please, and mail, here</p></form><section id="comments"><p>{_LONG} I liked it.</p></section><div class="cookie-notice"><p>{_LONG}</p></div></main>', _LONG),
     (f"<article><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2</table><p>{_LONG}</article>", f"a\nb\nc\nd\n1\n2\n{_LONG}"),
+    (f'<div class="layout has-sidebar"><div id="content"><p>{_LONG}</p></div><div class="leftSidebar"><p>{_LONG}</p></div></div>', _LONG),
     ('<article><p>a <!-- <p>no</p> --> b</p><p title="x>y">c</p></article', "a b\nc"), ("<p>x</b></i></div>y</p>", "xy"), ("<" * 3, "<<<"), ("<div>" * 3000 + "deep", "deep"),
 ]
 
