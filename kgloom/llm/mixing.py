@@ -16,8 +16,9 @@ from .common import materialise
 
 #: Tables with one row for each source are broadcast up to this many sources (about 100 bytes a row).
 BROADCAST_SOURCES = 50_000
-#: Hexadecimal digits of the seeded order that make up a bucket: 65,536 buckets a source.
+#: Hexadecimal digits of the seeded order that make up a bucket, found in two steps of 256: 65,536 buckets a source.
 BUCKET_DIGITS = 4
+COARSE = 256
 
 
 def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
@@ -75,12 +76,13 @@ def mix(rows: DataFrame, weights: list[int] | DataFrame, epochs: int = 3, seed:
     few = plan.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda df: df)
 
-    # The bucket of each source in which the remainder ends.
-    sums = base.groupBy("source", "__bucket").agg(F.sum("size").alias("n"))
-    order = Window.partitionBy("source").orderBy("__bucket")
-    running = sums.withColumn("upto", F.sum("n").over(order))
-    cut = _join(running.withColumnRenamed("source", "__s"), small(plan.select("source", "__rest")), "__s").where(F.col("upto") > F.col("__rest"))
-    ends = cut.groupBy("source").agg(F.min(F.struct("__bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("__end"))
+    # The bucket of each source in which the remainder ends: first among 256, then among the 256 parts of that one.
+    buckets = base.groupBy("source", "__bucket").agg(F.sum("size").alias("n"))
+    rests = plan.select("source", F.col("__rest").alias("rest"), F.lit(0).cast("long").alias("before"))
+    coarse = _ending(buckets.groupBy("source", F.floor(F.col("__bucket") / COARSE).alias("at")).agg(F.sum("n").alias("n")), rests, small)
+    inside = _join(buckets.withColumnRenamed("source", "__s"), small(coarse), "__s").where(F.floor(F.col("__bucket") / COARSE) == F.col("at"))
+    ends = _ending(inside.select(F.col("__s").alias("source"), F.col("__bucket").alias("at"), "n"), coarse.select("source", "rest", "before"), small)
+    ends = ends.select("source", F.struct(F.col("at").alias("__bucket"), "before").alias("__end"))
     plan = _join(plan.withColumnRenamed("source", "__s"), small(ends), "__s", "left").select(F.col("__s").alias("source"), "source_size", "target", "__whole", "__rest", "__end").transform(lambda df: materialise(df, "mix-ends"))
 
     out = _join(base.withColumnRenamed("source", "__s"), small(plan), "__s").drop("source").withColumnRenamed("__s", "source")
@@ -94,6 +96,15 @@ def mix(rows: DataFrame, weights: list[int] | DataFrame, epochs: int = 3, seed:
     return ending.unionByName(others).select(*names, "size", "source_size", "target", taken.alias("taken"))
 
 
+def _ending(parts: DataFrame, rests: DataFrame, small) -> DataFrame:
+    """(source, at, rest, before): of each source's parts (source, at, n) the first with which the sum of n, counted on
+    from ``before``, exceeds ``rest``; none if the sum stays below.  There are few parts of a source."""
+    counted = _join(parts.withColumnRenamed("source", "__s"), small(rests), "__s")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("at"))
+    over = counted.withColumn("upto", upto).where("upto > rest")
+    return over.groupBy("source").agg(F.min(F.struct("at", "rest", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select("source", "e.*")
+
+
 def _join(left: DataFrame, right: DataFrame, name: str, how: str = "inner") -> DataFrame:
     return left.join(right, F.col(name).eqNullSafe(F.col("source")), how)
 
