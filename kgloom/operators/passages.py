@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of all values that are sent to every executor.
 MOST_CHARS = 20_000_000
@@ -24,6 +25,7 @@ def find_values(texts: DataFrame, values: DataFrame, ident: str, text: str, name
         raise ValueError(f"{size} characters of values; cut the table into parts of at most {MOST_CHARS}")
     rows = [(r[0], r[1]) for r in values.select(name, value).where(F.length(value) > 0).collect()]
     sent = spark.sparkContext.broadcast(rows)
+    named = to_arrow_type(values.schema[name].dataType)
     kinds = texts.schema[ident].dataType.simpleString(), values.schema[name].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,6 +48,6 @@ def find_values(texts: DataFrame, values: DataFrame, ident: str, text: str, name
                         for k in keys:
                             first.setdefault(k, (last - n + 1, last + 1))
                 found += [(key, k, a, b) for k, (a, b) in first.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], batch.schema[0].type), *[pa.array([r[i] for r in found], pa.int64()) for i in (1, 2, 3)]], names=[ident, name, "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], batch.schema[0].type), pa.array([r[1] for r in found], named), *[pa.array([r[i] for r in found], pa.int64()) for i in (2, 3)]], names=[ident, name, "start", "end"])
 
     return texts.select(ident, text).mapInArrow(run, f"`{ident}` {kinds[0]}, `{name}` {kinds[1]}, start long, end long")
