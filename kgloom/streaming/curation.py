@@ -17,8 +17,10 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("at", late).groupBy(F.window("at", window), "action").agg(F.count("*").alias("n")).select("window.start", "action", "n")
+def windowed_counts(events: DataFrame, window: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Actions by window; ``late`` None keeps the watermark that the events have."""
+    marked = events if late is None else events.withWatermark("at", late)
+    return marked.groupBy(F.window("at", window), "action").agg(F.count("*").alias("n")).select("window.start", "action", "n")
 
 
 def current_status(events: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_stream(spark, tmp_path):
         query.awaitTermination(120)
         return spark.table(name).collect()
 
-    counts = run(curation.windowed_counts(curation.deduplicated(source())), "counts", "append")
+    counts = run(curation.windowed_counts(curation.deduplicated(source()), late=None), "counts", "append")
     assert {(r.start.hour, r.action): r.n for r in counts} == {(1, "extract"): 2, (1, "accept"): 1}
     status = run(curation.current_status(source()), "status", "update")
     assert {r.chain_id: (r.version, r.action) for r in status} == {"a": (3, "reset"), "b": (1, "extract")}
