@@ -31,7 +31,7 @@ DEPTH = 3
 #: Bins of a window.
 BINS = 64
 #: Chunks of text whose tokens a worker remembers.
-CACHE = 600_000
+CACHE = 400_000
 
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
 

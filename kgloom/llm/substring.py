@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .words import batches_of, window_hashes, word_hashes
 GRAM = 16
 #: Words of a shard's segments, about: an automaton has up to twice as many states.
 SHARD_WORDS = 100_000
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Stands for a null order, above all others.
 LAST = (1 << 63) - 1
 
@@ -66,7 +67,7 @@ def runs_of(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def _texts(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    sizes = np.array([len(t) for t in whole["text"].to_pylist()], np.int64)
+    sizes = pc.binary_length(whole["text"]).to_numpy(zero_copy_only=False)
     for a, b in batches_of(sizes, BATCH_BYTES):
         batch = whole.slice(a, b - a)
         yield batch, batch["text"].to_pylist()

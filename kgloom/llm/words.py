@@ -44,7 +44,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     starts, ends = edge[::2], edge[1::2]
     _grow(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=sums[1:])
+    scaled = data.astype(np.uint64)
+    scaled += np.uint64(1)
+    scaled *= _powers[: len(data)]
+    np.cumsum(scaled, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64) * _ODD)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
