@@ -1,9 +1,10 @@
 """Chat formatting: tool calls linked with their results.
 
 Calls and results are joined by (conversation, call id).  Calls are ordered topologically: a call's level is one more
-than the highest level among the calls it depends on, found by peeling off, round by round, the calls whose
-dependencies are all placed.  Arguments are validated against the schema of the called tool, and each linked call is
-serialised as canonical JSON.
+than the highest level among the calls it depends on.  Every call first follows one of its dependencies, the latest;
+pointer doubling then finds all levels in a logarithmic number of rounds however long the chains are, and calls that
+have a higher dependency than the one they follow are turned to it, until none has.  Arguments are validated against
+the schema of the called tool, and each linked call is serialised as canonical JSON.
 """
 
 from __future__ import annotations
@@ -67,25 +68,31 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
 
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of all calls that aren't on or behind a cycle."""
-    names = calls.select("conv_id", "call_id").distinct()
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct()
-    needs = needs.join(names.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi")
-    needs = materialise(needs, "needs")
-    free = names.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done = front = materialise(free, "level")
+    key = ["conv_id", "call_id"]
+    names = materialise(calls.groupBy(*key).agg(F.max("position").alias("at")), "names")
+    needs = calls.select(*key, F.explode("after").alias("before")).distinct()
+    needs = materialise(needs.join(names.select("conv_id", F.col("call_id").alias("before"), "at"), ["conv_id", "before"]), "needs")
+    follows = needs.groupBy(*key).agg(F.max(F.struct("at", "before")).alias("x")).select(*key, F.col("x.before").alias("up"))
     while True:
-        # A call is placed with the last of its dependencies, one level above it.
-        met = needs.join(front.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi").select("conv_id", "call_id").distinct()
-        placed = done.select("conv_id", F.col("call_id").alias("before"))
-        waiting = needs.join(placed, ["conv_id", "before"], "left_anti").select("conv_id", "call_id").distinct()
-        ready = met.join(waiting, ["conv_id", "call_id"], "left_anti")
-        top = front.agg(F.max("level")).first()[0]
-        if top is None:
-            return done
-        front = materialise(ready.withColumn("level", F.lit(top + 1)), "level")
-        if front.isEmpty():
-            return done
-        done = done.union(front)
+        levels = _doubled(materialise(names.join(follows, key, "left").select(*key, "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level")), "follows"))
+        # A null level is that of a cycle, above all others.
+        known = levels.select("conv_id", F.col("call_id").alias("before"), F.coalesce("level", F.lit(2**31 - 2)).alias("below"))
+        best = materialise(needs.join(known, ["conv_id", "before"]).groupBy(*key).agg(F.max(F.struct("below", "at", "before")).alias("x")).select(*key, "x.below", F.col("x.before").alias("up")), "highest")
+        if best.join(levels, key).where("level is not null and below >= level").isEmpty():
+            return levels.where("level is not null")
+        follows = best.select(*key, "up")
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of calls that each follow at most one other (up); null where that leads into a cycle."""
+    open_ = -1
+    while (left := state.where("up is not null").count()) not in (0, open_):
+        # In a forest some call gets to its root in every round, so what no longer shrinks runs in circles.
+        open_ = left
+        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        moved = state.join(above, ["conv_id", "up"], "left")
+        state = materialise(moved.select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "doubled")
+    return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).cast("int").alias("level"))
 
 
 def _serialise(schemas: dict[str, dict]):

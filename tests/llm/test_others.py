@@ -98,6 +98,22 @@ def test_chat_links(spark):
     assert empty.count() == 0
 
 
+def test_chat_levels_of_any_graph(spark):
+    rng = random.Random(11)
+    graphs = {1: {i: [i - 1] for i in range(1, 90)}, 2: {i: rng.sample(range(i), min(i, 3)) for i in range(1, 40)}, 3: {i: [rng.randrange(12) for _ in range(2)] for i in range(12)}, 4: {0: [1], 1: [2], 2: [0], 3: [2, 4], 5: [4, 9]}}
+    calls, expected = [], {}
+    for conv, edges in graphs.items():
+        nodes = set(edges) | {d for ds in edges.values() for d in ds}
+        level: dict[int, int] = {}
+        while ready := [n for n in nodes - level.keys() if all(d in level for d in edges.get(n, []))]:
+            level |= {n: 1 + max((level[d] for d in edges.get(n, [])), default=-1) for n in ready}
+        expected |= {(conv, str(n)): level.get(n) for n in nodes}
+        calls += [(conv, str(n), rng.randrange(100), "f", "{}", [str(d) for d in edges.get(n, [])]) for n in nodes]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, after array<string>")
+    got = chat.link_tool_calls(df, spark.createDataFrame([], "conv_id long, call_id string, content string"), {}).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == expected
+
+
 # ---- quality --------------------------------------------------------------------------------------------------
 
 
