@@ -6,8 +6,11 @@ scale.  Registers merge by maximum, and two sets agree in a register with about
 registers find candidates.  The joint likelihood of two sketches then estimates the similarity of a candidate, and
 pairs that it doesn't rule out are verified on the whole sets.  Linked sets form components.
 
-Equal sets are one node from the start.  Within a bucket no list of all pairs is made: first every member is linked
-with one member of the bucket, and only members that are still in different components meet pair by pair.
+Equal sets are one node from the start.  Within a bucket no list of all pairs is made: every member's sketch is first
+compared with that of one centre of the bucket, and members that this leaves apart with all members, in blocks; what
+leaves a block are the edges of a forest over the plausible pairs.  Its trees are clusters, in which every plausible
+pair lies.  A cluster's whole sets are compared in blocks too, each node only with those that no link joins to it yet,
+and again only a forest of links leaves a block.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +36,19 @@ BANDS, ROWS = 52, 4
 REGISTERS = BANDS * ROWS
 #: The exponential scale: base and rate; registers hold 0 to 65535.
 BASE, RATE = 1.001, 20.0
-#: Candidates estimated below this are dropped: over six standard deviations (0.03) below the similarity of a link.
-ESTIMATE = 0.55
-#: Bytes of text that a worker hashes at once, and pairs that it estimates or verifies at once.
-BATCH_BYTES, BATCH_PAIRS = 2_000_000, 2_000
+#: Candidates estimated below this are dropped: five standard deviations (0.03) below the similarity of a link.
+ESTIMATE = 0.60
+#: Members of a block of a bucket or of a cluster, and members that are compared with all others at once.
+BLOCK, SLICE = 1024, 32
+#: Bytes of text that a worker hashes at once, and pairs that it estimates at once.
+BATCH_BYTES, BATCH_PAIRS = 1_000_000, 2_000
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
+_SALT = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Equal registers that an estimate of ``ESTIMATE`` needs at least: registers agree no less often than sets do.
+LEAST_EQUAL = int(0.9 * ESTIMATE * REGISTERS)
+
 
 # ---- sketches -------------------------------------------------------------------------------------------------
 
@@ -95,18 +105,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    sizes = np.array([len(t) if t else 0 for t in whole["text"].to_pylist()], np.int64)
+    sizes = pc.binary_length(whole["text"]).to_numpy(zero_copy_only=False)
     for a, b in batches_of(sizes, BATCH_BYTES):
         batch = whole.slice(a, b - a)
         yield batch, shingle_sets(batch["text"].to_pylist())
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         if batch.num_rows:
             values = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u8").reshape(-1, BANDS)
-            buckets = mix(mix(values) + salt).view(np.int64)
+            buckets = mix(mix(values) + _SALT).view(np.int64)
             yield pa.record_batch([pa.array(buckets.ravel()), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], ["bucket", "node"])
 
 
@@ -150,24 +159,11 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch["e_a"].to_pylist(), batch["e_b"].to_pylist(), strict=True):
-            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = np.concatenate([a, b])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            linked.append(100 * common >= LINK * (len(a) + len(b) - common))
-        keep = pa.array(linked, pa.bool_())
-        yield pa.record_batch([batch["a"].filter(keep), batch["b"].filter(keep)], ["src", "dst"])
-
-
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch, sets in _sets_of(whole):
             same = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(sets, batch["key"].to_pylist(), strict=True)], pa.bool_())
-            rows = pa.record_batch([batch["node"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+            rows = pa.record_batch([batch["node"], batch["cluster"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "cluster", "elements"])
             yield rows.filter(same)
 
 
@@ -194,27 +190,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id",
     own = base.join(nodes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "row", "n", "key", "sketch")
     own = materialise(own, "node-sketches")
     bands = own.select("sketch", "node").mapInArrow(_bands, "bucket long, node long")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(bands.join(materialise(shared, "buckets"), "bucket").select("bucket", "node", "centre"), "members")
-
-    # Every member with the centre of its bucket.
-    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(_likely(stars, own), "stars")
-    ends = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(members.select("node")).distinct()
-    wanted = own.join(ends, "node", "left_semi").select("node", "row", "key")
-    sets = materialise(rows.join(wanted, "row").select("node", "key", "text").mapInArrow(_elements, "node long, elements binary").dropDuplicates(["node"]), "sets")
-    links = materialise(_linked(tried, sets), "links")
-    labels = connected_components(links, lambda df: materialise(df, "components"))
-
-    # Members of a bucket that are still in different components.
-    placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_ = materialise(placed.join(apart, "bucket"), "open")
-    left, right = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("c_a")), open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    pairs = left.join(right, "bucket").where("a < b and c_a <> c_b").select("a", "b").distinct()
-    more = materialise(_likely(pairs.join(tried, ["a", "b"], "left_anti"), own), "pairs")
-    found = _linked(more, sets)
-    labels = connected_components(links.union(found), lambda df: materialise(df, "components"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members = materialise(bands.join(materialise(shared, "buckets"), "bucket"), "members")
+
+    # Plausible pairs: members with their bucket's centre, then members of buckets that these leave apart.
+    plausible = materialise(_likely(_stars(members), own), "stars")
+    clusters = _components(plausible, members.select("node").distinct())
+    placed = members.join(clusters, "node").select("bucket", "node", "component")
+    plausible = materialise(plausible.union(_across(materialise(placed, "placed"), own).distinct()), "plausible")
+
+    # Links: in each block of a cluster, and then between the blocks of clusters that are still in parts.
+    clusters = _components(plausible).withColumnRenamed("component", "cluster")
+    wanted = own.join(clusters, "node").select("node", "cluster", "row", "key")
+    found = rows.join(wanted, "row").select("node", "cluster", "key", "text").mapInArrow(_elements, "node long, cluster long, elements binary")
+    sets = materialise(found.dropDuplicates(["node"]), "sets")
+    blocks = sets.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = materialise(sets.select("cluster", "node").join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "parts")
+    links = materialise(_settled(dealt.select("node", "part", F.lit(0).alias("turn"), F.lit(True).alias("asks"), F.col("node").alias("component")), sets), "links")
+    large = dealt.where("parts > 1")
+    if not large.isEmpty():
+        links = materialise(links.union(_settled(_rest(large, links), sets)), "all-links")
+    labels = _components(links)
 
     joined = nodes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "id")
     joined = materialise(joined, "labels")
@@ -231,15 +227,149 @@ def drop_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id")
     return keyed.join(materialise(kept, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
+def _components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all nodes of ``edges``, and of other ``nodes`` as components of their own."""
+    ends = edges.toDF("src", "dst")
+    labels = connected_components(ends, lambda df: materialise(df, "components"))
+    if nodes is None:
+        return labels
+    return materialise(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of one member of each bucket, the same one of a group in most of its buckets, with the other members."""
+    centres = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c"))
+    pairs = members.join(materialise(centres.select("bucket", F.col("c.node").alias("centre")), "centres"), "bucket").where("centre <> node")
+    return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+
+
+def _rest(large: DataFrame, links: DataFrame) -> DataFrame:
+    """How clusters of several blocks are dealt again: those outside of a cluster's largest component ask, in turns,
+    all members of all parts."""
+    now = materialise(large.join(_components(links), "node", "left").select("cluster", "node", "parts", "part", F.coalesce("component", "node").alias("component")), "rest")
+    sizes = now.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    most = materialise(most.select("cluster", F.col("most.component").alias("main"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("turns")), "turns")
+    told = now.join(most, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit("turn")), F.col("turns")).cast("int"))
+    answers = told.select("node", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "component")
+    asking = told.where("component <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("own").alias("turn"), F.lit(True).alias("asks"), "component")
+    return answers.union(asking)
+
+
+def _settled(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (src, dst) between the rows of each (cluster, part, turn) that ``dealt`` (node, part, turn, asks,
+    component) makes."""
+    rows = dealt.join(sets, "node").select("cluster", "part", "turn", "asks", "node", "component", "elements")
+    return rows.repartition("cluster", "part", "turn").sortWithinPartitions("cluster", "part", "turn").mapInArrow(_link, "src long, dst long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """The groups of rows that stand next to each other and agree in ``names``."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[c].to_numpy() for c in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Forest:
+    """Disjoint sets of the rows of a group, and the edges that joined them."""
+
+    def __init__(self, components: np.ndarray):
+        self.root = np.unique(components, return_inverse=True)[1].astype(np.int64)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root[a], self.root[b]
+        if x != y:
+            self.root[self.root == x] = y
+            self.edges.append((a, b))
+
+    def result(self, nodes: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        ends = np.array(self.edges, np.int64).reshape(-1, 2)
+        pairs = np.sort(nodes[ends], axis=1)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names)
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of links of each group: rows that ask are compared, by their whole sets, with all rows that aren't
+    joined to them yet."""
+    for rows in _runs(batches, "cluster", "part", "turn"):
+        nodes = rows["node"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in rows["elements"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(names), bool)
+        forest = _Forest(rows["component"].to_numpy())
+        for i in np.flatnonzero(rows["asks"].to_numpy(zero_copy_only=False)).tolist():
+            apart = forest.root != forest.root[i]
+            if not apart.any():
+                continue
+            own = codes[starts[i] : starts[i + 1]]
+            mark[own] = True
+            common = np.add.reduceat(mark[codes], starts[:-1], dtype=np.int64)
+            mark[own] = False
+            for j in np.flatnonzero(apart & (100 * common >= LINK * (sizes + sizes[i] - common))).tolist():
+                forest.join(i, j)
+        if forest.edges:
+            yield forest.result(nodes, ["src", "dst"])
+
+
+def _across(placed: DataFrame, own: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of members of a bucket that are in different components, each in its first bucket."""
+    sizes = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    parts = placed.join(materialise(sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "open"), "bucket")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
+    dealt = parts.select("bucket", "node", "component", mine.alias("part"), F.explode(blocks).alias("k")).select("bucket", "k.i", "k.j", "part", "node", "component")
+    rows = dealt.join(own.select("node", "n", "sketch"), "node")
+    groups = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return groups.select("bucket", "i", "j", "part", "node", "component", "n", "sketch").mapInArrow(_compare, "a long, b long")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the plausible pairs of each (bucket, i, j): of a member of the one part with one of the other, or,
+    where i and j are the same, of any two."""
+    for rows in _runs(batches, "bucket", "i", "j"):
+        node, component, part, n = (rows[c].to_numpy() for c in ("node", "component", "part", "n"))
+        forest = _Forest(component)
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        names, counts = np.unique(component, return_counts=True)
+        few = np.flatnonzero(component != names[np.argmax(counts)])
+        across = rows["i"][0].as_py() != rows["j"][0].as_py()
+        for start in range(0, len(few), SLICE):
+            some = few[start : start + SLICE]
+            fits = forest.root[some][:, None] != forest.root
+            fits &= 100 * np.minimum(n[some][:, None], n) >= LINK * np.maximum(n[some][:, None], n)
+            if across:
+                fits &= part[some][:, None] != part
+            x, y = np.nonzero(fits)
+            for at in range(0, len(x), BATCH_PAIRS):
+                p, q = some[x[at : at + BATCH_PAIRS]], y[at : at + BATCH_PAIRS]
+                keep = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_EQUAL
+                p, q = p[keep], q[keep]
+                keep = estimate(sketch[p], sketch[q], n[p], n[q]) >= ESTIMATE
+                for a, b in zip(p[keep].tolist(), q[keep].tolist(), strict=True):
+                    forest.join(a, b)
+        if forest.edges:
+            yield forest.result(node, ["a", "b"])
+
+
 def _likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes allow a link and whose sketches make it plausible."""
     one = own.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = own.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     sized = pairs.join(one, "a").join(two, "b").where((100 * F.least("n_a", "n_b") >= LINK * F.greatest("n_a", "n_b")))
     return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_plausible, "a long, b long")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("e_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("e_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "e_a", "e_b").mapInArrow(_verify, "src long, dst long")

@@ -99,9 +99,8 @@ def test_near(spark, rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_blocks_find_what_centres_miss(spark, rows, monkeypatch):
-    """Without rounds of centres, and with tiny blocks, the pairs within buckets alone give the same components."""
-    monkeypatch.setattr(near, "CENTRES", ())
+def test_near_in_many_blocks(spark, rows, monkeypatch):
+    """Buckets and clusters of several blocks have the same components."""
     monkeypatch.setattr(near, "BLOCK", 3)
     monkeypatch.setattr(near, "SLICE", 2)
     got = near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
