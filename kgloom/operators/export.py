@@ -25,10 +25,13 @@ def rewrite(triples: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def strip_hashes(uris: DataFrame) -> DataFrame:
-    """(uri, short): without ``_`` and six hexadecimal digits at the end, where no other URI would get the same name."""
+    """(uri, short): without ``_`` and six hexadecimal digits at the end, where no other URI would get the same name.
+
+    Names come back to their URIs by the URI, as many URIs can share a form.
+    """
     cut = uris.select("uri").distinct().withColumn("cut", F.regexp_replace("uri", "_[0-9a-f]{6}$", ""))
-    alone = cut.groupBy("cut").agg(F.count("*").alias("n"))
-    return cut.join(alone, "cut").select("uri", F.when(F.col("n") == 1, F.col("cut")).otherwise(F.col("uri")).alias("short"))
+    alone = cut.groupBy("cut").agg(F.count("*").alias("n"), F.min("uri").alias("uri")).where("n = 1").select("uri", "cut")
+    return cut.select("uri").join(alone, "uri", "left").select("uri", F.coalesce("cut", "uri").alias("short"))
 
 
 def deduplicated(triples: DataFrame, pairs: DataFrame, store: Callable[[DataFrame], DataFrame], link: str = "sameAs") -> DataFrame:

@@ -35,6 +35,15 @@ def hash_strip(v: Views) -> DataFrame:
     return X.strip_hashes(docs.select(F.concat(F.lit(f"{NS}d/"), "source", F.lit("_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6)).alias("uri")))
 
 
+_WHOLE = f"SELECT DISTINCT '{NS}d/' || source || '_' || substr(md5(doc_id::VARCHAR), 1, 6) AS uri FROM documents"
+
+
+@register(f"WITH u AS ({_WHOLE}), c AS (SELECT uri, regexp_replace(uri, '_[0-9a-f]{{6}}$', '') AS cut FROM u) SELECT uri, CASE WHEN count(*) OVER (PARTITION BY cut) = 1 THEN cut ELSE uri END AS short FROM c")
+def hash_strip_whole(v: Views) -> DataFrame:
+    """As ``hash_strip``, over the URIs of all documents."""
+    return X.strip_hashes(v.table("documents").select(F.concat(F.lit(f"{NS}d/"), "source", F.lit("_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6)).alias("uri")))
+
+
 def _doc_triples(v: Views) -> DataFrame:
     docs, s = v.table("documents"), F.concat(F.lit(f"{NS}doc/"), "doc_id")
     cells = F.array(F.struct(F.lit(f"{NS}p/lang").alias("p"), F.col("lang").alias("o")), F.struct(F.lit(f"{NS}p/source").alias("p"), F.col("source").alias("o")))
