@@ -18,3 +18,9 @@ def test_hash_strip_sees_every_uri(spark, tmp_path):
     short = {r["uri"][:-7]: r["short"] for r in got if "/web_" not in r["uri"]}
     assert len(got) == 4 and short == {f"{NS}d/news": f"{NS}d/news", f"{NS}d/book": f"{NS}d/book"}
     assert all(r["short"] == r["uri"] for r in got if "/web_" in r["uri"])
+
+
+def test_semantic_similarity_scores_every_pair(spark, tmp_path):
+    rows = [(3, "a", [1.0, 0.0]), (7, "a", [0.0, 1.0]), (10, "a", [1.0, 1.0]), (20, "b", [1.0, 0.0]), (23, "b", [2.0, 0.0])]
+    got = library.queries()["semantic_similarity_whole"](spark, _written(spark, tmp_path, embeddings=(rows, "vec_id long, label string, embedding array<float>"))).collect()
+    assert {(r["a"], r["b"]): r["score"] for r in got} == {(3, 7): 0.0, (3, 10): 0.707107, (7, 10): 0.707107, (20, 23): 1.0}
