@@ -47,9 +47,13 @@ def find_span_ci(v: Views) -> DataFrame:
 
 @register(None)
 def find_span(v: Views) -> DataFrame:
-    """Each document's second sentence, disturbed, in the document again."""
-    docs = v.table("documents").select("doc_id", F.substring("text", 1, 2000).alias("text"), F.regexp_replace(F.substring("text", 40, 30), " ", "  ").alias("value"))
-    return docs.select("doc_id", P.find_span_udf([P.Window("head", 400)])("text", "value").alias("x")).select("doc_id", "x.*")
+    """A stretch from anywhere in each document, disturbed in one of three ways, in the whole document again."""
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 29, F.lit(1))) + 1
+    docs = v.table("documents").select("doc_id", "text", F.substring("text", at.cast("int"), F.lit(30)).alias("value"))
+    kind, value = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)), F.col("value")
+    letters = F.concat(F.substring(value, 1, 14), F.lit("\u00a4"), F.substring(value, 16, 15))
+    disturbed = F.when(kind == 0, F.regexp_replace(value, " ", "  ")).when(kind == 1, F.upper(value)).otherwise(letters)
+    return docs.select("doc_id", P.find_span_udf([P.Window("head", 400)])("text", disturbed).alias("x")).select("doc_id", "x.*")
 
 
 @register("SELECT doc_id, strpos(regexp_replace(text, '\\s+', ' ', 'g'), regexp_replace(substr(text, 11, 20), '\\s+', ' ', 'g')) AS \"at\" FROM documents")

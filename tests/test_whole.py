@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from kgloom import queries as library
+from kgloom.functions import matching as M
+from kgloom.functions import spans as P
 from kgloom.views import NS
 
 
@@ -24,3 +29,20 @@ def test_semantic_similarity_scores_every_pair(spark, tmp_path):
     rows = [(3, "a", [1.0, 0.0]), (7, "a", [0.0, 1.0]), (10, "a", [1.0, 1.0]), (20, "b", [1.0, 0.0]), (23, "b", [2.0, 0.0])]
     got = library.queries()["semantic_similarity_whole"](spark, _written(spark, tmp_path, embeddings=(rows, "vec_id long, label string, embedding array<float>"))).collect()
     assert {(r["a"], r["b"]): r["score"] for r in got} == {(3, 7): 0.0, (3, 10): 0.707107, (7, 10): 0.707107, (20, 23): 1.0}
+
+
+def test_find_span_searches_the_whole_text(spark, tmp_path):
+    texts = {i: "0123456789" * 40 + " ".join(f"Word{chr(97 + j % 26)}{chr(97 + j // 26)} stands here." for j in range(300)) for i in range(24)}
+    got = library.queries()["find_span"](spark, _written(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))).collect()
+    assert len(got) == 24 and any(r["start"] > 2000 and not r["in_window"] for r in got)
+    assert all(0 <= r["start"] < r["end"] <= len(texts[r["doc_id"]]) for r in got)
+
+
+@given(st.text("abcd. ", max_size=80), st.text("abcd. ", min_size=1, max_size=12).filter(str.strip))
+def test_fuzzy_is_the_best_sentence(text, value):
+    best = (0.0, 0, "")
+    for start, sentence in P.sentences(text):
+        if len(sentence) >= max(len(value) * 0.5, 5) and (score := M.partial_ratio(value.lower(), sentence.lower())) > best[0]:
+            best = score, start, sentence
+    begin, end = P.best_window(best[2], value)
+    assert P._fuzzy(text, value) == (None if best[0] < P.LEAST else (best[1] + begin, best[1] + end, best[0]))
