@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,19 +102,18 @@ def split_sentences(v: Views) -> DataFrame:
 
 @register(None)
 def relocate_spans(v: Views) -> DataFrame:
-    """Annotations of each document, moved to where the document's other ones are."""
-    import pandas as pd
+    """All short words of each document as annotations, moved to where the document's other ones are."""
 
-    docs = v.table("documents").select("doc_id", F.left("text", F.lit(3000)).alias("text"))
-    words = docs.select("doc_id", "text", F.posexplode(F.slice(F.split("text", " "), 5, 4)).alias("n", "value")).withColumn("span_start", F.instr("text", F.col("value")) - 1)
+    @F.pandas_udf("array<struct<n:int,value:string,span_start:int,span_end:int>>")
+    def move(text: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            first = {x: t.find(x) for x in set((t or "").split()) if len(x) <= 20}
+            members = [{"n": i, "value": x, "span_start": first[x], "span_end": first[x] + len(x)} for i, x in enumerate((t or "").split()) if x in first]
+            return P.relocate(members, t or "")
 
-    def move(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        members = [{"value": x, "span_start": s, "span_end": s + len(x)} for x, s in zip(rows["value"], rows["span_start"], strict=True)]
-        moved = P.relocate(members, rows["text"].iloc[0])
-        return pd.DataFrame({"doc_id": rows["doc_id"], "value": rows["value"], "span_start": [m["span_start"] for m in moved], "span_end": [m["span_end"] for m in moved]})
+        return text.map(one)
 
-    return words.groupBy("doc_id").applyInPandas(move, "doc_id long, value string, span_start int, span_end int")
+    return v.table("documents").select("doc_id", F.explode(move("text")).alias("x")).select("doc_id", "x.value", "x.span_start", "x.span_end")
 
 
 @register("SELECT a.stmt_id AS a, b.stmt_id AS b FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND a.stmt_id < b.stmt_id AND a.span_start < b.span_end AND a.span_end > b.span_start", "versions")

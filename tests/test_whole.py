@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -46,3 +48,25 @@ def test_fuzzy_is_the_best_sentence(text, value):
             best = score, start, sentence
     begin, end = P.best_window(best[2], value)
     assert P._fuzzy(text, value) == (None if best[0] < P.LEAST else (best[1] + begin, best[1] + end, best[0]))
+
+
+def _moved(members, text):
+    out = [dict(m) for m in members]
+    for i, m in enumerate(out):
+        places, ends = P.occurrences(text, m["value"]), [x["span_end"] for j, x in enumerate(out) if j != i]
+        if len(m["value"]) <= 20 and len(places) > 1 and ends:
+            start = min(places, key=lambda p: (abs(p - statistics.median(ends)), p))
+            m["span_start"], m["span_end"] = start, start + len(m["value"])
+    return out
+
+
+@given(st.text("abA ", max_size=60))
+def test_relocate_is_that_of_brute_force(text):
+    members = [{"value": x, "span_start": text.find(x), "span_end": text.find(x) + len(x)} for x in text.split()]
+    assert P.relocate(members, text) == _moved(members, text)
+
+
+def test_relocate_spans_takes_the_whole_text(spark, tmp_path):
+    text = "key " + "x" * 30 + " " + " ".join(f"w{i:05d}" for i in range(1000)) + " key end"
+    got = library.queries()["relocate_spans"](spark, _written(spark, tmp_path, documents=([(1, text)], "doc_id long, text string"))).collect()
+    assert len(got) == 1003 and {r["span_start"] for r in got if r["value"] == "key"} >= {text.rindex("key")}
