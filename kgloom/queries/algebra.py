@@ -151,6 +151,26 @@ def path_inverse(v: Views) -> DataFrame:
     return A.path_star(_edges(v), seeds, store, src="dst", dst="src")
 
 
+def _starts(v: Views, where: str) -> DataFrame:
+    return v.versions.where(where).select(F.col("stmt_id").alias("start"))
+
+
+@register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no <= a.version_no WHERE a.is_current", "versions")
+def path_star_whole(v: Views) -> DataFrame:
+    """As ``path_star``, from all current versions."""
+    return A.path_star(_edges(v), _starts(v, "is_current"), store)
+
+
+@register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no < a.version_no WHERE a.is_current", "versions")
+def path_plus_whole(v: Views) -> DataFrame:
+    return A.path_plus(_edges(v), _starts(v, "is_current"), store)
+
+
+@register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no >= a.version_no WHERE a.version_no = 0", "versions")
+def path_inverse_whole(v: Views) -> DataFrame:
+    return A.path_star(_edges(v), _starts(v, "version_no = 0"), store, src="dst", dst="src")
+
+
 @register("SELECT DISTINCT s, p, o FROM versions WHERE is_current AND status = 'accepted'", "versions")
 def construct_accepted(v: Views) -> DataFrame:
     return A.construct(v.versions.where("is_current and status = 'accepted'"), [("?s", "?p", "?o")])

@@ -173,6 +173,13 @@ def user_workspaces(v: Views) -> DataFrame:
     return users.join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("workspace"), "name", "role")
 
 
+@register("SELECT n.n_name AS workspace, c.c_name AS name, c.c_mktsegment AS role FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey")
+def user_workspaces_whole(v: Views) -> DataFrame:
+    """As ``user_workspaces``, for all users."""
+    users = v.table("customer").select("c_nationkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"))
+    return users.join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("workspace"), "name", "role")
+
+
 @register("SELECT n.n_name AS workspace, c.c_mktsegment AS role, count(*) AS members FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY ALL")
 def member_list(v: Views) -> DataFrame:
     joined = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -70,3 +70,14 @@ def test_relocate_spans_takes_the_whole_text(spark, tmp_path):
     text = "key " + "x" * 30 + " " + " ".join(f"w{i:05d}" for i in range(1000)) + " key end"
     got = library.queries()["relocate_spans"](spark, _written(spark, tmp_path, documents=([(1, text)], "doc_id long, text string"))).collect()
     assert len(got) == 1003 and {r["span_start"] for r in got if r["value"] == "key"} >= {text.rindex("key")}
+
+
+def test_every_user_and_statement_takes_part(spark, tmp_path):
+    turns = [(c, t, "user", "hello") for c in (2, 3, 6) for t in range(3)]
+    users = [(1, "a", "X", 0), (2, "b", "X", 0), (5, "c", "X", 0)]
+    folder = _written(
+        spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"),
+        customer=(users, "c_custkey long, c_name string, c_mktsegment string, c_nationkey int"), nation=([(0, "N")], "n_nationkey int, n_name string"),
+    )
+    rows = {name: library.queries()[f"{name}_whole"](spark, folder).count() for name in ("user_workspaces", "path_star", "path_plus", "path_inverse")}
+    assert rows == {"user_workspaces": 3, "path_star": 9, "path_plus": 6, "path_inverse": 9}
