@@ -36,6 +36,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, which may hold dots, blanks and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(names: list[str], stem: str) -> str:
+    """A name like ``stem`` that none of ``names`` is, whatever the case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and texts without a word give an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)

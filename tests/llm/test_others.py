@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import chat, common, html, mixing, packing, quality, queries, sharding, urls
+from kgloom.llm import chat, common, mixing, packing, quality, queries, sharding, urls
 
 TEXTS = [None, "", " \n", "Hello, world. It's 12 o'clock!", "a b c " * 3000, "é Ünï ÀÉ ﬁn σας ΣΑΣ", "x\x1cy <|endoftext|> z", "日本語 テスト", "same", "same"]
 
@@ -246,29 +246,3 @@ def test_mixing(spark):
     whole = mixing.repeat_rows(spark.createDataFrame([(1, 10, 25), (2, 10, 24), (3, 10, 4), (4, 0, 0)], "doc_id long, size long, taken long")).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in whole} == {1: 3, 2: 2}
     assert mixing.mix(df.where("false"), [5, 2, 1]).count() == 0
-
-
-# ---- HTML -----------------------------------------------------------------------------------------------------
-
-_LONG = "A long paragraph, with commas, clauses, and more than enough words to be the main text of a page, as the scoring sees it."
-PAGES = [
-    (None, ""), ("", ""), ("   <br> ", ""), ("plain &lt;text&gt; &amp;&nbsp;more", "plain <text> & more"), ("<p>one<p>two", "one\ntwo"), ("<script>var x='<p>no</p>'</script><p>yes", "yes"),
-    (f"<html><head><title>t</title></head><body><nav><a href=/>menu</a></nav><article><h1>Head</h1><p><b>bold.<br><p>{_LONG}</p></article><footer>foot</footer>", f"Head\nbold.\n{_LONG}"),
-    (f'<body><header>Site</header><div id="main"><h2>H</h2><p>{_LONG}</p><p>short</p></div><div class="side"><ul><li><a href=1>link one, two</a></li></ul></div>', f"H\n{_LONG}\nshort"),
-    (f'<main><p>{_LONG}</p><form><p>Name, please, and mail, here</p></form><section id="comments"><p>{_LONG} I liked it.</p></section><div class="cookie-notice"><p>{_LONG}</p></div></main>', _LONG),
-    (f"<article><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2</table><p>{_LONG}</article>", f"a\nb\nc\nd\n1\n2\n{_LONG}"),
-    (f'<div class="layout has-sidebar"><div id="content"><p>{_LONG}</p></div><div class="leftSidebar"><p>{_LONG}</p></div></div>', _LONG),
-    ('<article><p>a <!-- <p>no</p> --> b</p><p title="x>y">c</p></article', "a b\nc"), ("<p>x</b></i></div>y</p>", "xy"), ("<" * 3, "<<<"), ("<div>" * 3000 + "deep", "deep"),
-]
-
-
-@pytest.mark.parametrize(("page", "text"), PAGES)
-def test_html(page, text):
-    assert html.extract(page) == text
-
-
-def test_html_table(spark):
-    rows = [(i, p, "clash") for i, (p, _) in enumerate(PAGES)] + [(0, PAGES[6][0], "clash")] * 2
-    got = html.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
-    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == sorted([(i, t, len(t)) for i, (_, t) in enumerate(PAGES)] + [(0, PAGES[6][1], len(PAGES[6][1]))] * 2)
-    assert html.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
