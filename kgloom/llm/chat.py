@@ -9,8 +9,12 @@ the schema of the called tool, and each linked call is serialised as canonical J
 
 from __future__ import annotations
 
+import contextlib
+import decimal
 import json
 import math
+import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +26,9 @@ from .common import materialise
 #: The schemas are part of the task's code: at most this many bytes as JSON.
 SCHEMA_BYTES = 1_000_000
 
+#: Arguments that are nested deeper are kept as text.
+DEPTH = 200
+
 _KINDS = {
     "string": lambda v: isinstance(v, str),
     "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
@@ -31,11 +38,87 @@ _KINDS = {
     "array": lambda v: isinstance(v, list),
     "null": lambda v: v is None,
 }
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError("beyond a double")
+    return value
+
+
+def _refuse(name: str) -> object:
+    raise ValueError(f"{name} isn't JSON")
+
+
+@contextlib.contextmanager
+def _long_integers() -> Iterator[None]:
+    """Integers of any number of digits may be read and written."""
+    before = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        yield
+    finally:
+        sys.set_int_max_str_digits(before)
+
+
+def parse(text: str) -> object:
+    """The value of a JSON text; ValueError if it is none, holds a number beyond a double's range, or is too deep.
+
+    Of repeated keys the last counts.  Integers keep all their digits.
+    """
+    try:
+        with _long_integers():
+            value = json.loads(text, parse_float=_finite, parse_constant=_refuse)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    level = [value]
+    for _ in range(DEPTH):
+        level = [x for v in level if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("too deep")
+
+
+def _number(value: float) -> str:
+    """The shortest digits that give this double, as JavaScript writes them."""
+    if value == 0:
+        return "0"
+    sign, digits, exponent = decimal.Decimal(repr(value)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent
+    if len(text) <= point <= 21:
+        text = text + "0" * (point - len(text))
+    elif 0 < point <= 21:
+        text = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        text = f"0.{'0' * -point}{text}"
+    else:
+        text = f"{text[0]}{'.' if text[1:] else ''}{text[1:]}e{point - 1:+d}"
+    return f"-{text}" if sign else text
+
+
+def _written(value: object) -> str:
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_written(k)}:{_written(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    return _number(value) if isinstance(value, float) else json.dumps(value)
+
+
+def plain(text: str) -> str:
+    """Lone surrogates, which UTF-8 can't hold, as escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with keys sorted by code point, no spaces, shortest numbers (1 for 1.0) and characters as they are; only
+    quotes, backslashes, control characters and lone surrogates are escaped."""
+    with _long_integers():
+        return plain(_written(value))
 
 
 def problems(value: object, schema: dict, path: str = "$") -> list[str]:
@@ -45,7 +128,7 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
     if kinds is not None and not any(_KINDS[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{path}: not {kinds}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{path}: not in enum")
     if isinstance(value, int | float) and not isinstance(value, bool):
         if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf):
@@ -54,12 +137,12 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
         found.append(f"{path}: too short")
     if isinstance(value, dict):
         known = schema.get("properties", {})
-        found += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        found += [f"{path}.{plain(k)}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
-                found += problems(value[k], known[k], f"{path}.{k}")
+                found += problems(value[k], known[k], f"{path}.{plain(k)}")
             elif schema.get("additionalProperties") is False:
-                found.append(f"{path}.{k}: unknown")
+                found.append(f"{path}.{plain(k)}: unknown")
     if isinstance(value, list) and "items" in schema:
         for i, x in enumerate(value):
             found += problems(x, schema["items"], f"{path}[{i}]")
@@ -104,10 +187,10 @@ def _serialise(schemas: dict[str, dict]):
                 found = []
                 if row["status"] != "orphan":
                     try:
-                        out["arguments"] = value = json.loads(row["arguments"] or "null")
+                        out["arguments"] = value = parse("null" if row["arguments"] is None else row["arguments"])
                         found = problems(value, schemas[row["name"]]) if row["name"] in schemas else [f"$: no schema of {row['name']}"]
-                    except ValueError:
-                        out["arguments"], found = row["arguments"], ["$: not JSON"]
+                    except ValueError as error:
+                        out["arguments"], found = row["arguments"], ["$: too deep" if str(error) == "too deep" else "$: not JSON"]
                 errors.append(found)
                 texts.append(canonical(out))
             kept = ["conv_id", "call_id", "position", "level", "status", "n_results"]
@@ -128,7 +211,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     null conversation or call id are never linked: such calls are unanswered, such results orphans.  Of several
     results of one id the smallest content counts, ``n_results`` tells how many there were.  Repeated calls are
     linked one by one and share a level.  Dependencies on unknown calls are ignored; a null list is empty.  Arguments
-    that are null count as JSON null.  Ordering by (level, position) within a conversation is a topological order.
+    that are null count as JSON null; those that are empty, not JSON, hold a number beyond a double's range or are
+    nested more than 200 levels deep are kept as text, with an error.  Ordering by (level, position) within a conversation is a topological order.
     Empty tables are allowed, other columns are not read.
     """
     assert len(json.dumps(schemas)) <= SCHEMA_BYTES

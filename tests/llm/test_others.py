@@ -114,6 +114,33 @@ def test_chat_levels_of_any_graph(spark):
     assert {(r.conv_id, r.call_id): r.level for r in got} == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "written"),
+    [
+        ('{"b":1.0,"a":[1e21,1e-7,0.000001,-0.0,123456789012345680000,1.5e300,-2.50,0.1,100.0,1E2]}', '{"a":[1e+21,1e-7,0.000001,0,123456789012345680000,1.5e+300,-2.5,0.1,100,100],"b":1}'), ('"\\ud800"', '"\\ud800"'),
+        ('"\\ud83d\\ude00\\u0041\\/\\u0001é"', '"\U0001f600A/\\u0001é"'), ('{"\\udfff":1,"a":1,"a":2}', '{"a":2,"\\udfff":1}'), ("[" * 150 + "]" * 150, "[" * 150 + "]" * 150), ("9" * 5000, "9" * 5000), ("-0", "0"),
+        ("1e400", None), ("-1e400", None), ("NaN", None), ("[Infinity]", None), ("[" * 100_000, None), ("[" * 100_000 + "]" * 100_000, None), ('{"a":' * 300 + "1" + "}" * 300, None), ("", None), (" ", None), ("01", None), ("\ufeff1", None), ("'a'", None),
+    ],
+)
+def test_json_is_canonical_or_refused(text, written):
+    if written is None:
+        with pytest.raises(ValueError):
+            chat.parse(text)
+    else:
+        assert chat.canonical(chat.parse(text)) == written and chat.canonical(chat.parse(written)) == written
+        written.encode()
+
+
+def test_chat_takes_any_text(spark):
+    texts = ['{"prompt":"\\ud800"}', "[" * 100_000, "NaN", "1e400", "9" * 5000, "", None, '{"\\udc00":1}', '{"prompt":1.0}', "x" * 2_000_000]
+    calls = spark.createDataFrame([(1, str(i), i, "f" if i % 2 else None, t, [], "clash") for i, t in enumerate(texts)], "conv_id long, call_id string, position long, name string, arguments string, after array<string>, `a.b` string")
+    got = {r.position: r for r in chat.link_tool_calls(calls, spark.createDataFrame([(1, "0", "r"), (1, "0", "r")], "conv_id long, call_id string, content string"), {"f": {"type": "object", "additionalProperties": False}}).collect()}
+    assert len(got) == len(texts) and all(chat.parse(r.json)["call_id"] == r.call_id for r in got.values())
+    assert got[0].json == '{"arguments":{"prompt":"\\ud800"},"call_id":"0","level":0,"name":null,"result":"r","status":"linked"}'
+    assert [list(got[i].errors) for i in (1, 2, 3, 4, 5, 6, 7)] == [["$: too deep"], ["$: not JSON"], ["$: not JSON"], ["$: no schema of None"], ["$: not JSON"], ["$: no schema of None"], ["$.\\udc00: unknown"]]
+    assert chat.parse(got[1].json)["arguments"] == texts[1] and got[8].json.startswith('{"arguments":{"prompt":1},')
+
+
 # ---- quality --------------------------------------------------------------------------------------------------
 
 
