@@ -49,6 +49,21 @@ def fresh(names: list[str], stem: str) -> str:
     return stem
 
 
+def row_key(order: Column, text: Column) -> Column:
+    """32 bytes that name a row by its ``order`` and ``text``; only rows equal in both (nulls too) share them.
+
+    SHA-256 of both with the length of the first in front, so nothing in them can be taken for the other.
+    """
+    first = F.coalesce(order.cast("string"), F.lit(""))
+    sign = F.concat(order.isNull().cast("int").cast("string"), text.isNull().cast("int").cast("string"))
+    return F.unhex(F.sha2(F.concat_ws(":", sign, F.length(first).cast("string"), first, F.coalesce(text, F.lit(""))), 256))
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for work of which ``each`` rows are enough for a task, whatever their bytes: at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and texts without a word give an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise
-from .words import batches_of, mix, window_hashes, word_hashes
+from .common import column, fresh, materialise, row_key, tasks_for
+from .words import KEY, batches_of, mix, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Links have 100 * |intersection| >= LINK * |union|.
@@ -38,8 +38,11 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 #: Candidates estimated below this are dropped: five standard deviations (0.03) below the similarity of a link.
 ESTIMATE = 0.60
-#: Members of a block of a bucket or of a cluster, and members that are compared with all others at once.
-BLOCK, SLICE = 1024, 32
+#: Members of a block of a bucket or of a cluster, elements of a block of a cluster (a block holds one set at least),
+#: and members that are compared with all others at once.
+BLOCK, ELEMENTS, SLICE = 1024, 2_000_000, 32
+#: Rows for a task that compares sketches or sets: their cost grows with comparisons, not with bytes.
+TASK_ROWS = 4_000
 #: Bytes of text that a worker hashes at once, and pairs that it estimates at once.
 BATCH_BYTES, BATCH_PAIRS = 1_000_000, 2_000
 
@@ -53,12 +56,12 @@ LEAST_EQUAL = int(0.9 * ESTIMATE * REGISTERS)
 # ---- sketches -------------------------------------------------------------------------------------------------
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
-    """For each text its set: sorted distinct 64-bit hashes of its shingles, with A-Z lower-cased.
+def shingle_sets(texts: list[bytes | None], key: int = KEY) -> list[np.ndarray]:
+    """For each text its set: sorted distinct 64-bit keyed hashes of its shingles, with A-Z lower-cased.
 
     A text of fewer than five words has its whole sequence as one element; one without words has none.
     """
-    hashes, _, _, bounds = word_hashes([(t or b"").lower() for t in texts])
+    hashes, _, _, bounds = word_hashes([(t or b"").lower() for t in texts], key)
     shingles = window_hashes(hashes, SHINGLE)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -89,26 +92,29 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, 65535).astype("<u2")
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch, sets in _sets_of(whole):
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sketches: list[bytes | None] = [None] * len(sets)
-            if full:
-                for i, row in zip(full, registers([sets[i] for i in full]), strict=True):
-                    sketches[i] = row.tobytes()
-            keys = [set_key(s) if len(s) else None for s in sets]
-            yield pa.record_batch(
-                [batch["rid"], batch["id"], batch["row"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
-                ["rid", "id", "row", "n", "key", "sketch"],
-            )
-
-
-def _sets_of(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sketch(secret: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, sets in _sets_of(whole, secret):
+                full = [i for i, s in enumerate(sets) if len(s)]
+                sketches: list[bytes | None] = [None] * len(sets)
+                if full:
+                    for i, row in zip(full, registers([sets[i] for i in full]), strict=True):
+                        sketches[i] = row.tobytes()
+                keys = [set_key(s) if len(s) else None for s in sets]
+                yield pa.record_batch(
+                    [batch["rid"], batch["id"], batch["row"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
+                    ["rid", "id", "row", "n", "key", "sketch"],
+                )
+
+    return run
+
+
+def _sets_of(whole: pa.RecordBatch, secret: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     sizes = pc.binary_length(whole["text"]).to_numpy(zero_copy_only=False)
     for a, b in batches_of(sizes, BATCH_BYTES):
         batch = whole.slice(a, b - a)
-        yield batch, shingle_sets(batch["text"].to_pylist())
+        yield batch, shingle_sets(batch["text"].to_pylist(), secret)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,31 +165,36 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch, sets in _sets_of(whole):
-            same = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(sets, batch["key"].to_pylist(), strict=True)], pa.bool_())
-            rows = pa.record_batch([batch["node"], batch["cluster"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "cluster", "elements"])
-            yield rows.filter(same)
+def _elements(secret: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, sets in _sets_of(whole, secret):
+                yield pa.record_batch([batch["node"], batch["cluster"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "cluster", "elements"])
+
+    return run
 
 
 # ---- the operator ---------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id", with_row: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id", with_row: bool = False, secret: int = KEY) -> DataFrame:
     """One row for each row of ``docs``: ``order``, n_shingles, component_id, kept.
 
     Documents are linked when their sets are similar enough; ``component_id`` is the smallest ``order`` reachable by
     links, the row itself included, and ``kept`` says whether it is the row's own.  Texts without words (null and
-    empty ones too) are linked with nothing.  Repeated rows have equal sets and so share a component; both are kept
-    if they also share the smallest ``order``.  Null orders count as larger than all others.  An empty table gives no
-    rows; other columns are not read.  ``with_row`` adds ``row``, the 64-bit hash of ``order`` and ``text``.
+    empty ones too) are linked with nothing.  Repeated rows (equal in order and text) are one document given several
+    times: they share everything, ``kept`` too.  Other rows with the smallest order of their component are kept as
+    well.  Null orders count as larger than all others.  Texts may be of any length: a document's set is held by one
+    task, 8 bytes an element.  An empty table gives no rows; other columns are not read.
+
+    Elements are 64-bit hashes keyed with ``secret``; who has to fear texts made to collide keeps it to himself.
+    ``with_row`` adds ``row``, the key that ``common.row_key`` makes of ``order`` and ``text``.
     """
     kind = docs.schema[order].dataType.simpleString()
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(order).alias("id"), F.xxhash64(F.col(order), F.col(text)).alias("row"), body.alias("text"))
+    body = F.coalesce(column(text), F.lit("")).cast("binary")
+    rows = docs.select(column(order).alias("id"), row_key(column(order), column(text)).alias("row"), body.alias("text"))
     first = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "row", "text")
-    base = materialise(first.mapInArrow(_sketch, f"rid long, id {kind}, row long, n long, key binary, sketch binary"), "sketches")
+    base = materialise(first.mapInArrow(_sketch(secret), f"rid long, id {kind}, row binary, n long, key binary, sketch binary"), "sketches")
 
     tops = base.where("n > 0").groupBy("key").agg(F.min("rid").alias("node"), F.min("id").alias("id"))
     nodes = materialise(tops, "nodes")
@@ -201,10 +212,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id",
 
     # Links: in each block of a cluster, and then between the blocks of clusters that are still in parts.
     clusters = _components(plausible).withColumnRenamed("component", "cluster")
-    wanted = own.join(clusters, "node").select("node", "cluster", "row", "key")
-    found = rows.join(wanted, "row").select("node", "cluster", "key", "text").mapInArrow(_elements, "node long, cluster long, elements binary")
+    wanted = own.join(clusters, "node").select("node", "cluster", "row")
+    found = rows.join(wanted, "row").select("node", "cluster", "text").mapInArrow(_elements(secret), "node long, cluster long, elements binary")
+    # Repeated rows find their node's set once each.
     sets = materialise(found.dropDuplicates(["node"]), "sets")
-    blocks = sets.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    mass = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("elements") / 8) / ELEMENTS)
+    blocks = sets.groupBy("cluster").agg(F.ceil(mass).cast("int").alias("parts"))
     dealt = materialise(sets.select("cluster", "node").join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "parts")
     links = materialise(_settled(dealt.select("node", "part", F.lit(0).alias("turn"), F.lit(True).alias("asks"), F.col("node").alias("component")), sets), "links")
     large = dealt.where("parts > 1")
@@ -221,10 +234,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id",
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` doesn't keep; of rows equal in order and text one stays."""
-    kept = near_duplicates(docs, text, order, with_row=True).where("kept").select(F.col("row").alias("__row"))
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(order), F.col(text)))
-    return keyed.join(materialise(kept, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    """``docs`` without the rows that ``near_duplicates`` doesn't keep: repeated rows stay or go together.
+
+    All columns are kept, whatever their names; an empty table stays empty.
+    """
+    key = fresh(docs.columns, "__row")
+    kept = near_duplicates(docs, text, order, with_row=True).where("kept").select(F.col("row").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(column(order), column(text)))
+    return keyed.join(materialise(kept, "kept"), key, "left_semi").drop(key)
 
 
 def _components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -260,7 +277,8 @@ def _settled(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (src, dst) between the rows of each (cluster, part, turn) that ``dealt`` (node, part, turn, asks,
     component) makes."""
     rows = dealt.join(sets, "node").select("cluster", "part", "turn", "asks", "node", "component", "elements")
-    return rows.repartition("cluster", "part", "turn").sortWithinPartitions("cluster", "part", "turn").mapInArrow(_link, "src long, dst long")
+    tasks = tasks_for(dealt.sparkSession, dealt.count(), TASK_ROWS)
+    return rows.repartition(tasks, "cluster", "part", "turn").sortWithinPartitions("cluster", "part", "turn").mapInArrow(_link, "src long, dst long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
@@ -335,7 +353,8 @@ def _across(placed: DataFrame, own: DataFrame) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
     dealt = parts.select("bucket", "node", "component", mine.alias("part"), F.explode(blocks).alias("k")).select("bucket", "k.i", "k.j", "part", "node", "component")
     rows = dealt.join(own.select("node", "n", "sketch"), "node")
-    groups = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    tasks = tasks_for(placed.sparkSession, dealt.count(), TASK_ROWS)
+    groups = rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return groups.select("bucket", "i", "j", "part", "node", "component", "n", "sketch").mapInArrow(_compare, "a long, b long")
 
 
