@@ -3,8 +3,10 @@
 1. Every partition of the input fingerprints its rows, once for each distinct text in it, and sends each owner (a
    range of fingerprints) its sorted fingerprints as Golomb-Rice coded gaps: a few bits a fingerprint.
 2. An owner marks the fingerprints that several partitions sent and answers each with a bitmap.
-3. Only suspects (rows whose bit is set, and texts found twice within a partition) are shuffled, with the whole
-   256-bit digest of the bytes, on which equality is decided.  Rows that are not suspects never move.
+3. Rows whose bit is set, and texts found twice within a partition, are suspects.  Their texts are shuffled and
+   compared byte by byte: grouped by digest and text, so copies of a text that one task has travel as one.  Texts of
+   other rows never move.  Rows of equal digests are a group if their bytes turned out equal, and are grouped by their
+   bytes if not.
 
 The fingerprint is a prefix of the digest and long enough that under one row in a thousand is a false suspect.
 """
@@ -15,15 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import column, fresh, materialise
 
-#: Fingerprints an owner holds at about the same time.
-OWNER_ROWS = 1_000_000
+#: Fingerprints an owner holds at about the same time; with more than ``OWNERS`` owners, up to ``OWNER_MOST`` (a message
+#: costs some bytes, so they shouldn't hold too few each).
+OWNER_ROWS, OWNERS, OWNER_MOST = 1_000_000, 4_096, 16_000_000
 #: Rows of a partition that are packed together (about 50 bytes a row).
 PACK_ROWS = 200_000
+#: The filter of suspects that is broadcast: bits for each suspect digest, and bytes at most.
+FILTER_BITS, FILTER_BYTES = 16, 64 << 20
 
 
 # ---- the code -------------------------------------------------------------------------------------------------
@@ -66,7 +73,7 @@ class _Plan:
 
     def __init__(self, rows: int, parts: int):
         self.width = min(56, max(12, (max(rows, 1) - 1).bit_length() + 10))
-        self.owners = max(8, min(1 << 20, -(-rows // OWNER_ROWS), 4096) if rows > OWNER_ROWS * 8 else 8)
+        self.owners = max(8, min(-(-rows // OWNER_ROWS), max(OWNERS, -(-rows // OWNER_MOST))))
         self.span = -(-(1 << self.width) // self.owners)
         self.bits = rice_bits(self.span, max(1, rows // (self.owners * max(parts, 1))))
 
@@ -106,19 +113,26 @@ def _answer(plan: _Plan):
     return run
 
 
-def _resolve(plan: _Plan, pair: tuple[list, list]) -> Iterator[tuple[bytearray, bytearray, bytearray]]:
-    """Of one partition: its packed rows, their digests and the marks of suspects, from the owners' bitmaps."""
-    packs, replies = pair
-    bitmaps = {(p, o): b for p, o, b in replies}
-    for part, rows, blob in packs:
-        prints = _fingerprints(_unpack(blob), plan.width)
-        unique, inverse, counts = np.unique(prints, return_inverse=True, return_counts=True)
-        owners = (unique // np.uint64(plan.span)).astype(np.int64)
-        marks = counts > 1
-        starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(unique)), strict=True):
-            marks[a:b] |= np.unpackbits(np.frombuffer(bitmaps[part, int(owners[a])], np.uint8), count=int(b - a)).astype(bool)
-        yield bytearray(rows), bytearray(blob), bytearray(marks[inverse].astype(np.uint8).tobytes())
+def _resolve(plan: _Plan):
+    """Of one pack: its rows with their digests and the marks of suspects, from the owners' bitmaps."""
+
+    def run(packs: pa.Table, replies: pa.Table) -> pa.Table:
+        bitmaps = dict(zip(replies["owner"].to_pylist(), replies["bitmap"].to_pylist(), strict=True))
+        out = []
+        for rows, blob in zip(packs["rows"].to_pylist(), packs["digests"].to_pylist(), strict=True):
+            prints = _fingerprints(_unpack(blob), plan.width)
+            unique, inverse, counts = np.unique(prints, return_inverse=True, return_counts=True)
+            owners = (unique // np.uint64(plan.span)).astype(np.int64)
+            marks = counts > 1
+            starts = np.flatnonzero(np.diff(owners, prepend=-1))
+            for a, b in zip(starts, np.append(starts[1:], len(unique)), strict=True):
+                marks[a:b] |= np.unpackbits(np.frombuffer(bitmaps[int(owners[a])], np.uint8), count=int(b - a)).astype(bool)
+            table = pa.ipc.open_stream(rows).read_all().combine_chunks()
+            digests = pa.array([blob[i : i + 32] for i in range(0, len(blob), 32)], pa.binary())
+            out.append(pa.table({"rid": table["rid"], "id": table["id"], "digest": digests, "suspect": pa.array(marks[inverse])}))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,20 +157,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, blob, marks in zip(*[batch[n].to_pylist() for n in ("rows", "digests", "marks")], strict=True):
-            table = pa.ipc.open_stream(rows).read_all().combine_chunks()
-            digests = pa.array([blob[i : i + 32] for i in range(0, len(blob), 32)], pa.binary())
-            flags = pa.array(np.frombuffer(marks, np.uint8).astype(bool))
-            yield pa.record_batch([table["rid"].combine_chunks(), table["id"].combine_chunks(), digests, flags], ["rid", "id", "digest", "suspect"])
-
-
 def suspects(rows: DataFrame) -> DataFrame:
     """Of ``rows`` (rid long, unique; id; digest binary of 32 bytes): the same with ``suspect``.
 
-    ``suspect`` is true for every row whose digest occurs in another row, and for a few others.  Rows stay in their
-    partitions.
+    ``suspect`` is true for every row whose digest occurs in another row, and for a few others.
     """
     spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
     packed = materialise(rows.select("rid", "id", "digest").mapInArrow(_pack, "part long, rows binary, digests binary"), "fingerprints")
@@ -165,18 +169,8 @@ def suspects(rows: DataFrame) -> DataFrame:
     messages = packed.select("part", "digests").mapInArrow(_send(plan), "owner long, part long, message binary")
     replies = messages.groupBy("owner").applyInArrow(_answer(plan), "part long, owner long, bitmap binary")
 
-    # The packed rows are not shuffled: bitmaps go to the partition that asked, and the partitions are zipped.
-    asked = packed.rdd.map(tuple)
-    parts = asked.getNumPartitions()
-    homes = spark.createDataFrame(asked.mapPartitionsWithIndex(lambda i, it: ((part, i) for part, _, _ in it)), "part long, home int")
-    found = replies.join(homes, "part").select("home", "part", "owner", "bitmap")
-    back = found.rdd.map(lambda x: (x.home, (x.part, x.owner, x.bitmap))).partitionBy(max(parts, 1), int)
-    missing = back.getNumPartitions() - parts
-    if missing > 0:
-        asked = spark.sparkContext.union([asked, spark.sparkContext.parallelize([], missing)])
-    pairs = asked.mapPartitions(lambda it: [list(it)]).zip(back.mapPartitions(lambda it: [[v for _, v in it]]))
-    done = spark.createDataFrame(pairs.flatMap(lambda pair: _resolve(plan, pair)), "rows binary, digests binary, marks binary")
-    return done.mapInArrow(_rows, f"rid long, id {kind}, digest binary, suspect boolean")
+    # A pack and its answers meet again: fingerprints and row ids, no texts.
+    return packed.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_resolve(plan), f"rid long, id {kind}, digest binary, suspect boolean")
 
 
 def digest_of(text: Column) -> Column:
@@ -184,24 +178,112 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def _held(slots: int, bits: Broadcast):
+    """Rows (id, text) whose digest may be that of a suspect, with their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            first = _slots(b"".join([d[:8] for d in batch["digest"].to_pylist()]), slots)
+            yield batch.filter(pa.array((marks[first >> 3] >> (first & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
+def _slots(firsts: bytes, slots: int) -> np.ndarray:
+    return (np.frombuffer(firsts, ">u8").astype(np.uint64) % np.uint64(slots)).astype(np.int64)
+
+
+def _filter_of(digests: DataFrame) -> tuple[int, bytes]:
+    """A bitmap of the first 8 bytes of ``digests``: at most ``FILTER_BYTES``, whatever their number.
+
+    Tasks hand on their part of it as (block, 8,192 bytes); the driver sets them together.
+    """
+    count = digests.count()
+    slots = min(FILTER_BYTES * 8, max(1 << 16, 1 << (count * FILTER_BITS - 1).bit_length()))
+    block = 1 << 16
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = np.unique(_slots(b"".join(d[:8] for d in batch["digest"].to_pylist()), slots)) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(first // block), pa.array((first % block).astype(np.int32))], ["block", "place"])
+
+    def bitmap(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(block, np.uint8)
+        out[table["place"].to_numpy()] = 1
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    found = digests.select("digest").mapInArrow(marks, "block long, place int").distinct().groupBy("block").applyInArrow(bitmap, "block long, bits binary")
+    whole = bytearray(slots // 8)
+    for row in found.toLocalIterator():
+        whole[row.block * block // 8 : (row.block + 1) * block // 8] = row.bits
+    return slots, bytes(whole)
+
+
+def unequal(docs: DataFrame, digests: DataFrame, text: str, order: str) -> DataFrame:
+    """Rows (id, text, digest) of the digests, among ``digests``, that texts of different bytes share.
+
+    All texts whose digest is among ``digests`` are compared byte by byte; with SHA-256 nothing is ever found.
+    """
+    body = F.coalesce(column(text), F.lit(""))
+    slots, bits = _filter_of(digests)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    kind = docs.schema[order].dataType.simpleString()
+    rows = docs.select(column(order).alias("id"), body.alias("text"), digest_of(column(text)).alias("digest"))
+    held = rows.mapInArrow(_held(slots, sent), f"id {kind}, text string, digest binary")
+    texts = held.groupBy("digest", "text").agg(F.count("*").alias("n"))
+    clashes = materialise(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "clashes")
+    if clashes.isEmpty():
+        return rows.where("false")
+    return materialise(held.join(clashes, "digest", "left_semi").select("id", "text", "digest"), "unequal")
+
+
 def exact_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: ``order``, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are; null is the empty text.  Of equal texts the row with the largest ``order``
-    stays (nulls are smallest); of several rows with that same ``order`` exactly one stays.  ``keep_id`` is the
-    ``order`` of the row that stays.  An empty table gives no rows; other columns are not read.
+    Texts are equal when their bytes are, which is looked at for all texts of equal digests; null is the empty text.
+    Of equal texts the row with the largest ``order`` stays (nulls are smallest); of several rows with that same
+    ``order``, repeated rows too, exactly one stays.  ``keep_id`` is the ``order`` of the row that stays.  Texts may be
+    of any length.  An empty table gives no rows; other columns are not read.
     """
-    base = docs.select(F.col(order).alias("id"), F.monotonically_increasing_id().alias("rid"), digest_of(F.col(text)).alias("digest"))
+    found = _judged(docs, text, order)
+    return found.select(F.col("id").alias(order), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _judged(docs: DataFrame, text: str, order: str) -> DataFrame:
+    base = docs.select(column(order).alias("id"), F.monotonically_increasing_id().alias("rid"), digest_of(column(text)).alias("digest"))
     marked = materialise(suspects(base), "suspects")
-    alone = marked.where("not suspect").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    rest = marked.where("suspect")
-    groups = materialise(rest.groupBy("digest").agg(F.max(F.struct("id", "rid")).alias("top"), F.count("*").alias("group_size")), "groups")
-    joined = rest.join(groups, "digest").select("id", "digest", F.col("top.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"))
-    return alone.unionByName(joined).select(F.col("id").alias(order), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    nothing = F.lit(None).cast("string").alias("clash")
+    alone = marked.where("not suspect").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), nothing)
+    groups = materialise(marked.where("suspect").groupBy("digest").agg(F.max(F.struct("id", "rid")).alias("top"), F.count("*").alias("group_size")), "groups")
+    shared = groups.where("group_size > 1")
+    other = unequal(docs, shared, text, order)
+    rest = marked.where("suspect").join(other.select("digest").distinct(), "digest", "left_anti")
+    joined = rest.join(groups, "digest").select("id", "digest", F.col("top.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), nothing)
+    # Digests that failed: their few rows are grouped by the bytes themselves.
+    own = Window.partitionBy("digest", "text")
+    place = F.row_number().over(own.orderBy(F.col("id").desc_nulls_last()))
+    apart = other.select("id", "digest", F.max("id").over(own).alias("keep_id"), F.count("*").over(own).alias("group_size"), (place == 1).alias("kept"), F.col("text").alias("clash"))
+    return alone.unionByName(joined).unionByName(apart)
+
+
+def _name(order: Column, digest: Column) -> Column:
+    """32 bytes that tell a row by its order and its text's digest."""
+    return F.unhex(F.sha2(F.concat_ws(":", order.isNull().cast("string"), F.coalesce(order.cast("string"), F.lit("")), F.hex(digest)), 256))
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that ``exact_duplicates`` doesn't keep."""
-    kept = exact_duplicates(docs, text, order).where("kept").select(F.xxhash64(order, "text_sha256").alias("__row"))
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(order), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    return keyed.join(materialise(kept, "kept"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    """``docs`` without the rows that ``exact_duplicates`` doesn't keep, with all columns whatever their names.
+
+    A row is told by its order, the digest of its text and, where digests fail, the text; of repeated rows one stays.
+    """
+    row, clash = fresh(docs.columns, "__row"), fresh(docs.columns, "__clash")
+    kept = _judged(docs, text, order).where("kept").select(_name(F.col("id"), F.col("digest")).alias(row), F.col("clash").alias(clash))
+    kept = materialise(kept, "kept")
+    keyed = docs.withColumn(row, _name(column(order), digest_of(column(text))))
+    out = keyed.join(kept.where(F.col(clash).isNull()).select(row), row, "left_semi").dropDuplicates([row])
+    failed = kept.where(F.col(clash).isNotNull())
+    if not failed.isEmpty():
+        told = keyed.withColumn(clash, F.coalesce(column(text), F.lit("")))
+        out = out.unionByName(told.join(failed, [row, clash], "left_semi").dropDuplicates([row, clash]).drop(clash))
+    return out.drop(row)

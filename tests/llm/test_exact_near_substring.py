@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.llm import exact, near, substring, words
 
@@ -62,6 +63,38 @@ def test_exact_stage_keeps_columns_and_one_row(spark, rows):
     assert out.count() == len({t or "" for _, t, *_ in rows})
 
 
+def test_exact_where_digests_fail(spark, rows, monkeypatch):
+    """With digests that collide all the time, bytes decide, and no row is lost."""
+    monkeypatch.setattr(exact, "digest_of", lambda text: F.unhex(F.sha2(F.length(F.coalesce(text, F.lit(""))).cast("string"), 256)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    groups: dict[str, list] = {}
+    for i, text, *_ in rows:
+        groups.setdefault(text or "", []).append(i)
+    assert len({len(t) for t in groups}) < len(groups)
+    got = exact.exact_duplicates(df).collect()
+    top = lambda ids: max((i for i in ids if i is not None), default=None)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == sorted((str(i), str(top(groups[t or ""])), len(groups[t or ""])) for i, t, *_ in rows)
+    assert sum(r.kept for r in got) == len(groups)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in exact.drop_duplicates(df).collect()) == sorted((top(ids) is None, top(ids) or 0, t) for t, ids in groups.items())
+
+
+def test_one_order_and_two_texts(spark):
+    """Rows that share their order, or are null in it, are told apart by their texts in all three."""
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (1, "m n o p q"), (1, "r s t u v"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "en", "x", 1) for r in rows], "doc_id long, text string, lang string, `a.b` string, __row int")
+    for run in (exact.drop_duplicates, near.drop_duplicates):
+        got = run(df)
+        assert got.columns == df.columns
+        texts = sorted(r.text or "" for r in got.collect())
+        assert texts == sorted({t or "" for _, t in rows} if run is exact.drop_duplicates else [t or "" for _, t in rows])
+    assert substring.remove_repeats(df).count() == len(rows)
+
+
+def test_near_stage_agrees_with_the_operator(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert near.drop_duplicates(df).count() == near.near_duplicates(df).where("kept").count()
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 1, 2, 3], sorted(random.Random(1).sample(range(1 << 40), 500))])
 def test_golomb_round_trip(values):
     for bits in (0, 3, 17, 30) if len(values) < 100 else (26, 33):
