@@ -88,24 +88,30 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet")
 
 
-#: Blocks in which rows of a group are numbered or summed up one by one.
-BLOCKS = 512
+#: Rows of a block that is numbered or summed up by itself, and the least number of blocks.
+BLOCK_ROWS, BLOCKS = 200_000, 512
+
+
+def _blocks(rows: DataFrame) -> int:
+    return max(BLOCKS, -(-rows.count() // BLOCK_ROWS))
 
 
 def number_within(rows: DataFrame, group: str, by: list[str], name: str) -> DataFrame:
     """Adds ``name`` (long): the place of a row among those of its ``group``, gapless from 0, in an order that ``by`` fixes.
 
-    A group is cut into blocks by a hash of ``by``; each block is numbered by itself and starts where the blocks before
-    it end, so no task holds a whole group.  Rows equal in ``by`` follow each other in any order.  There must be few
-    groups (one row for each group and block is broadcast).
+    A group is cut into blocks by a hash of ``by``, as many as the rows ask for; each block is numbered by itself and
+    starts where the blocks before it end, so no task holds a whole group.  Rows equal in ``by`` follow each other in
+    any order.  A null group is a group; an empty table stays empty; other columns may have any names.  ``rows`` are
+    counted first, so they should be stored.
     """
-    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(*by), F.lit(BLOCKS)).cast("int"))
-    counts = blocked.groupBy(group, "__block").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    numbered = blocked.withColumn("__row", F.row_number().over(Window.partitionBy(group, "__block").orderBy(*by)))
-    joined = numbered.join(F.broadcast(starts), [group, "__block"])
-    return joined.select(*[F.col(c) for c in rows.columns], (F.col("__start") + F.col("__row") - 1).cast("long").alias(name))
+    block, start, n, row, own = (fresh([*rows.columns, name], x) for x in ("__block", "__start", "__n", "__row", "__group"))
+    blocked = rows.withColumns({block: F.pmod(F.xxhash64(*map(column, by)), F.lit(_blocks(rows))).cast("long"), own: column(group)})
+    counts = blocked.groupBy(own, block).agg(F.count("*").alias(n))
+    before = Window.partitionBy(own).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(own).alias(f"{own}2"), F.col(block).alias(f"{block}2"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    numbered = blocked.withColumn(row, F.row_number().over(Window.partitionBy(own, block).orderBy(*map(column, by))))
+    joined = numbered.join(starts, F.col(own).eqNullSafe(F.col(f"{own}2")) & (F.col(block) == F.col(f"{block}2")))
+    return joined.select(*[column(c) for c in rows.columns if c != name], (F.col(start) + F.col(row) - 1).cast("long").alias(name))
 
 
 def running_total(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
@@ -113,11 +119,25 @@ def running_total(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
 
     As ``number_within``: blocks are summed first, then each block's rows start at its sum.
     """
-    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(by), F.lit(BLOCKS)).cast("int"))
-    sums = blocked.groupBy("__block").agg(F.sum(value).alias("__n"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy("__block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    summed = blocked.withColumn("__sum", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    joined = summed.join(F.broadcast(starts), "__block")
-    return joined.select(*[F.col(c) for c in rows.columns], (F.col("__start") + F.col("__sum")).cast("long").alias(name))
+    block, start, n, total = (fresh([*rows.columns, name], x) for x in ("__block", "__start", "__n", "__sum"))
+    blocked = rows.withColumn(block, F.pmod(F.xxhash64(column(by)), F.lit(_blocks(rows))).cast("long"))
+    sums = blocked.groupBy(block).agg(F.sum(column(value)).alias(n))
+    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(block, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inner = Window.partitionBy(block).orderBy(column(by)).rowsBetween(Window.unboundedPreceding, -1)
+    summed = blocked.withColumn(total, F.coalesce(F.sum(column(value)).over(inner), F.lit(0)))
+    joined = summed.join(starts, block)
+    return joined.select(*[column(c) for c in rows.columns if c != name], (F.col(start) + F.col(total)).cast("long").alias(name))
+
+
+def wrapped(rows: DataFrame, *names: str, without: tuple[str, ...] = (), row: str = "row") -> DataFrame:
+    """The named columns, and all of ``rows`` but ``without`` as the struct ``row``, so that they clash with nothing."""
+    kept = [c for c in rows.columns if c not in without]
+    whole = F.struct(*[column(c) for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
+    return rows.select(*[column(n).alias(n) for n in names], whole.alias(row))
+
+
+def fields(wrapped_rows: DataFrame, row: str = "row") -> list[Column]:
+    """The columns that ``wrapped`` put into ``row``."""
+    names = [f.name for f in wrapped_rows.schema[row].dataType.fields]
+    return [F.col(row).getField(n).alias(n) for n in names if names != ["_"]]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import column, fresh, materialise, wrapped
 
 #: Tables with one row for each source are broadcast up to this many sources (about 100 bytes a row).
 BROADCAST_SOURCES = 50_000
@@ -62,11 +62,14 @@ def mix(rows: DataFrame, weights: list[int] | DataFrame, epochs: int = 3, seed:
     source meets its target to a word, no document gives more than ``epochs`` times its size, and reruns agree.
 
     Null sources form one source; null sizes count as 0; documents without words give 0.  Repeated rows are
-    separate documents.  Other columns are kept; ``source_size``, ``target`` and ``taken`` are replaced.
+    separate documents; ties in the order are rows that take the same.  An empty table gives no rows.  Other columns
+    are kept whatever their names; ``source_size``, ``target`` and ``taken`` are replaced.
     """
-    rows = rows.drop("source_size", "target", "taken")
+    names = [c for c in rows.columns if c not in ("source_size", "target", "taken")]
     spread = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = materialise(rows.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")).withColumns({"__order": spread, "__bucket": F.conv(F.substring(spread, 1, BUCKET_DIGITS), 16, 10).cast("int")}), "mix")
+    base = wrapped(rows, "doc_id", "source", "size", without=("source_size", "target", "taken"))
+    base = base.withColumns({"size": F.coalesce(F.col("size"), F.lit(0)).cast("long"), "__order": spread})
+    base = materialise(base.withColumn("__bucket", F.conv(F.substring("__order", 1, BUCKET_DIGITS), 16, 10).cast("int")), "mix")
     sources = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     weighted = rank_weights(sources, weights) if isinstance(weights, list) else sources.join(weights, sources["source"].eqNullSafe(weights["source"])).select(sources["*"], weights["weight"])
     quota = F.floor("target").cast("long")
@@ -92,8 +95,9 @@ def mix(rows: DataFrame, weights: list[int] | DataFrame, epochs: int = 3, seed:
     ending = out.where(inside).withColumn("__more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__end.before") - upto + F.col("size"))))
     others = out.where(~inside).withColumn("__more", F.when(at.isNull() | (F.col("__bucket") < at), F.col("size")).otherwise(F.lit(0)))
     taken = (F.col("__whole") * F.col("size") + F.col("__more")).cast("long")
-    names = [c for c in rows.columns if c != "size"]
-    return ending.unionByName(others).select(*names, "size", "source_size", "target", taken.alias("taken"))
+    both = ending.unionByName(others)
+    own = {"size": F.col("size")}
+    return both.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in names], "source_size", "target", taken.alias("taken"))
 
 
 def _ending(parts: DataFrame, rests: DataFrame, small) -> DataFrame:
@@ -110,8 +114,14 @@ def _join(left: DataFrame, right: DataFrame, name: str, how: str = "inner") -> D
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """The rows of a mix, each as often as it is taken: whole repetitions, and the last one if it is at least half taken."""
-    whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1)))
-    times = (whole + F.when((F.col("taken") - whole * F.col("size")) * 2 >= F.greatest("size", F.lit(1)), 1).otherwise(0)).cast("int")
-    return mixed.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__i")
+    """The rows of a mix (with size and taken), each as often as it is taken: whole repetitions, and the last one if it
+    is at least half taken.
 
+    Rows that are taken less than half, and those without words, are left out; null counts as 0.  Repeated rows are
+    repeated one by one, an empty table stays empty, other columns may have any names.
+    """
+    size, taken = F.coalesce(column("size"), F.lit(0)), F.coalesce(column("taken"), F.lit(0))
+    whole = F.floor(taken / F.greatest(size, F.lit(1)))
+    times = (whole + F.when((taken - whole * size) * 2 >= F.greatest(size, F.lit(1)), 1).otherwise(0)).cast("int")
+    count, each = fresh(mixed.columns, "__times"), fresh(mixed.columns, "__each")
+    return mixed.withColumn(count, times).where(F.col(count) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count, each)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialise, words_of
+from .common import column, fields, let, materialise, words_of, wrapped
 
 #: Soft rules and their cutoffs, mildest first: a document is rejected if its share is above the cutoff.
 SOFT_RULES = {
@@ -31,6 +31,7 @@ ERROR = 0.05
 #: Tables with one row for each stratum are broadcast up to this many rows.
 BROADCAST_STRATA = 20_000
 WINDOW = 5
+METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def _repeated(words: Column) -> Column:
@@ -54,14 +55,16 @@ def _repeated(words: Column) -> Column:
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` and ``base_failed``.
 
-    Lines count if they hold a word.  Null and empty texts have zero of everything and fail for their few words.
-    Columns of these names in ``docs`` are replaced; nothing is shuffled.
+    Lines count if they hold a word.  Null and empty texts have zero of everything and fail for their few words; texts
+    of any length are measured as a whole.  Each row is measured by itself, so repeated rows have equal metrics and an
+    empty table none; nothing is shuffled.  Columns of these names in ``docs`` are replaced, others kept whatever
+    their names.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
-    docs = docs.drop(*[c for c in own if c != text])
-    whole = F.coalesce(F.col(text), F.lit(""))
-    words, lines = F.col("__words"), F.col("__lines")
-    out = docs.withColumns({"__words": words_of(whole), "__lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    own = METRICS
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    words, lines = F.col("words"), F.col("lines")
+    out = wrapped(docs, without=tuple(c for c in own if c != text)).select("row", F.col("row").getField(text).alias("text"))
+    out = out.withColumns({"words": words_of(whole), "lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     out = out.withColumns({
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -71,7 +74,7 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": let(words, _repeated),
     })
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).select(*docs.columns, *own)
+    return out.withColumn("base_failed", failed).select(*fields(out), *own)
 
 
 def soft_shares() -> dict[str, Column]:
@@ -109,11 +112,12 @@ def select_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: dict[
 
     Returns (stratum, rule, cutoff, n_good, n_rejected): a row for each stratum and rule whose mildest cutoff could
     be proven; the others have none and never reject.  Each rule may use ``risk / len(rules)``.  Documents that are
-    not ``good`` don't count; strata without a good document get no row.  A null stratum is a stratum.
+    not ``good`` don't count; strata without a good document get no row, an empty table none.  A null stratum is a
+    stratum.  Rows are taken as independent: copies of a text should come as one (``learn`` sees to that).
     """
     rules = rules or SOFT_RULES
     counts = [F.count_if(F.col(r) > c).cast("long").alias(f"{r}:{i}") for r, cuts in rules.items() for i, c in enumerate(cuts)]
-    by = labelled.where(good).groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").cast("long").alias("n_good"), *counts)
+    by = labelled.where(good).groupBy(column(stratum).alias("stratum")).agg(F.count("*").cast("long").alias("n_good"), *counts)
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"`{r}:{i}`").alias("n_rejected")) for r, cuts in rules.items() for i, c in enumerate(cuts)])
     tests = by.select("stratum", "n_good", F.explode(grid).alias("g")).select("stratum", "n_good", "g.*")
     strata = by.agg(F.count("*").alias("strata"))
@@ -127,26 +131,38 @@ def select_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: dict[
 
 
 def judge(metrics: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    """``metrics`` with ``kept``: not ``base_failed``, and no soft share above its stratum's cutoff."""
+    """``metrics`` with ``kept``: not ``base_failed``, and no soft share above its stratum's cutoff.
+
+    A null stratum is a stratum; those without cutoffs, all of them if there are no labels, reject nothing by soft
+    shares.  Rows are judged one by one; a column ``kept`` is replaced, others are kept whatever their names.
+    """
     names = list(SOFT_RULES)
-    wide = cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in names])
+    wide = cutoffs.groupBy(F.col("stratum").alias("stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in names])
     wide = materialise(wide, "cutoffs")
     if wide.count() <= BROADCAST_STRATA:
         wide = F.broadcast(wide)
     shares = soft_shares()
-    joined = metrics.join(wide, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
+    own = [c for c in METRICS if c != "base_failed"]
+    rows = wrapped(metrics, *own, "base_failed", without=("kept",)).withColumn("own_stratum", F.col("row").getField(stratum))
+    joined = rows.join(wide, F.col("own_stratum").eqNullSafe(F.col("stratum")), "left")
     rejected = F.lit(False)
     for r in names:
-        rejected = rejected | F.coalesce(shares[r] > F.col(f"__{r}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("__stratum", *[f"__{r}" for r in names])
+        rejected = rejected | F.coalesce(shares[r] > F.col(f"cutoff_{r}"), F.lit(False))
+    return joined.select(*fields(joined), (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
-def learn(metrics: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id") -> DataFrame:
+def learn(metrics: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", text_key: str | None = None) -> DataFrame:
     """``select_cutoffs`` on the rows of ``metrics`` that ``labels`` (key, quality) cover and that pass the base rules.
 
-    A document with several labels is good only if all of them say 1.
+    A document with several labels is good only if all of them say 1; null labels say nothing.  With ``text_key``, a
+    column that equal texts share, each labelled text counts once, as the bound takes labelled documents as
+    independent; a text is good only if all its labels say so.  No labels give no cutoffs.
     """
-    good = labels.groupBy(key).agg(F.min("quality").alias("__quality"))
+    good = labels.where("quality is not null").groupBy(column(key).alias("key")).agg(F.min("quality").alias("quality"))
     shares = soft_shares()
-    labelled = metrics.where(~F.col("base_failed")).join(good, key).select(stratum, "__quality", *[v.alias(k) for k, v in shares.items()])
-    return select_cutoffs(labelled, stratum, F.col("__quality") == 1)
+    rows = wrapped(metrics, *[c for c in METRICS if c != "base_failed"], "base_failed").where(~F.col("base_failed"))
+    told = [F.col("row").getField(key).alias("key"), F.col("row").getField(stratum).alias("of"), (F.col("row").getField(text_key) if text_key else F.lit(None)).alias("text_key")]
+    labelled = rows.select(*told, *[v.alias(k) for k, v in shares.items()]).join(good, "key")
+    if text_key:
+        labelled = labelled.groupBy("of", "text_key", *shares).agg(F.min("quality").alias("quality"))
+    return select_cutoffs(labelled, "of", F.col("quality") == 1)

@@ -28,6 +28,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed; see ``packing.pack`` for nulls, ties and repeated rows."""
     return digest_pieces(packing.pack(common.documents(spark, folder).select("doc_id", "text"), tokenizer_path(), PACK_WINDOW, PACK_END))
 
 
@@ -73,10 +74,11 @@ FROM j
 
 
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = common.documents(spark, folder).select("doc_id", "lang", "text")
+    """Documents judged by rules whose cutoffs are learned from the labels by language, each labelled text counted once."""
+    docs = common.documents(spark, folder).select("doc_id", "lang", "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
     metrics = common.materialise(quality.with_metrics(docs).drop("text"), "metrics")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    cutoffs = quality.learn(metrics, labels, "lang")
+    cutoffs = quality.learn(metrics, labels, "lang", text_key="same")
     own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judge(metrics, cutoffs, "lang").select(*own)
 
@@ -90,12 +92,12 @@ WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS_SQL} AS ws,
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 rep AS (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT place) AS n FROM rep GROUP BY doc_id),
-m AS (SELECT w.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+m AS (SELECT w.doc_id, lang, md5(t) AS same, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
       len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share,
       n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share FROM m),
-x AS (SELECT doc_id, lang, rule, share FROM (SELECT doc_id, lang, symbol_share, dup_line_share, repeat_share FROM b) UNPIVOT (share FOR rule IN (symbol_share, dup_line_share, repeat_share))),
-good AS (SELECT x.* FROM x JOIN b USING (doc_id) JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE q = 1 AND NOT base_failed),
+x AS (SELECT doc_id, lang, same, rule, share FROM (SELECT doc_id, lang, same, symbol_share, dup_line_share, repeat_share FROM b) UNPIVOT (share FOR rule IN (symbol_share, dup_line_share, repeat_share))),
+good AS (SELECT x.lang, x.rule, x.same, x.share FROM x JOIN b USING (doc_id) JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed GROUP BY ALL HAVING min(q) = 1),
 grid(rule, step, cutoff) AS (VALUES {grid}),
 tests AS (SELECT lang, g.rule, step, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM good JOIN grid g ON g.rule = good.rule GROUP BY ALL),
 proof AS (SELECT *, k < n * {each} AND least(1.0, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each})))))
@@ -111,6 +113,7 @@ OP3_SQL = _op3_sql()
 
 
 def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """All URLs judged; see ``urls.filter_urls`` for nulls, ties and repeated rows."""
     rules = spark.createDataFrame(URL_RULES, urls.RULE_SCHEMA)
     return urls.filter_urls(common.pages(spark, folder).select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -128,6 +131,8 @@ SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.action, 'allow') AS verdict
 
 
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in shards of even bytes, equal texts together (two texts whose hashes collide, too); null texts are
+    empty ones.  See ``sharding.assign_shards`` for ties, repeated rows and empty tables."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = common.documents(spark, folder).select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("group")
@@ -138,6 +143,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of all documents; see ``mixing.mix`` for nulls, ties and repeated rows."""
     rows = common.documents(spark, folder).select("doc_id", "source", common.count_words(F.col("text")).alias("size"))
     return mixing.mix(rows, MIX_WEIGHTS, MIX_EPOCHS).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -162,10 +168,23 @@ REPEAT_WORDS = 50
 
 
 def op7_substring(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without repeated passages; see ``substring.remove_repeats`` for nulls, ties and repeated rows."""
     return substring.remove_repeats(common.documents(spark, folder).select("doc_id", "text"), REPEAT_WORDS)
 
 
+OP7_SQL = rf"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {REPEAT_WORDS - 1}], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {REPEAT_WORDS - 2})) AS i FROM w)),
+firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win),
+gone AS (SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, unnest(range(i, i + {REPEAT_WORDS})) AS place FROM firsts WHERE least < doc_id) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.place) AS text, count(word) AS n FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w) w
+  LEFT JOIN (SELECT doc_id, unnest(places) AS place, TRUE AS out FROM gone) g ON g.doc_id = w.doc_id AND g.place = w.place WHERE g.out IS NULL GROUP BY w.doc_id)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, (len(w.ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
 def op8_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with the one of equal text that stays; see ``exact.exact_duplicates`` for nulls and repeated rows."""
     return exact.exact_duplicates(common.documents(spark, folder).select("doc_id", "text"))
 
 
@@ -178,13 +197,34 @@ FROM g WINDOW w AS (PARTITION BY t)
 
 
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages; see ``html.extract_text`` for nulls, empty and broken pages and repeated rows."""
     return html.extract_text(common.pages(spark, folder).select("page_id", "url", "html"))
 
 
 def op10_near(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their near duplicates; see ``near.near_duplicates`` for nulls, ties and repeated rows."""
     return near.near_duplicates(common.documents(spark, folder).select("doc_id", "text"))
 
 
+OP10_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM sets GROUP BY doc_id)),
+ones AS (SELECT s.doc_id, s.g, z.n FROM sets s JOIN sizes z USING (doc_id) WHERE doc_id IN (SELECT class FROM classes)),
+-- A link shares one of the rarest quarter of its shingles, by (documents that have it, shingle).
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r FROM (SELECT *, count(*) OVER (PARTITION BY g) AS f FROM ones)),
+heads AS (SELECT doc_id, g, n FROM ranked WHERE r <= n - (3 * n + 3) // 4 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM heads a JOIN heads b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM (SELECT p.a, p.b, na, nb, count(*) AS c FROM pairs p JOIN ones x ON x.doc_id = p.a JOIN ones y ON y.doc_id = p.b AND x.g = y.g GROUP BY ALL) WHERE 100 * c >= 75 * (na + nb - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT class AS node, class AS seen FROM classes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(l.component, w.doc_id) AS component_id, coalesce(l.component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN classes c ON c.doc_id = w.doc_id LEFT JOIN least l ON l.node = c.class
+"""
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -201,4 +241,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op8_exact": OP8_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL}

@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import column, fresh, materialise
 
 #: A group of more than total / (shards * HEAVY) bytes is scheduled by itself: at most shards * HEAVY such groups.
 HEAVY = 64
@@ -36,11 +36,15 @@ def least_loaded(sizes: list[tuple[object, int]], shards: int) -> dict[object, i
 def assign_shards(rows: DataFrame, shards: int, group: str, size: str) -> DataFrame:
     """``rows`` with ``shard`` (int, from 0), where rows of one ``group`` (a long) share a shard and bytes are even.
 
-    A null ``group`` is a group like any other and a null ``size`` counts as 0.  An empty table gives no rows.
-    A single group above the mean load of a shard still stays whole: its shard then exceeds the others.
+    A null ``group`` is a group like any other and a null ``size`` counts as 0.  Groups of equal size are scheduled by
+    their number, so reruns agree; repeated rows are of one group and so share a shard.  A single group above the mean
+    load of a shard still stays whole: its shard then exceeds the others.  An empty table gives no rows.  A column
+    ``shard`` is replaced; others are kept whatever their names.
     """
-    key = F.coalesce(F.col(group), F.lit(-1).cast("long"))
-    groups = materialise(rows.groupBy(key.alias("g")).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).cast("long").alias("bytes")), "groups").withColumn("bundle", _bundle("g", shards))
+    kept = rows.drop("shard") if "shard" in rows.columns else rows
+    keys, names, own, shared = (fresh(kept.columns, x) for x in ("__key", "__name", "__own", "__shared"))
+    key = F.coalesce(column(group), F.lit(-1).cast("long"))
+    groups = materialise(kept.groupBy(key.alias("g")).agg(F.sum(F.coalesce(column(size), F.lit(0))).cast("long").alias("bytes")), "groups").withColumn("bundle", _bundle(F.col("g"), shards))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     heavy = F.col("bytes") > F.lit(total / (shards * HEAVY))
     large = [(int(r.g), int(r.bytes)) for r in groups.where(heavy).select("g", "bytes").collect()]
@@ -49,16 +53,16 @@ def assign_shards(rows: DataFrame, shards: int, group: str, size: str) -> DataFr
     plan = least_loaded(large + bundles, shards)
 
     spark = rows.sparkSession
-    by_group = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in large], "__g long, __own int"))
-    by_bundle = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in bundles], "__bundle string, __shared int"))
-    out = rows.withColumn("__key", key).withColumn("__name", _bundle("__key", shards))
-    out = out.join(by_group, F.col("__key") == F.col("__g"), "left").join(by_bundle, F.col("__name") == F.col("__bundle"), "left")
-    return out.select(*[F.col(c) for c in rows.columns], F.coalesce("__own", "__shared").alias("shard"))
+    by_group = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in large], f"`{keys}` long, `{own}` int"))
+    by_bundle = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in bundles], f"`{names}` string, `{shared}` int"))
+    out = kept.withColumn(keys, key).withColumn(names, _bundle(F.col(keys), shards))
+    out = out.join(by_group, keys, "left").join(by_bundle, names, "left")
+    return out.select(*[column(c) for c in kept.columns], F.coalesce(own, shared).alias("shard"))
 
 
-def _bundle(key: str, shards: int) -> Column:
+def _bundle(key: Column, shards: int) -> Column:
     """The bundle of a group: level 0 takes half of the groups, level 1 a quarter, and so on."""
-    spread = F.xxhash64(F.col(key), F.lit("bundle"))
+    spread = F.xxhash64(key, F.lit("bundle"))
     level = F.lit(LEVELS - 1)
     for i in reversed(range(LEVELS - 1)):
         level = F.when(F.getbit(spread, F.lit(i)) == 0, F.lit(i)).otherwise(level)

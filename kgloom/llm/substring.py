@@ -1,15 +1,18 @@
 """Substring dedup with suffix automata of reference shards.
 
-A window is a run of words of fixed length.  Windows that start in two documents are found in shards: the windows of
-a document are cut into runs that share a minimizer (the least hash among the 16-word grams of a window), so equal
-windows meet in the shard of their minimizer.  Runs whose minimizer only one text has are left out, the others are
-trimmed to the windows whose hash two texts have, and equal segments become one with the smallest document they stand
-in.  Each shard builds the suffix automaton of its segments, whose states know the smallest document of their
-occurrences, and streams the segments through it: the matching statistics tell for each window in which document it
-stands first, and so the maximal spans to remove.
-
-No automaton is sent to all documents, as the corpus is its own reference and its automata grow with it: the documents'
-segments go to the shard instead.
+A window is a run of words of fixed length.  Documents are cut into runs of windows that share a minimizer (the least
+hash among the 16-word grams of a window), so equal windows have equal minimizers.  Runs whose minimizer only one text
+has are left out, the others are trimmed to windows whose hash two texts have; this only routes: it says which
+stretches may be shared, not which are.
+
+The reference is the corpus itself: its distinct stretches, in the order of their minimizers, are cut into shards of a
+bounded number of words.  Of each shard a suffix automaton is built and frozen into sorted arrays; its states know the
+smallest document of their occurrences.  Every stretch of every document is then streamed through the automata of the
+shards that hold its minimizer.  The matching statistics tell, for each window, in which document it stands first,
+word for word, and so the maximal spans to remove.
+
+An automaton isn't sent to all documents, as the automata of a corpus grow with it: it goes where the stretches for it
+go, and they stream past it, so a task holds one automaton of bounded size, whatever it is asked.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import column, materialise, row_key, tasks_for
 from .words import batches_of, window_hashes, word_hashes
 
 #: Words of a gram; the minimizer of a window is the least hash of its grams.
 GRAM = 16
-#: Words of a shard's segments, about: an automaton has up to twice as many states.
+#: Words of a shard, at most (a longer stretch makes a shard of its own): about 10 MB of arrays.
 SHARD_WORDS = 100_000
-BATCH_BYTES = 1_000_000
+#: Bytes of text that a worker looks at together, and stretches that it streams together.
+BATCH_BYTES, BATCH_SEGMENTS = 1_000_000, 2_000
 #: Stands for a null order, above all others.
 LAST = (1 << 63) - 1
 
@@ -81,14 +85,14 @@ def _scan(size: int):
                 least, first, count, text = runs_of(hashes, bounds, size)
                 offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
                 items = pa.StructArray.from_arrays([pa.array(least.view(np.int64)), pa.array((first - bounds[text]).astype(np.int32)), pa.array(count.astype(np.int32))], ["m", "start", "count"])
-                digests = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
-                yield pa.record_batch([batch["id"], batch["row"], batch["key"], pa.array(np.diff(bounds)), pa.array(digests), pa.ListArray.from_arrays(pa.array(offsets), items)], ["id", "row", "key", "n_words", "digest", "runs"])
+                digests = [hashlib.sha256(b" ".join(t.split())).digest() for t in texts]
+                yield pa.record_batch([batch["rid"], batch["id"], batch["row"], pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), items)], ["rid", "id", "row", "n_words", "digest", "runs"])
 
     return run
 
 
 def _window_hashes(size: int):
-    """(row, m, start, hashes) for each candidate run."""
+    """(rid, m, start, hashes) for each candidate run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -96,27 +100,27 @@ def _window_hashes(size: int):
                 hashes, _, _, bounds = word_hashes(texts)
                 windows = window_hashes(hashes, size).view(np.int64)
                 rows: list[tuple] = []
-                for row, low, runs in zip(batch["row"].to_pylist(), bounds.tolist(), batch["runs"].to_pylist(), strict=False):
+                for row, low, runs in zip(batch["rid"].to_pylist(), bounds.tolist(), batch["runs"].to_pylist(), strict=False):
                     rows += [(row, r["m"], r["start"], windows[low + r["start"] : low + r["start"] + r["count"]]) for r in runs]
                 values = [x[3] for x in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
                 flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
                 yield pa.record_batch(
                     [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                    ["row", "m", "start", "hashes"],
+                    ["rid", "m", "start", "hashes"],
                 )
 
     return run
 
 
 def _segments(size: int):
-    """(row, id, start, m, segment, name) for each maximal stretch of shared windows of a run."""
+    """(rid, id, start, m, segment, name) for each maximal stretch of windows of a run that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in _texts(whole):
                 rows: list[tuple] = []
-                for row, order, text, found in zip(batch["row"].to_pylist(), batch["id"].to_pylist(), texts, batch["windows"].to_pylist(), strict=True):
+                for row, order, text, found in zip(batch["rid"].to_pylist(), batch["id"].to_pylist(), texts, batch["windows"].to_pylist(), strict=True):
                     words = text.split()
                     places = sorted((w["start"], w["m"]) for w in found)
                     at = 0
@@ -124,10 +128,10 @@ def _segments(size: int):
                         if i == len(places) or places[i][0] != places[i - 1][0] + 1 or places[i][1] != places[i - 1][1]:
                             start, m = places[at]
                             part = b" ".join(words[start : places[i - 1][0] + size])
-                            rows.append((row, order, start, m, part, hashlib.blake2b(part, digest_size=16, key=m.to_bytes(8, "little", signed=True)).digest()))
+                            rows.append((row, order, start, m, part, hashlib.blake2b(part, digest_size=32).digest()))
                             at = i
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["row", "id", "start", "m", "segment", "name"])
+                yield pa.record_batch([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["rid", "id", "start", "m", "segment", "name"])
 
     return run
 
@@ -135,84 +139,203 @@ def _segments(size: int):
 # ---- automata -------------------------------------------------------------------------------------------------
 
 
-class SuffixAutomaton:
-    """The automaton of several sequences; each state knows the least label of the sequences it occurs in."""
+class Builder:
+    """A suffix automaton of several sequences of symbols while it grows, with a label for each of them.
+
+    Edges are kept in arrays, those of a state as a chain; one table finds an edge by state and symbol.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.edge: dict[int, int] = {}
+        self.symbol: list[int] = []
+        self.target: list[int] = []
+        self.chain: list[int] = []
+        self.first = [-1]
         self.link = [-1]
         self.length = [0]
         self.label = [LAST]
 
-    def _state(self, following: dict[int, int], link: int, length: int) -> int:
-        self.next.append(following)
+    def _state(self, link: int, length: int) -> int:
+        self.first.append(-1)
         self.link.append(link)
         self.length.append(length)
         self.label.append(LAST)
-        return len(self.next) - 1
+        return len(self.link) - 1
+
+    def _connect(self, state: int, symbol: int, target: int) -> None:
+        self.edge[state << 32 | symbol] = len(self.target)
+        self.symbol.append(symbol)
+        self.target.append(target)
+        self.chain.append(self.first[state])
+        self.first[state] = len(self.target) - 1
 
     def _split(self, p: int, q: int, symbol: int) -> int:
-        copy = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1)
+        """A copy of ``q`` for the shorter strings that lead there, by way of ``p`` and its suffixes."""
+        copy = self._state(self.link[q], self.length[p] + 1)
+        at = self.first[q]
+        while at >= 0:
+            self._connect(copy, self.symbol[at], self.target[at])
+            at = self.chain[at]
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(symbol) == q:
-            self.next[p][symbol] = copy
+        edge, target = self.edge, self.target
+        while p >= 0 and target[edge[p << 32 | symbol]] == q:
+            target[edge[p << 32 | symbol]] = copy
             p = self.link[p]
         return copy
 
     def add(self, sequence: list[int], label: int) -> None:
-        last = 0
+        last, edge, target, link, length = 0, self.edge, self.target, self.link, self.length
         for symbol in sequence:
-            q = self.next[last].get(symbol, -1)
-            if q >= 0:
-                last = q if self.length[q] == self.length[last] + 1 else self._split(last, q, symbol)
+            at = edge.get(last << 32 | symbol, -1)
+            if at >= 0:
+                q = target[at]
+                last = q if length[q] == length[last] + 1 else self._split(last, q, symbol)
             else:
-                new, p = self._state({}, 0, self.length[last] + 1), last
-                while p >= 0 and symbol not in self.next[p]:
-                    self.next[p][symbol] = new
-                    p = self.link[p]
+                new, p = self._state(0, length[last] + 1), last
+                while p >= 0 and p << 32 | symbol not in edge:
+                    self._connect(p, symbol, new)
+                    p = link[p]
                 if p >= 0:
-                    q = self.next[p][symbol]
-                    self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, symbol)
+                    q = target[edge[p << 32 | symbol]]
+                    link[new] = q if length[q] == length[p] + 1 else self._split(p, q, symbol)
                 last = new
             if label < self.label[last]:
                 self.label[last] = label
 
-    def finish(self) -> None:
-        """Hand labels up the suffix links."""
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            up = self.link[s]
-            if up >= 0 and self.label[s] < self.label[up]:
-                self.label[up] = self.label[s]
-
-    def least(self, sequence: list[int], size: int) -> list[int]:
-        """For every window of ``size`` symbols the least label of a sequence that has it (``LAST`` if none has)."""
-        out, state, matched = [], 0, 0
-        following, link, length = self.next, self.link, self.length
-        for i, symbol in enumerate(sequence):
-            while state and symbol not in following[state]:
-                state = link[state]
-                matched = length[state]
-            if symbol in following[state]:
-                state = following[state][symbol]
-                matched += 1
-            while state and length[link[state]] >= size:
-                state = link[state]
-                matched = length[state]
-            if i + 1 >= size:
-                out.append(self.label[state] if matched >= size else LAST)
-        return out
-
-
-def _match(size: int):
-    def run(table: pa.Table) -> pa.Table:
+
+class SuffixAutomaton:
+    """A finished automaton: edges sorted by state and symbol, and for each state its suffix link, the length of its
+    longest string and the least label of the sequences that it occurs in."""
+
+    NAMES = ("keys", "targets", "link", "length", "label")
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray, link: np.ndarray, length: np.ndarray, label: np.ndarray):
+        self.keys, self.targets, self.link, self.length, self.label = keys, targets, link, length, label
+
+    @classmethod
+    def of(cls, sequences: list[list[int]], labels: list[int]) -> SuffixAutomaton:
+        built = Builder()
+        for sequence, label in zip(sequences, labels, strict=True):
+            built.add(sequence, label)
+        keys = np.fromiter(built.edge.keys(), np.int64, len(built.edge))
+        targets = np.array(built.target, np.int32)[np.fromiter(built.edge.values(), np.int64, len(built.edge))]
+        order = np.argsort(keys)
+        link, length, label = np.array(built.link, np.int32), np.array(built.length, np.int32), np.array(built.label, np.int64)
+        # Labels go up the suffix links, longest strings first.
+        by = np.argsort(-length, kind="stable")
+        cuts = np.flatnonzero(np.diff(length[by], prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+            some = by[a:b]
+            some = some[link[some] >= 0]
+            np.minimum.at(label, link[some], label[some])
+        return cls(keys[order], targets[order], link, length, label)
+
+    def dump(self) -> list[bytes]:
+        return [getattr(self, n).tobytes() for n in self.NAMES]
+
+    @classmethod
+    def load(cls, parts: list[bytes]) -> SuffixAutomaton:
+        return cls(*[np.frombuffer(x, t) for x, t in zip(parts, (np.int64, np.int32, np.int32, np.int32, np.int64), strict=True)])
+
+    def least(self, sequences: list[np.ndarray], size: int) -> list[np.ndarray]:
+        """For every window of ``size`` symbols of each sequence the least label of a sequence that has it (``LAST`` if
+        none has).  All sequences are read side by side, a symbol at a time; negative symbols stand nowhere."""
+        lengths = np.array([len(x) for x in sequences], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
+        codes = np.concatenate([np.asarray(x, np.int64) for x in sequences]) if len(sequences) else np.zeros(0, np.int64)
+        widths = np.maximum(lengths - size + 1, 0)
+        places = np.concatenate([[0], np.cumsum(widths)])
+        out = np.full(int(places[-1]), LAST, np.int64)
+        first = places[:-1][order]
+        state, matched = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        ended = lengths[order]
+        for t in range(int(lengths.max(initial=0))):
+            active = int(np.searchsorted(-ended, -t, side="left"))
+            symbol = codes[starts[:active] + t]
+            open_ = np.flatnonzero(symbol >= 0)
+            lost = np.flatnonzero(symbol < 0)
+            state[lost] = matched[lost] = 0
+            while len(open_):
+                key = state[open_] << 32 | symbol[open_]
+                at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+                hit = self.keys[at] == key if len(self.keys) else np.zeros(len(open_), bool)
+                went = open_[hit]
+                state[went] = self.targets[at[hit]]
+                matched[went] += 1
+                open_ = open_[~hit]
+                stuck = state[open_] == 0
+                matched[open_[stuck]] = 0
+                open_ = open_[~stuck]
+                state[open_] = self.link[state[open_]]
+                matched[open_] = self.length[state[open_]]
+            # The shortest strings that still hold a window are those that occur most.
+            far = np.arange(active)
+            while len(far):
+                up = self.link[state[far]]
+                far, up = far[up >= 0], up[up >= 0]
+                more = self.length[up] >= size
+                far, up = far[more], up[more]
+                state[far] = up
+                matched[far] = self.length[up]
+            if t + 1 >= size:
+                out[first[:active] + t + 1 - size] = np.where(matched[:active] >= size, self.label[state[:active]], LAST)
+        return [out[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of stretches (m, segment, least) in the order of m: (shard, minimizers, words, parts of the automaton)."""
+    held: list[tuple[int, list[bytes], int]] = []
+    total = 0
+
+    def flush() -> pa.RecordBatch:
+        numbers: dict[bytes, int] = {}
+        sequences = [[numbers.setdefault(w, len(numbers)) for w in words] for _, words, _ in held]
+        automaton = SuffixAutomaton.of(sequences, [x for _, _, x in held])
+        row = [sorted({m for m, _, _ in held}), b" ".join(numbers), automaton.dump()]
+        # The name of a shard needs only be its own: a stretch stands in one shard.
+        name = int.from_bytes(hashlib.blake2b(b" ".join(held[0][1]), digest_size=8, key=held[0][0].to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+        held.clear()
+        return pa.record_batch([pa.array([name], pa.int64()), pa.array([row[0]], pa.list_(pa.int64())), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.list_(pa.binary()))], ["shard", "minimizers", "words", "parts"])
+
+    for batch in batches:
+        for m, segment, least in zip(batch["m"].to_pylist(), batch["segment"].to_pylist(), batch["least"].to_pylist(), strict=True):
+            words = segment.split(b" ")
+            if held and total + len(words) > SHARD_WORDS:
+                yield flush()
+                total = 0
+            held.append((m, words, least))
+            total += len(words)
+    if held:
+        yield flush()
+
+
+def _stream(size: int):
+    """Of rows in the order of their shard, the automaton's first: (name, firsts) of each stretch after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton: SuffixAutomaton | None = None
         numbers: dict[bytes, int] = {}
-        sequences = [[numbers.setdefault(w, len(numbers)) for w in s.split(b" ")] for s in table["segment"].to_pylist()]
-        automaton = SuffixAutomaton()
-        for sequence, label in zip(sequences, table["least"].to_pylist(), strict=True):
-            automaton.add(sequence, label)
-        automaton.finish()
-        found = [automaton.least(s, size) for s in sequences]
-        return pa.table({"name": table["name"].cast(pa.binary()), "firsts": pa.array(found, pa.list_(pa.int64()))})
+        shard: int | None = None
+        for whole in batches:
+            shards = whole["shard"].to_numpy()
+            kinds = whole["is_query"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1]) | ~kinds[1:]) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if not kinds[a]:
+                    automaton = SuffixAutomaton.load(whole["parts"][a].as_py())
+                    numbers = {w: i for i, w in enumerate(whole["segment"][a].as_py().split(b" "))}
+                    shard = int(shards[a])
+                    continue
+                if automaton is None or shard != int(shards[a]):
+                    raise RuntimeError("stretches without their automaton")
+                for at in range(a, b, BATCH_SEGMENTS):
+                    part = whole.slice(at, min(BATCH_SEGMENTS, b - at))
+                    sequences = [np.array([numbers.get(w, -1) for w in s.split(b" ")], np.int64) for s in part["segment"].to_pylist()]
+                    found = automaton.least(sequences, size)
+                    yield pa.record_batch([part["name"], pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["name", "firsts"])
 
     return run
 
@@ -233,7 +356,7 @@ def _remove(size: int):
                     out = np.cumsum(edges)[:-1] > 0
                     removed.append(int(out.sum()))
                     kept.append(b" ".join([w for w, gone in zip(words, out.tolist(), strict=True) if not gone]))
-                yield pa.record_batch([batch["row"], pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_removed", "kept"])
+                yield pa.record_batch([batch["digest"], pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["digest", "n_removed", "kept"])
 
     return run
 
@@ -246,53 +369,65 @@ def remove_repeats(docs: DataFrame, size: int = 50, text: str = "text", order: s
 
     A word is removed if a window of ``size`` words over it stands, word for word, also in a row with a smaller
     ``order`` (an integer; null counts as larger than all).  Windows are judged on the input.  ``kept_sha256`` is of
-    the kept words joined by one space.  Texts of fewer than ``size`` words, null and empty ones too, lose nothing.
-    Rows with equal ``order`` remove nothing from each other, so repeated rows have equal results.  An empty table
-    gives no rows; other columns are not read.
+    the kept words joined by one space.  Texts of fewer than ``size`` words, null and empty ones too, lose nothing;
+    texts may be of any length.  Rows with equal ``order`` remove nothing from each other, so repeated rows have equal
+    results.  An empty table gives no rows; other columns are not read.
+
+    Rows of the same words (by SHA-256) are judged once, as the one with the smallest order: what that one keeps, all
+    of that order keep, and those of a larger order keep nothing, as all their windows stand in it.
     """
-    spark = docs.sparkSession
     kind = docs.schema[order].dataType.simpleString()
-    rows = docs.select(F.col(order).cast("long").alias("id"), F.xxhash64(F.col(order), F.col(text)).alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    keyed = rows.select("id", "row", F.unhex(F.md5("text")).alias("key"), "text")
-    base = materialise(keyed.mapInArrow(_scan(size), "id long, row long, key binary, n_words long, digest string, runs array<struct<m:long,start:int,count:int>>"), "runs")
-
-    # Of equal texts the row with the smallest order stands for all; the others lose all their windows.
-    placed = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "row")
-    tops = base.where(F.col("n_words") >= size).groupBy("key").agg(F.min(placed).alias("top"), F.max(F.coalesce("id", F.lit(LAST))).alias("latest"))
-    tops = materialise(tops.select("key", "top.id", "top.row", "latest"), "texts")
-    copies = base.select("key", "id", "row").join(tops.where("latest > id").select("key", F.col("id").alias("least")), "key").where(F.coalesce("id", F.lit(LAST)) > F.col("least")).select("row").distinct()
-
-    own = base.where(F.size("runs") > 0).select("row", "runs").join(tops.select("row"), "row", "left_semi")
-    runs = materialise(own.select("row", F.explode("runs").alias("r")).select("row", "r.m", "r.start", "r.count"), "own-runs")
-    shared = runs.groupBy("m").agg(F.min("row").alias("x"), F.max("row").alias("y")).where("x <> y").select("m")
-    near = runs.join(materialise(shared, "minimizers"), "m").groupBy("row").agg(F.collect_set(F.struct("m", "start", "count")).alias("runs"))
-    candidates = materialise(rows.select("row", "text").join(near, "row"), "candidates")
-
-    windows = candidates.mapInArrow(_window_hashes(size), "row long, m long, start int, hashes array<long>")
-    windows = materialise(windows.select("row", "m", "start", F.posexplode("hashes").alias("i", "hash")).select("row", "m", (F.col("start") + F.col("i")).alias("start"), "hash"), "windows")
-    twice = windows.groupBy("hash").agg(F.min("row").alias("x"), F.max("row").alias("y")).where("x <> y").select("hash")
-    held = windows.join(materialise(twice, "hashes"), "hash").groupBy("row").agg(F.collect_set(F.struct("start", "m")).alias("windows"))
-    cut = candidates.select("row", "text").join(held, "row").join(tops.select("row", "id"), "row").select("row", "id", "text", "windows")
-    segments = materialise(cut.mapInArrow(_segments(size), "row long, id long, start int, m long, segment binary, name binary"), "segments")
+    rows = docs.select(column(order).cast("long").alias("id"), row_key(column(order), column(text)).alias("row"), F.coalesce(column(text), F.lit("")).cast("binary").alias("text"))
+    scanned = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "row", "text")
+    base = materialise(scanned.mapInArrow(_scan(size), "rid long, id long, row binary, n_words long, digest binary, runs array<struct<m:long,start:int,count:int>>"), "runs")
+    spark = docs.sparkSession
+
+    placed = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "rid")
+    tops = base.where(F.col("n_words") >= size).groupBy("digest").agg(F.min(placed).alias("top"), F.count("*").alias("n"))
+    tops = materialise(tops.select("digest", "top.id", "top.rid", "n"), "texts")
+
+    own = base.where(F.size("runs") > 0).select("rid", "runs").join(tops.select("rid"), "rid", "left_semi")
+    runs = materialise(own.select("rid", F.explode("runs").alias("r")).select("rid", "r.m", "r.start", "r.count"), "own-runs")
+    shared = runs.groupBy("m").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x <> y").select("m")
+    near = runs.join(materialise(shared, "minimizers"), "m").groupBy("rid").agg(F.collect_set(F.struct("m", "start", "count")).alias("runs"))
+    named = near.join(tops.select("rid", "id", "digest"), "rid").join(base.select("rid", "row"), "rid")
+    candidates = materialise(rows.select("row", "text").join(named, "row"), "candidates")
+
+    windows = candidates.mapInArrow(_window_hashes(size), "rid long, m long, start int, hashes array<long>")
+    windows = materialise(windows.select("rid", "m", "start", F.posexplode("hashes").alias("i", "hash")).select("rid", "m", (F.col("start") + F.col("i")).alias("start"), "hash"), "windows")
+    twice = windows.groupBy("hash").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x <> y").select("hash")
+    held = windows.join(materialise(twice, "hashes"), "hash").groupBy("rid").agg(F.collect_set(F.struct("start", "m")).alias("windows"))
+    cut = candidates.select("rid", "id", "text").join(held, "rid").select("rid", "id", "text", "windows")
+    segments = materialise(cut.mapInArrow(_segments(size), "rid long, id long, start int, m long, segment binary, name binary"), "segments")
 
     distinct = materialise(segments.groupBy("name").agg(F.min("id").alias("least"), F.first("m").alias("m"), F.first("segment").alias("segment")), "distinct-segments")
     words = distinct.agg(F.sum(F.size(F.split(F.col("segment").cast("string"), " ")))).first()[0] or 0
-    shards = max(12, -(-words // SHARD_WORDS))
-    matched = distinct.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInArrow(_match(size), "name binary, firsts array<long>")
-    matched = materialise(matched, "matched")
-    hits = segments.join(matched, "name").select("row", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("span"))
-    spans = hits.where(F.size("span") > 0).groupBy("row").agg(F.collect_list("span").alias("spans"))
-    partly = candidates.select("row", "text").join(spans, "row").mapInArrow(_remove(size), "row long, n_removed long, kept binary")
-    partly = partly.select("row", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), *[F.col("kept").cast("string").alias("kept_text")] * with_text)
-    gone = copies.select("row", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), *[F.lit("").alias("kept_text")] * with_text)
-    # A copy's windows all stand in the row that its text is judged by, so it isn't in ``partly``.
-    changed = materialise(partly.unionByName(gone).dropDuplicates(["row"]), "changed").withColumnRenamed("kept_sha256", "changed")
-
-    out = base.select("id", "row", "n_words", "digest").join(changed, "row", "left")
-    removed = F.when(F.col("changed").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_words")).cast("long")
-    result = out.select(F.col("id").cast(kind).alias(order), "row", "n_words", removed.alias("n_removed"), F.coalesce("changed", "digest").alias("kept_sha256"), *["kept_text"] * with_text)
+    dealt = distinct.select("m", "segment", "least").repartitionByRange(tasks_for(spark, words, SHARD_WORDS), "m", "segment").sortWithinPartitions("m", "segment")
+    shards = materialise(dealt.mapInArrow(_build, "shard long, minimizers array<long>, words binary, parts array<binary>"), "shards")
+
+    # A stretch goes to each shard that holds its minimizer: one, or several where a minimizer has more than one's words.
+    where = shards.select("shard", F.explode("minimizers").alias("m"))
+    asked = distinct.select("m", "name", "segment").join(where, "m").select("shard", F.lit(True).alias("is_query"), "name", "segment", F.lit(None).cast("array<binary>").alias("parts"))
+    automata = shards.select("shard", F.lit(False).alias("is_query"), F.lit(None).cast("binary").alias("name"), F.col("words").alias("segment"), "parts")
+    met = automata.unionByName(asked).repartition(tasks_for(spark, words, SHARD_WORDS), "shard").sortWithinPartitions("shard", "is_query")
+    matched = materialise(met.mapInArrow(_stream(size), "name binary, firsts array<long>"), "matched")
+    least = matched.groupBy("name").agg(F.collect_list("firsts").alias("all"))
+    least = least.select("name", F.aggregate(F.slice("all", 2, 1_000_000), F.get("all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))).alias("firsts"))
+    hits = segments.join(least, "name").select("rid", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("span"))
+    spans = hits.where(F.size("span") > 0).groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    partly = candidates.select("rid", "digest", "text").join(spans, "rid").mapInArrow(_remove(size), "digest binary, n_removed long, kept binary")
+    partly = partly.select("digest", "n_removed", F.sha2("kept", 256).alias("changed"), *[F.col("kept").cast("string").alias("kept_text")] * with_text).dropDuplicates(["digest"])
+
+    # Of each text that stands several times or loses words: the smallest order, and what its row keeps.
+    results = tops.join(partly, "digest", "left").where("n > 1 or n_removed is not null").select("digest", F.col("id").alias("least"), "n_removed", "changed", *["kept_text"] * with_text)
+    out = base.select("id", "row", "n_words", "digest").join(materialise(results, "changed"), "digest", "left")
+    later = F.coalesce(F.coalesce("id", F.lit(LAST)) > F.col("least"), F.lit(False))
+    removed = F.when(later, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
+    nothing = hashlib.sha256(b"").hexdigest()
+    sha = F.when(later, F.lit(nothing)).otherwise(F.coalesce("changed", F.lower(F.hex("digest"))))
+    result = out.select(F.col("id").cast(kind).alias(order), "row", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"), *[F.when(later, "").otherwise(F.col("kept_text")).alias("kept_text")] * with_text)
     if with_text:
-        whole = docs.select(F.xxhash64(F.col(order), F.col(text)).alias("row"), F.col(text).alias("__text")).dropDuplicates(["row"])
+        whole = docs.select(row_key(column(order), column(text)).alias("row"), column(text).alias("__text")).dropDuplicates(["row"])
         words_again = F.array_join(F.filter(F.split(F.coalesce("__text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
         result = result.join(whole, "row").withColumn("kept_text", F.coalesce("kept_text", words_again)).drop("__text")
     return result.drop("row")

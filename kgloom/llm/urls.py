@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fields, materialise, wrapped
 
 #: Rule tables up to this many rows are sent to every executor (about 200 bytes a row); larger ones are shuffled.
 BROADCAST_RULES = 20_000
@@ -47,15 +47,16 @@ def filter_urls(table: DataFrame, rules: DataFrame, url: str = "url", default: s
     none fits) and ``verdict`` (``default`` if none fits); columns of these names in ``table`` are replaced.
 
     Null URLs and URLs without ``://`` have an empty host and path and get the default.  Repeated rows are judged
-    one by one and all kept; an empty table or an empty rule table gives no rows or only defaults.
+    one by one and all kept; an empty table or an empty rule table gives no rows or only defaults.  Other columns may
+    have any names.  Of two rules for the same host and path, ``block`` counts.
 
     Path prefixes are cut only where a rule's path ends and host suffixes only as deep as a rule's host, so a URL
     of any length has at most (labels of the deepest rule) x (distinct lengths of rule paths) expressions, and none
     is left out.
     """
-    added = {"host", "path", "rule", "verdict"}
-    base = table.drop(*[c for c in table.columns if c in added and c != url])
-    source = materialise(base.withColumns({"__id": F.monotonically_increasing_id(), "__host": host_of(F.col(url)), "__path": path_of(F.col(url))}), "urls")
+    added = ("host", "path", "rule", "verdict")
+    base = wrapped(table, without=tuple(c for c in added if c != url)).select("row", F.col("row").getField(url).alias("__url"))
+    source = materialise(base.select("row", F.monotonically_increasing_id().alias("__id"), host_of(F.col("__url")).alias("__host"), path_of(F.col("__url")).alias("__path")), "urls")
 
     rules = rules.select(
         F.col("action").alias("__action"), F.concat("host", "path").alias("__rule"),
@@ -79,5 +80,5 @@ def filter_urls(table: DataFrame, rules: DataFrame, url: str = "url", default: s
     best = hits.groupBy("__id").agg(F.max(rank).alias("__best"))
     judged = source.join(best, "__id", "left")
     return judged.select(
-        *[F.col(c) for c in base.columns], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict")
+        *fields(judged), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict")
     )

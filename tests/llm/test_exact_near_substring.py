@@ -175,18 +175,23 @@ def test_substring(spark, rows):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_substring_in_small_shards(spark, rows, monkeypatch):
+    """Minimizers whose stretches fill several shards have the same results."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", 90)
+    got = substring.remove_repeats(spark.createDataFrame(rows, SCHEMA), 50).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == _repeats(rows, 50)
+
+
 def test_automaton_against_brute_force():
     rng = random.Random(3)
     for size in (2, 5):
         sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(40)]
         labels = [rng.randrange(20) for _ in sequences]
-        automaton = substring.SuffixAutomaton()
-        for s, x in zip(sequences, labels, strict=True):
-            automaton.add(s, x)
-        automaton.finish()
-        for s in [*sequences, [2, 2, 2, 0, 1, 0, 1, 2] * 3]:
+        automaton = substring.SuffixAutomaton.load(substring.SuffixAutomaton.of(sequences, labels).dump())
+        asked = [*sequences, [2, 2, 2, 0, 1, 0, 1, 2] * 3, [], [0, 1, -1, 1, 2, 0, -1, 0, 0, 1, 2, 1]]
+        for s, found in zip(asked, automaton.least([np.array(x, np.int64) for x in asked], size), strict=True):
             want = [min((x for t, x in zip(sequences, labels, strict=True) if any(t[k : k + size] == s[i : i + size] for k in range(len(t) - size + 1))), default=substring.LAST) for i in range(len(s) - size + 1)]
-            assert automaton.least(s, size) == want
+            assert found.tolist() == want
 
 
 @pytest.mark.parametrize("run", [exact.exact_duplicates, near.near_duplicates, substring.remove_repeats])
