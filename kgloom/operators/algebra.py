@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pattern(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:
+def pattern(triples: DataFrame, s: str, p: str, o: str, g: str | None = None) -> DataFrame:
     """Solutions of one triple pattern: terms that start with ``?`` are variables, all others constants.
 
-    Constants become filters (pushed to the scan); a variable that stands twice must have equal values.
+    Constants become filters (pushed to the scan); a variable that stands twice must have equal values.  ``g`` is the
+    term for the graph of a table that has the column ``g``.
     """
     out, names = triples, {}
-    for column, term in (("s", s), ("p", p), ("o", o)):
+    for column, term in (("s", s), ("p", p), ("o", o), *((("g", g),) if g is not None else ())):
         if not term.startswith("?"):
             out = out.where(F.col(column) == term)
         elif term[1:] in names:
@@ -100,6 +101,23 @@ def construct(solutions: DataFrame, template: Iterable[Sequence[str]]) -> DataFr
     return solutions.select(F.explode(cells).alias("t")).select("t.*").where("s is not null and p is not null and o is not null").distinct()
 
 
+def construct_quads(solutions: DataFrame, template: Iterable[Sequence[str]]) -> DataFrame:
+    """As ``construct`` for (g, s, p, o)."""
+    term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
+    cells = F.array(*[F.struct(*[term(x).alias(n) for n, x in zip("gspo", row, strict=True)]) for row in template])
+    return solutions.select(F.explode(cells).alias("t")).select("t.*").where("g is not null and s is not null and p is not null and o is not null").distinct()
+
+
+def drop_graph(quads: DataFrame, graph: str) -> DataFrame:
+    """``quads`` (g, s, p, o) without a graph; one that isn't there is no error."""
+    return quads.where(F.col("g") != graph)
+
+
+def pinned(quads: DataFrame, graph: str) -> DataFrame:
+    """The one graph that a query may see."""
+    return quads.where(F.col("g") == graph)
+
+
 def ask(solutions: DataFrame) -> DataFrame:
     """One row: whether there is a solution."""
     return solutions.select(F.lit(1).alias("x")).limit(1).agg((F.count("*") > 0).alias("answer"))
@@ -126,18 +144,23 @@ def modify(graph: DataFrame, solutions: DataFrame, delete: list[Sequence[str]],
 def path_plus(edges: DataFrame, seeds: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node): nodes that one or more ``edges`` lead to from the ``seeds`` (start), as a set.
 
-    Breadth first: each round extends only pairs found in the last one, so cycles end.  ``store`` cuts the lineage
-    after each round.
+    Each round doubles the length of the ways that are known, so chains of any length take a logarithmic number of
+    rounds: what is reached so far is extended by ways of up to 2^k edges, and then those ways by themselves.  Cycles
+    end as sets stop growing.  ``store`` cuts the lineage after each round.
     """
-    step = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct()
-    front = store(seeds.select("start", F.col("start").alias("node")).distinct())
-    found = None
-    while True:
-        reached = front.join(step, "node").select("start", F.col("to").alias("node")).distinct()
-        front = store(reached if found is None else reached.join(found, ["start", "node"], "left_anti"))
-        if front.isEmpty():
-            return front if found is None else found
-        found = front if found is None else found.union(front)
+    ways = store(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct())
+    found = store(seeds.select("start").distinct().join(ways, F.col("start") == F.col("node")).select("start", F.col("to").alias("node")).distinct())
+    size = found.count()
+    while size:
+        # Only ways from nodes that are reached are made longer.
+        live = ways.join(found.select("node").distinct(), "node", "left_semi")
+        found = store(found.union(found.join(live, "node").select("start", F.col("to").alias("node"))).distinct())
+        grown = found.count()
+        if grown == size:
+            break
+        size = grown
+        ways = store(ways.union(ways.join(ways.toDF("to", "next"), "to").select("node", F.col("next").alias("to"))).distinct())
+    return found
 
 
 def path_star(edges: DataFrame, seeds: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matching
-from ..functions.columns import cosine, structural_similarity
+from ..functions.columns import cosine, normalize_tokens, structural_similarity
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,34 @@ class TypeConfig:
             raise ValueError("the weights of a type must sum to 1")
 
 
+#: A type's settings, the name under which a configuration sets them for all types, and what holds if it doesn't.
+SETTINGS = {
+    "threshold": 0.8, "weights": {"syntactic": 0.5, "semantic": 0.35, "structural": 0.15}, "comparison_predicates": ["name"], "semantic_text_predicates": ["name"],
+    "expand_initials": False, "sparsity_penalty": 1.0, "sparsity_max_fields": 1, "hard_match_predicates": None,
+}
+
+
+def check_weights(weights: dict[str, float], where: str) -> None:
+    """Weights must sum to 1; none at all are allowed."""
+    if weights and abs(sum(weights.values()) - 1) > 1e-6:
+        raise ValueError(f"the weights of {where} sum to {sum(weights.values()):.6f}, not to 1")
+
+
+def settings_of(config: dict, kind: str) -> dict:
+    """A type's settings: its own, or else those for all types (``default_*``), or else the built-in ones."""
+    own, shared = config.get("entity_types", {}).get(kind, {}), config.get("settings", {})
+    found = {name: next((c[n] for c, n in ((own, name), (shared, f"default_{name}")) if n in c), value) for name, value in SETTINGS.items()}
+    check_weights(found["weights"], kind)
+    return found
+
+
+def type_config(config: dict, kind: str) -> TypeConfig:
+    found = settings_of(config, kind)
+    weights = {"syntactic": 0.0, "semantic": 0.0, "structural": 0.0} | found["weights"]
+    hard = found["hard_match_predicates"] or {}
+    return TypeConfig(found["threshold"], **weights, initials=found["expand_initials"], sparsity=found["sparsity_penalty"], sparsity_fields=found["sparsity_max_fields"], hard_match=tuple(sorted(hard.items())))
+
+
 def conflict(keys: list[str], a: str, b: str) -> Column:
     """No identifier is shared, and one that both sides have differs (array columns ``<side>_<key>``)."""
     both = [F.arrays_overlap(f"{a}_{k}", f"{b}_{k}") for k in keys]
@@ -68,6 +96,35 @@ def score_strings(pairs: DataFrame, a: str, b: str, name: str, initials: bool =
     return keyed.join(scored, ["__x", "__y"], "left").drop("__x", "__y")
 
 
+def similar_pairs(entities: DataFrame, block: list[str], name: str, least: float, condition: Column | None = None, uri: str = "uri") -> DataFrame:
+    """Pairs (a_*, b_*, fuzz) of entities of a block whose names score ``least`` or more.
+
+    Distinct names of a block are paired and scored first.  Their tokens in sorted order have a ratio of at most
+    2 * shorter / (shorter + longer), so pairs of very different lengths are dropped before the kernel sees them; only
+    names that are alike are then expanded to their entities.
+    """
+    names = entities.where(F.col(name).isNotNull()).select(*block, F.col(name).alias("__name")).distinct()
+    names = names.withColumn("__length", F.length(normalize_tokens(F.col("__name"))))
+    x = names.select(*block, F.col("__name").alias("__x"), F.col("__length").alias("__m"))
+    y = names.select(*block, F.col("__name").alias("__y"), F.col("__length").alias("__n"))
+    bound = 2 * F.least("__m", "__n") >= F.lit(least - 1e-9) * (F.col("__m") + F.col("__n"))
+    alike = x.join(y, block).where((F.col("__x") <= F.col("__y")) & bound)
+    scored = alike.select("__x", "__y").distinct().withColumn("fuzz", matching.fuzz_score_udf("__x", "__y")).where(F.col("fuzz") >= least)
+    kept = alike.select(*block, "__x", "__y").join(scored, ["__x", "__y"])
+    a = entities.select(*[F.col(c).alias(c if c in block else f"a_{c}") for c in entities.columns])
+    b = entities.select(*[F.col(c).alias(c if c in block else f"b_{c}") for c in entities.columns])
+    # Either name of an unordered pair may be that of the entity with the smaller URI.
+    turned = kept.select(*block, "__x", "__y", "fuzz").unionByName(kept.where("__x <> __y").select(*block, F.col("__y").alias("__x"), F.col("__x").alias("__y"), "fuzz"))
+    joined = turned.join(a.withColumn("__x", F.col(f"a_{name}")), [*block, "__x"]).join(b.withColumn("__y", F.col(f"b_{name}")), [*block, "__y"]).where(F.col(f"a_{uri}") < F.col(f"b_{uri}")).drop("__x", "__y")
+    return joined if condition is None else joined.where(condition)
+
+
+def semantic_text(fields: dict[str, Column]) -> Column:
+    """The values (arrays) of an entity's fields in their order, joined by blanks; null if it has none."""
+    values = F.filter(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in fields.values()])), lambda x: F.trim(x) != "")
+    return F.nullif(F.array_join(values, " "), F.lit(""))
+
+
 def syntactic(scores: list[Column], config: TypeConfig) -> Column:
     """The mean of the fields' scores (null: not on both sides), less if only few fields could be compared."""
     found = F.filter(F.array(*scores), lambda s: s.isNotNull())

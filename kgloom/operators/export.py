@@ -41,6 +41,31 @@ def deduplicated(triples: DataFrame, pairs: DataFrame, store: Callable[[DataFram
     return rewrite(merged, strip_hashes(uris).select("uri", F.col("short").alias("canonical")))
 
 
+# ---- prefixes -------------------------------------------------------------------------------------------------
+
+
+def prefix_map(base: DataFrame, schema: DataFrame) -> DataFrame:
+    """(prefix, namespace) of both tables, each prefix once; on a collision the base's counts."""
+    return base.select("prefix", "namespace").unionByName(schema.select("prefix", "namespace").join(base.select("prefix"), "prefix", "left_anti"))
+
+
+def data_prefixes(prefixes: DataFrame, curation: DataFrame) -> DataFrame:
+    """The prefixes of the data graph: without those that only curation needs."""
+    return prefixes.join(curation.select("prefix"), "prefix", "left_anti")
+
+
+def declared_prefixes(query: Column) -> Column:
+    """The (prefix, namespace) pairs that a query's text declares, in their order."""
+    found = F.regexp_extract_all(query, F.lit(r"(?i)(\bPREFIX\s+(?:[A-Za-z][\w-]*)?\s*:\s*<[^>]*>)"))
+    part = lambda x, i: F.regexp_extract(x, r"(?i)PREFIX\s+([A-Za-z][\w-]*)?\s*:\s*<([^>]*)>", i)
+    return F.transform(found, lambda x: F.struct(part(x, 1).alias("prefix"), part(x, 2).alias("namespace")))
+
+
+def default_query(prefixes: Mapping[str, str], rows: int = 50) -> str:
+    """The query that a user starts from: all prefixes in order, and the first triples."""
+    return "".join(f"PREFIX {p}: <{n}>\n" for p, n in sorted(prefixes.items())) + f"\nSELECT ?s ?p ?o\nWHERE {{ ?s ?p ?o }}\nLIMIT {rows}"
+
+
 # ---- serialisation --------------------------------------------------------------------------------------------
 
 

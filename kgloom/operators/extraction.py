@@ -8,6 +8,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import HYPHENS, SPACES
@@ -112,6 +113,87 @@ def merge(items: list) -> list:
     return [*named.values(), *rest]
 
 
+#: What a record says of its extraction rather than of the document.
+BOOKKEEPING = frozenset("input_text raw_completion_output prompt named_entities extracted_object".split())
+
+
+def payload(record: dict) -> object:
+    """The extracted object of a record, or the record without bookkeeping; lists without nulls and empty objects."""
+    found = record.get("extracted_object")
+    value = found if found is not None else {k: v for k, v in record.items() if k not in BOOKKEEPING}
+
+    def bare(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: bare(v) for k, v in x.items()}
+        return [bare(v) for v in x if v is not None and v != {}] if isinstance(x, list) else x
+
+    return bare(value)
+
+
+def merge_objects(objects: list[dict]) -> dict:
+    """Objects of the chunks of a text as one: lists united in order, of other values the last that isn't empty."""
+    out: dict = {}
+    for item in objects:
+        for key, value in item.items():
+            if isinstance(value, list):
+                kept = out.setdefault(key, [])
+                kept += [v for i, v in enumerate(value) if v not in kept and v not in value[:i]]
+            elif value or key not in out:
+                out[key] = value
+    return out
+
+
+def ground(value: Column, permitted: list[str]) -> Column:
+    """The permitted value that equals ``value`` whatever the case, the first of several; null for others."""
+    first = {p.lower(): p for p in reversed(permitted)}
+    known = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in first.items()]))
+    return F.try_element_at(known, F.lower(value))
+
+
+@dataclass(frozen=True)
+class Slot:
+    """A field of a class, as a prompt asks for it and as triples hold it."""
+
+    name: str
+    many: bool = False
+    description: str = ""
+    prompt: str = ""
+    values: tuple[str, ...] = ()
+    iri: bool = False
+    skipped: bool = False
+
+
+# The wording of a prompt, for texts and for short lines, and of its parts.
+PROMPT_TEXT = "From the text below, extract the following entities in the following format:\n\n"
+PROMPT_LINE = "Split the following piece of text into fields in the following format:\n\n"
+PROMPT_MANY, PROMPT_ONE, PROMPT_VALUES = "semicolon-separated list of {}s", "the value for {}", "Must be one of: "
+PROMPT_FRAME = ("\n\nText:\n", "\n\n===\n\n")
+#: Longer texts aren't lines.
+PROMPT_LINE_LENGTH = 60
+
+
+def prompt(slots: list[Slot], text: Column) -> Column:
+    """What a language model is asked, to fill the fields of a class from a text; a short line is to be split."""
+    asked = [s.prompt or s.description or (PROMPT_MANY if s.many else PROMPT_ONE).format(s.name) for s in slots]
+    only = [PROMPT_VALUES + ", ".join(s.values) if s.values else "" for s in slots]
+    fields = "".join(f"{s.name}: <{a}{o}>\n" for s, a, o in zip(slots, asked, only, strict=True) if not s.skipped)
+    line = (F.length(text) <= PROMPT_LINE_LENGTH) & ~F.contains(text, F.lit("\n")) & (text != "")
+    return F.concat(F.when(line, PROMPT_LINE).otherwise(PROMPT_TEXT), F.lit(fields + PROMPT_FRAME[0]), text, F.lit(PROMPT_FRAME[1]))
+
+
+def to_triples(rows: DataFrame, subject: Column, slots: list[Slot], namespace: str, kind: str) -> DataFrame:
+    """Triples (s, p, o, o_kind) of records with a column for each slot: their class, and one for each value."""
+
+    def of(slot: Slot) -> Column:
+        values = F.col(slot.name) if slot.many else F.array(F.col(slot.name))
+        return F.transform(values, lambda v: F.struct(F.lit(namespace + slot.name).alias("p"), v.cast("string").alias("o"), F.lit("iri" if slot.iri else "literal").alias("o_kind")))
+
+    own = F.array(F.struct(F.lit(f"{namespace}type").alias("p"), F.lit(f"{namespace}{kind}").alias("o"), F.lit("iri").alias("o_kind")))
+    cells = [own, *map(of, slots)]
+    every = F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<struct<p:string,o:string,o_kind:string>>")) for c in cells]))
+    return rows.select(subject.alias("s"), F.explode(F.filter(every, lambda x: x["o"].isNotNull() & (x["o"] != ""))).alias("x")).select("s", "x.*")
+
+
 # ---- parsing --------------------------------------------------------------------------------------------------
 
 _FENCE = re.compile(r"^\s*```[\w-]*\s*\n(.*?)\n?\s*```\s*$", re.S)
@@ -180,6 +262,36 @@ def clean_udf(slots: Slots):
     return run
 
 
+def merge_udf():
+    """A UDF: an array of json items -> the json list of ``merge``."""
+
+    @F.pandas_udf("string")
+    def run(items: pd.Series) -> pd.Series:
+        return items.map(lambda xs: None if xs is None else json.dumps(merge([json.loads(x) for x in xs]), ensure_ascii=False, sort_keys=True))
+
+    return run
+
+
+def merge_objects_udf():
+    """A UDF: an array of json objects -> the json object of ``merge_objects``."""
+
+    @F.pandas_udf("string")
+    def run(items: pd.Series) -> pd.Series:
+        return items.map(lambda xs: None if xs is None else json.dumps(merge_objects([json.loads(x) for x in xs]), ensure_ascii=False, sort_keys=True))
+
+    return run
+
+
+def payload_udf():
+    """A UDF: a record as json -> its payload as json."""
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else json.dumps(payload(json.loads(t.replace("\0", ""))), ensure_ascii=False, sort_keys=True))
+
+    return run
+
+
 def parse_udf(many: frozenset[str] = frozenset(), fields: frozenset[str] | None = None):
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:

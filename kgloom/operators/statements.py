@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import local_name, short_id
+
 SAME_AS = "sameAs"
 
 
@@ -119,9 +121,7 @@ def append(versions: DataFrame, chosen: DataFrame, action: str, status: Column,
         "__id": ident, "status": status, "activity_type": F.lit(action), "is_current": F.lit(True), "parent_id": F.col("stmt_id"), "parent_kind": F.lit("statement"),
         "activity_id": F.concat(F.lit(f"{action}-"), ident), "version_no": F.col("version_no") + 1, **changes,
     }).withColumn("stmt_id", F.col("__id")).select(*versions.columns)
-    ids = chosen.select("stmt_id", F.lit(True).alias("__old"))
-    old = versions.join(ids, "stmt_id", "left").withColumn("is_current", F.col("is_current") & F.col("__old").isNull()).select(*versions.columns)
-    return old.unionByName(fresh)
+    return set_not_current(versions, chosen).unionByName(fresh)
 
 
 def accept(versions: DataFrame, data: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,3 +189,86 @@ def is_pending(strict: bool = False) -> Column:
 
 def alignment_id(workspace: str, run: str, documents: Column, duplicate: Column, canonical: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(workspace), F.lit(run), F.array_join(F.array_sort(F.array_distinct(documents)), ","), duplicate, canonical), 256), 1, 24)
+
+
+def write_candidates(triples: DataFrame, annotations: DataFrame, workspace: str, run: str) -> DataFrame:
+    """First versions of the statements of documents: ``triples`` (doc_id, at, s, p, o, o_kind) with their annotations.
+
+    ``annotations`` (doc_id, s, name, value, start, end, confidence) join by subject, the predicate's local name and
+    the value; of several the last by ``start`` counts.  What has none has confidence 0 and no span.  The id is made of
+    workspace, run, document, place and triple.
+    """
+    key = F.struct("start", "end", "confidence")
+    one = annotations.groupBy("doc_id", "s", "name", "value").agg(F.max(key).alias("x"))
+    named = triples.withColumn("name", local_name(F.col("p")))
+    joined = named.join(one.withColumnRenamed("value", "o"), ["doc_id", "s", "name", "o"], "left")
+    ident = short_id(F.lit(workspace), F.lit(run), "doc_id", "at", "s", "p", "o")
+    return joined.select(
+        "doc_id", ident.alias("stmt_id"), "s", "p", "o", "o_kind", F.lit("pending").alias("status"), F.lit(True).alias("is_current"), F.lit("extraction").alias("activity_type"),
+        F.concat(F.lit(f"extract-{run}-"), "doc_id").alias("activity_id"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"), F.col("x.start").alias("span_start"), F.col("x.end").alias("span_end"),
+    )
+
+
+def set_not_current(versions: DataFrame, ids: DataFrame) -> DataFrame:
+    """``versions`` in which those of ``ids`` (stmt_id) aren't current."""
+    marked = versions.join(ids.select("stmt_id", F.lit(True).alias("__old")).distinct(), "stmt_id", "left")
+    return marked.withColumn("is_current", F.col("is_current") & F.col("__old").isNull()).select(*versions.columns)
+
+
+# ---- curators, workspaces and tasks ---------------------------------------------------------------------------
+
+
+def upsert_curators(curators: DataFrame, users: DataFrame) -> DataFrame:
+    """``curators`` (id, name, email, username, is_deleted) after ``users`` (id, name, email, username) acted: theirs
+    are replaced or added, once each; a name falls back to the user name and then to the id."""
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("username"), F.lit("")), F.col("id").cast("string"))
+    fresh = users.select("id", name.alias("name"), "email", "username", F.lit(False).alias("is_deleted")).dropDuplicates(["id"])
+    return curators.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+
+
+def anonymise_curator(curators: DataFrame, ident: Column) -> DataFrame:
+    """``curators`` of all graphs, with the one of this id as a deleted user without e-mail and user name."""
+    gone = F.col("id") == ident
+    none = F.lit(None).cast("string")
+    return curators.withColumns({
+        "name": F.when(gone, "Deleted user").otherwise(F.col("name")), "email": F.when(gone, none).otherwise(F.col("email")),
+        "username": F.when(gone, none).otherwise(F.col("username")), "is_deleted": gone | F.col("is_deleted"),
+    })
+
+
+def drop_workspace(tables: dict[str, DataFrame], workspace: Column) -> dict[str, DataFrame]:
+    """The tables without a workspace: those with ``workspace_id`` lose its rows, tasks those of its runs."""
+    runs = tables["runs"].where(F.col("workspace_id") == workspace).select("run_id")
+    out = {n: t.where(~F.col("workspace_id").eqNullSafe(workspace)) if "workspace_id" in t.columns else t for n, t in tables.items()}
+    if "tasks" in tables:
+        out["tasks"] = tables["tasks"].join(runs, "run_id", "left_anti")
+    return out
+
+
+#: The states of a task and what may follow each.
+NEXT = {"Queued": ("Running", "Failed"), "Running": ("Waiting", "Done", "Failed"), "Waiting": ("Running", "Done", "Failed"), "Failed": ("Queued",), "Done": ()}
+#: The first stage of a file's kind.
+FIRST_STAGE = {"pdf": "convert"}
+
+
+def update_tasks(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """``tasks`` (doc_id, status, stage) after ``changes`` (doc_id, status, stage); failed tasks are skipped, as are
+    changes that don't follow from a task's state."""
+    may = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.array(*map(F.lit, v)).cast("array<string>")) for k, v in NEXT.items()]))
+    wanted = changes.select("doc_id", F.col("status").alias("__status"), F.col("stage").alias("__stage"))
+    joined = tasks.join(wanted, "doc_id", "left")
+    allowed = F.coalesce((F.col("status") != "Failed") & ((F.col("__status") == F.col("status")) | F.array_contains(F.try_element_at(may, F.col("status")), F.col("__status"))), F.lit(False))
+    return joined.withColumns({"status": F.when(allowed, F.col("__status")).otherwise(F.col("status")), "stage": F.when(allowed, F.coalesce("__stage", "stage")).otherwise(F.col("stage"))}).select(*tasks.columns)
+
+
+def retry(tasks: DataFrame, versions: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Failed tasks (doc_id, status, stage, kind) queued again at the first stage of their kind, without the statements
+    and data triples of their documents."""
+    failed = F.col("status") == "Failed"
+    stage = F.lit("extract")
+    for kind, first in FIRST_STAGE.items():
+        stage = F.when(F.col("kind") == kind, first).otherwise(stage)
+    ids = tasks.where(failed).select("doc_id").distinct()
+    gone = versions.join(ids, "doc_id", "left_semi").select("s", "p", "o").distinct()
+    again = tasks.withColumns({"stage": F.when(failed, stage).otherwise(F.col("stage")), "status": F.when(failed, "Queued").otherwise(F.col("status"))})
+    return again, versions.join(ids, "doc_id", "left_anti"), data.join(gone, ["s", "p", "o"], "left_anti")

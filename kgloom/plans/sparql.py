@@ -1,4 +1,4 @@
-"""A text front-end for the algebra: SPARQL SELECT and ASK compiled to DataFrames.
+"""A text front-end for the algebra: SPARQL SELECT, ASK, CONSTRUCT and updates compiled to DataFrames.
 
 Text is tokenised, parsed by recursive descent into a small tree, and each node of the tree becomes one operation of
 ``operators.algebra``; Catalyst plans the result as one query.  Values are compared by lexical form, and as numbers
@@ -8,7 +8,9 @@ where both sides of a comparison are numbers.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+import threading
+import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -46,6 +48,17 @@ class Group:
     parts: list[tuple] = field(default_factory=list)
 
 
+@dataclass
+class Update:
+    """One operation of a request: quads to delete and to insert for all solutions, or a graph to drop."""
+
+    delete: list[tuple[str, str, str, str]] = field(default_factory=list)
+    insert: list[tuple[str, str, str, str]] = field(default_factory=list)
+    where: Group | None = None
+    graph: str | None = None
+    drop: str | None = None
+
+
 @dataclass
 class Query:
     form: str
@@ -57,6 +70,7 @@ class Query:
     order: list[tuple[tuple, bool]] = field(default_factory=list)
     limit: int | None = None
     offset: int = 0
+    template: list[tuple[str, str, str, str]] = field(default_factory=list)
 
 
 # ---- parsing --------------------------------------------------------------------------------------------------
@@ -296,13 +310,87 @@ class _Parser:
     expression = binary
 
     # queries
-    def query(self) -> Query:
+    def prologue(self) -> None:
         while self.take("PREFIX"):
             name = self.next("name")
             self.prefixes[name.rstrip(":")] = self.next("iri")[1:-1]
+
+    def quads(self, graph: str = "") -> list[tuple[str, str, str, str]]:
+        """The quads (g, s, p, o) of a template; without a graph of their own they belong to ``graph``."""
+        self.need("{")
+        out = []
+        while not self.take("}"):
+            if self.take("GRAPH"):
+                out += self.quads(self.term())
+            else:
+                part = Group()
+                self.triples(part)
+                for _, s, path, o in part.parts:
+                    if path[0] not in ("iri", "var"):
+                        self.fail("a template holds no paths")
+                    out.append((graph, s, path[1], o))
+            self.take(".")
+        return out
+
+    def updates(self) -> list[Update]:
+        """The operations of a request, parted by semicolons."""
+        out = []
+        self.prologue()
+        while self.tokens[self.i][0] != "end":
+            out.append(self.operation())
+            if self.tokens[self.i][0] != "end":
+                self.need(";")
+            self.prologue()
+        return out
+
+    def operation(self) -> Update:
+        if self.take("DROP") or self.take("CLEAR"):
+            self.take("SILENT")
+            self.need("GRAPH")
+            return Update(drop=self.iri())
+        out = Update()
+        if self.take("WITH"):
+            out.graph = self.iri()
+        if self.peek("INSERT", "DELETE") and self.tokens[self.i + 1][1].upper() == "DATA":
+            kind = self.next("name").lower()
+            self.i += 1
+            data = self.quads()
+            if any(x.startswith("?") for row in data for x in row):
+                self.fail("data has no variables")
+            setattr(out, kind, data)
+            return out
+        if self.take("DELETE"):
+            if self.take("WHERE"):
+                at = self.i
+                out.delete = self.quads()
+                self.i = at
+                out.where = self.group()
+                return out
+            out.delete = self.quads()
+        if self.take("INSERT"):
+            out.insert = self.quads()
+        if not out.delete and not out.insert:
+            self.fail("expected an update")
+        self.need("WHERE")
+        out.where = self.group()
+        return out
+
+    def query(self) -> Query:
+        self.prologue()
         if self.take("ASK"):
             self.take("WHERE")
             out = Query("ask", self.group())
+        elif self.take("CONSTRUCT"):
+            if self.take("WHERE"):
+                at = self.i
+                template = self.quads()
+                self.i = at
+            else:
+                template = self.quads()
+                self.take("WHERE")
+            out = Query("construct", self.group(), template=template)
+            if self.take("LIMIT"):
+                out.limit = int(self.next("num"))
         else:
             out = self.select()
         if self.tokens[self.i][0] != "end":
@@ -358,8 +446,18 @@ _AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
 
 
 class _Compiler:
-    def __init__(self, triples: DataFrame):
-        self.triples, self.fresh = triples, 0
+    """``triples`` (s, p, o, and g where there are several graphs) are what a group sees; ``graph`` is the term of the
+    GRAPH part that it stands in."""
+
+    def __init__(self, triples: DataFrame, graph: str | None = None):
+        self.triples, self.graph, self.fresh = triples, graph, 0
+
+    def inside(self, graph: str) -> _Compiler:
+        if "g" not in self.triples.columns:
+            return self
+        out = _Compiler(self.triples, graph)
+        out.fresh = self.fresh + 1000
+        return out
 
     def variable(self) -> str:
         self.fresh += 1
@@ -368,10 +466,8 @@ class _Compiler:
     def edge(self, path: tuple, s: str, o: str) -> DataFrame:
         """Solutions of one path between two terms."""
         kind = path[0]
-        if kind == "iri":
-            return A.pattern(self.triples, s, path[1], o)
-        if kind == "var":
-            return A.pattern(self.triples, s, path[1], o)
+        if kind in ("iri", "var"):
+            return A.pattern(self.triples, s, path[1], o, self.graph)
         if kind == "inv":
             return self.edge(path[1], o, s)
         if kind == "seq":
@@ -379,6 +475,8 @@ class _Compiler:
             return A.natural_join(self.edge(path[1], s, middle), self.edge(path[2], middle, o)).drop(middle[1:])
         if kind == "alt":
             return A.union(self.edge(path[1], s, o), self.edge(path[2], s, o))
+        if self.graph is not None and self.graph.startswith("?"):
+            raise QueryError("a path of any length needs the name of its graph")
         # Closures: pairs of all nodes that the inner path links, started at the subject's side.
         pairs = self.edge(path[1], "?src", "?dst").select("src", "dst").distinct()
         seeds = pairs.select(F.col("src").alias("start"))
@@ -415,7 +513,7 @@ class _Compiler:
             elif kind == "sub":
                 join(self.select(part[1]))
             elif kind == "graph":
-                join(self.group(part[2]))
+                join(self.inside(part[1]).group(part[2]))
             elif kind == "values":
                 if out is None:
                     out = self.triples.sparkSession.createDataFrame([tuple(r) for r in part[2]], ", ".join(f"`{n}` string" for n in part[1]))
@@ -529,11 +627,73 @@ def _has_aggregate(e: tuple) -> bool:
     return isinstance(e, tuple) and (e[:1] == ("call",) and e[1] in _AGGREGATES or any(_has_aggregate(x) for x in e if isinstance(x, tuple)) or any(_has_aggregate(y) for x in e if isinstance(x, list) for y in x))
 
 
-def run(text: str, triples: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """The solutions of a SELECT query, or one row ``answer`` for ASK, over ``triples`` (s, p, o).
+def run(text: str, triples: DataFrame, aliases: Mapping[str, str] | None = None, graph: str | None = None) -> DataFrame:
+    """The solutions of a SELECT query, one row ``answer`` for ASK, or the triples of a CONSTRUCT, over ``triples``.
 
-    ``aliases`` may say which predicate ``a`` stands for.  Raises ``QueryError`` for a text that can't be compiled.
+    These are (s, p, o), or (g, s, p, o) with ``graph`` as the one graph that the query is pinned to: other graphs that
+    it names have no triples.  ``aliases`` may say which predicate ``a`` stands for.  Raises ``QueryError`` for a text
+    that can't be compiled.
     """
     query = parse(text, aliases)
-    compiler = _Compiler(triples.select("s", "p", "o"))
-    return A.ask(compiler.group(query.where)) if query.form == "ask" else compiler.select(query)
+    if graph is not None:
+        triples = A.pinned(triples, graph)
+    compiler = _Compiler(triples.select("s", "p", "o", *(["g"] if "g" in triples.columns else [])))
+    if query.form == "ask":
+        return A.ask(compiler.group(query.where))
+    if query.form == "construct":
+        made = A.construct(compiler.group(query.where), [row[1:] for row in query.template])
+        return made.limit(query.limit) if query.limit is not None else made
+    return compiler.select(query)
+
+
+def update(text: str, quads: DataFrame, keep: Callable[[DataFrame], DataFrame], aliases: Mapping[str, str] | None = None, graph: str = "") -> DataFrame:
+    """``quads`` (g, s, p, o) after all operations of a request, in turn; ``graph`` is the default graph.
+
+    ``keep`` cuts the lineage after each operation.  The result is returned as a whole, so nothing is written if an
+    operation can't be compiled.
+    """
+    operations = _Parser(text, aliases or {}).updates()
+    out = quads.select("g", "s", "p", "o").distinct()
+    for operation in operations:
+        if operation.drop is not None:
+            out = keep(A.drop_graph(out, operation.drop))
+            continue
+        default = operation.graph or graph
+        named = lambda rows, g=default: [(r[0] or g, *r[1:]) for r in rows]
+        if operation.where is None:
+            solutions = quads.sparkSession.range(1)
+        else:
+            solutions = keep(_Compiler(out, default).group(operation.where))
+        if operation.delete:
+            out = A.delete_data(out, A.construct_quads(solutions, named(operation.delete)))
+        if operation.insert:
+            out = A.insert_data(out, A.construct_quads(solutions, named(operation.insert)))
+        out = keep(out)
+    return out
+
+
+class QueryTimeout(TimeoutError):
+    """A query took longer than it may."""
+
+
+def within(df: DataFrame, seconds: float, action: Callable[[DataFrame], object] = DataFrame.collect) -> object:
+    """The result of ``action`` on ``df``; ``QueryTimeout`` and cancelled jobs after ``seconds``."""
+    context = df.sparkSession.sparkContext
+    group, late = f"query-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "a query with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action(df)
+    except Exception as error:
+        if late.is_set():
+            raise QueryTimeout(f"no answer in {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)

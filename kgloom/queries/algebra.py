@@ -46,14 +46,6 @@ def graph_var(v: Views) -> DataFrame:
     return v.versions.groupBy(graph.alias("g")).agg(F.count("*").alias("n"))
 
 
-@register("SELECT stmt_id AS s, o FROM versions WHERE doc_id % 2 = 0 AND FALSE", "versions")
-def pinned_graph(v: Views) -> DataFrame:
-    """A query pinned to one graph that names another gives no rows, and no error."""
-    graphs = v.versions.withColumn("graph", F.when(F.col("doc_id") % 2 == 0, "data").otherwise("curation"))
-    pinned = graphs.where("graph = 'curation'")
-    return pinned.where("graph = 'data'").select(F.col("stmt_id").alias("s"), "o")
-
-
 @register(f"SELECT DISTINCT o AS segment FROM triples WHERE p = '{P}segment'", "triples")
 def select_distinct(v: Views) -> DataFrame:
     return A.pattern(v.triples, "?c", f"{P}segment", "?segment").select("segment").distinct()
@@ -198,16 +190,6 @@ def modify_where(v: Views) -> DataFrame:
     return A.modify(v.triples.select("s", "p", "o"), low, [("?x", f"{P}priority", "5-LOW")], [("?x", f"{P}priority", "low")])
 
 
-@register("SELECT doc_id, stmt_id FROM versions WHERE doc_id % 2 = 1", "versions")
-def drop_graph(v: Views) -> DataFrame:
-    return v.versions.where("NOT (doc_id % 2 = 0)").select("doc_id", "stmt_id")
-
-
-@register(f"SELECT s AS c FROM triples WHERE p = '{P}type' AND o = '{NS}c/Customer' AND s NOT IN (SELECT o FROM triples WHERE p = '{P}placedBy')", "triples")
-def minus_pattern(v: Views) -> DataFrame:
-    return A.minus(A.pattern(v.triples, "?c", f"{P}type", f"{NS}c/Customer"), A.pattern(v.triples, "?order", f"{P}placedBy", "?c"))
-
-
 @register(f"SELECT s AS c FROM triples WHERE p = '{P}type' AND o = '{NS}c/Customer' AND s IN (SELECT o FROM triples WHERE p = '{P}placedBy')", "triples")
 def filter_exists(v: Views) -> DataFrame:
     return A.exists(A.pattern(v.triples, "?c", f"{P}type", f"{NS}c/Customer"), A.pattern(v.triples, "?order", f"{P}placedBy", "?c"))

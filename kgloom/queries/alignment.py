@@ -41,6 +41,11 @@ def _scored(v: Views) -> DataFrame:
     return A.score_strings(pairs, "a_name", "b_name", "fuzz")
 
 
+def _alike(v: Views, least: float, condition=None) -> DataFrame:
+    """Pairs whose names score ``least`` or more: names are scored before entities are paired."""
+    return A.similar_pairs(v.entities, ["type", "brand"], "name", least, condition)
+
+
 @register("SELECT a_uri, b_uri FROM (" + _PAIRS + ")", "entities")
 def candidate_pairs(v: Views) -> DataFrame:
     return A.candidate_pairs(v.entities, ["type", "brand"]).select("a_uri", "b_uri")
@@ -80,24 +85,25 @@ def combined_similarity(v: Views) -> DataFrame:
 
 @register("SELECT a_uri, b_uri FROM scored WHERE fuzz >= 0.8", "entities")
 def above_threshold(v: Views) -> DataFrame:
-    return _scored(v).where("fuzz >= 0.8").select("a_uri", "b_uri")
+    return _alike(v, 0.8).select("a_uri", "b_uri")
 
 
 @register("SELECT b_uri AS s, 'sameAs' AS p, a_uri AS o, round(0.1 * 1.0 + 0.9 * fuzz, 6) AS confidence FROM scored WHERE 0.1 * 1.0 + 0.9 * fuzz >= 0.9", "entities")
 def align_inner(v: Views) -> DataFrame:
     """Parts of one type and brand whose names are alike, as alignment statements."""
     score = A.combined(CONFIG, A.syntactic([F.col("fuzz")], CONFIG), F.lit(0.0), F.lit(1.0))
-    return A.same_as(_scored(v).withColumn("score", score), CONFIG.threshold)
+    # Structure gives at most its weight, so names must give the rest.
+    least = (CONFIG.threshold - CONFIG.structural) / CONFIG.syntactic
+    return A.same_as(_alike(v, least).withColumn("score", score), CONFIG.threshold)
 
 
 @register("""SELECT s.a_uri, s.b_uri, round(s.fuzz, 6) AS score FROM scored s JOIN entities a ON s.a_uri = a.uri JOIN entities b ON s.b_uri = b.uri
 WHERE fuzz >= 0.9 AND NOT (a.is_prior AND b.is_prior) AND a.source_doc IS DISTINCT FROM b.source_doc AND NOT (a.size = b.size)""", "entities")
 def align_cross(v: Views) -> DataFrame:
     """As ``align_inner`` across documents, without pairs known before (here: of equal size)."""
-    pairs = A.candidate_pairs(v.entities, ["type", "brand"], A.cross_document())
-    known = pairs.where("a_size = b_size").select(F.col("a_uri").alias("a"), F.col("b_uri").alias("b"))
-    scored = A.score_strings(A.without_known(pairs, known), "a_name", "b_name", "fuzz")
-    return scored.where("fuzz >= 0.9").select("a_uri", "b_uri", F.round("fuzz", 6).alias("score"))
+    alike = _alike(v, 0.9, A.cross_document())
+    known = A.candidate_pairs(v.entities, ["type", "brand", "size"]).select(F.col("a_uri").alias("a"), F.col("b_uri").alias("b"))
+    return A.without_known(alike, known).select("a_uri", "b_uri", F.round("fuzz", 6).alias("score"))
 
 
 @register("""SELECT least(a.source_doc, b.source_doc) || '+' || greatest(a.source_doc, b.source_doc) AS documents, count(*) AS pairs
@@ -130,17 +136,6 @@ def semantic_similarity_whole(v: Views) -> DataFrame:
     return left.join(right, "label").where("a < b").select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@register("SELECT DISTINCT p_name AS text, hash_id FROM (SELECT p_name, substr(md5(p_name), 1, 8) AS hash_id FROM part)")
-def embedding_lookup(v: Views) -> DataFrame:
-    """Each distinct text goes to the embedding source once."""
-    return v.table("part").select(F.col("p_name").alias("text")).distinct().withColumn("hash_id", F.substring(F.md5("text"), 1, 8))
-
-
-@register("SELECT uri, name || ' ' || brand AS text FROM entities", "entities")
-def semantic_text(v: Views) -> DataFrame:
-    return v.entities.select("uri", F.concat_ws(" ", "name", "brand").alias("text"))
-
-
 # ---- lookup ---------------------------------------------------------------------------------------------------
 
 
@@ -152,77 +147,10 @@ def derive_literals(v: Views) -> DataFrame:
     return links.join(names, "via").select("entity", "derived")
 
 
-@register("SELECT p_partkey, array_to_string(['name:\"' || p_name || '\"', 'brand:\"' || p_brand || '\"'], ' AND ') AS query FROM part WHERE p_size > 10")
-def resolve_queries(v: Views) -> DataFrame:
-    """A query from the first values of several fields, where the required one is there."""
-    terms = F.array_join(F.transform(F.array(F.struct(F.lit("name").alias("f"), F.col("p_name").alias("x")), F.struct(F.lit("brand").alias("f"), F.col("p_brand").alias("x"))), lambda t: F.concat(t["f"], F.lit(':"'), t["x"], F.lit('"'))), " AND ")
-    return v.table("part").where("p_size > 10").select("p_partkey", terms.alias("query"))
-
-
-@register("SELECT DISTINCT p_type || ' ' || p_brand AS query FROM part")
-def build_query(v: Views) -> DataFrame:
-    return v.table("part").select(F.concat_ws(" ", "p_type", "p_brand").alias("query")).distinct()
-
-
-@register("SELECT uri, name IS NOT NULL OR brand IS NOT NULL AS sufficient FROM entities", "entities")
-def sufficient_data(v: Views) -> DataFrame:
-    return v.entities.select("uri", (F.col("name").isNotNull() | F.col("brand").isNotNull()).alias("sufficient"))
-
-
 _HITS = """hits AS (SELECT a.uri, b.uri AS candidate, b.type, a.size = b.size AS verified,
   row_number() OVER (PARTITION BY a.uri ORDER BY (a.size = b.size) DESC, b.uri) AS n FROM entities a JOIN entities b ON a.name = b.name AND a.uri <> b.uri)"""
 
 
-@register("SELECT uri, candidate, NOT verified AS fuzzy_match FROM hits WHERE n <= 5", "entities")
-def generate_candidates(v: Views) -> DataFrame:
-    """The first five candidates of an entity: verified ones, then those found by name."""
-    a, b = v.entities.select("uri", "name", "size"), v.entities.select(F.col("uri").alias("candidate"), "name", F.col("size").alias("b_size"))
-    found = a.join(b, "name").where("uri <> candidate").withColumn("verified", F.col("size") == F.col("b_size"))
-    order = Window.partitionBy("uri").orderBy(F.desc("verified"), "candidate")
-    return found.withColumn("n", F.row_number().over(order)).where("n <= 5").select("uri", "candidate", (~F.col("verified")).alias("fuzzy_match"))
-
-
-@register("SELECT uri, list_has_any([type], ['PROMO', 'SMALL', 'STANDARD']) AS fits FROM entities", "entities")
-def class_filter(v: Views) -> DataFrame:
-    wanted = F.array(F.lit("PROMO"), F.lit("SMALL"), F.lit("STANDARD"))
-    return v.entities.select("uri", F.arrays_overlap(F.array("type"), wanted).alias("fits"))
-
-
-@register("""SELECT a_uri, b_uri, round(fuzz * (CASE WHEN a_size > b_size THEN 0.6 ELSE 1.0 END)::DOUBLE * (CASE WHEN a_size = b_size THEN 1.0 ELSE 0.9 END)::DOUBLE, 6) AS score
-FROM scored WHERE fuzz * (CASE WHEN a_size > b_size THEN 0.6 ELSE 1.0 END)::DOUBLE >= 0.6""", "entities")
-def score_lookup(v: Views) -> DataFrame:
-    """The penalty for unresolved candidates counts before the threshold, the one for fuzzy ones after it."""
-    unresolved, fuzzy = F.when(F.col("a_size") > F.col("b_size"), 0.6).otherwise(1.0), F.when(F.col("a_size") == F.col("b_size"), 1.0).otherwise(0.9)
-    scored = _scored(v).withColumn("x", F.col("fuzz") * unresolved).where("x >= 0.6")
-    return scored.select("a_uri", "b_uri", F.round(F.col("x") * fuzzy, 6).alias("score"))
-
-
-@register("SELECT uri, 'label' AS source, name AS value FROM entities UNION ALL SELECT uri, 'claim', brand FROM entities", "entities")
-def candidate_literals(v: Views) -> DataFrame:
-    """A candidate's literals by where they come from: its label and its string claims."""
-    cells = F.array(F.struct(F.lit("label").alias("source"), F.col("name").alias("value")), F.struct(F.lit("claim").alias("source"), F.col("brand").alias("value")))
-    return v.entities.select("uri", F.explode(cells).alias("x")).select("uri", "x.source", "x.value")
-
-
-@register("SELECT a.uri, a.name, min(b.brand) AS fed FROM entities a LEFT JOIN entities b ON a.name = b.name AND b.is_prior GROUP BY ALL", "entities")
-def feed_back(v: Views) -> DataFrame:
-    """What one source found goes into the literals that the next one is asked with."""
-    found = v.entities.where("is_prior").groupBy("name").agg(F.min("brand").alias("fed"))
-    return v.entities.select("uri", "name").join(found, "name", "left").select("uri", "name", "fed")
-
-
-@register(None)
-def initial_score(v: Views) -> DataFrame:
-    pairs = A.candidate_pairs(v.entities, ["type", "brand"])
-    return A.score_strings(pairs, "a_name", "b_name", "score", initials=True).select("a_uri", "b_uri", "score")
-
-
-@register(None)
-def partial_ratio(v: Views) -> DataFrame:
-    names = A.candidate_pairs(v.entities, ["type", "brand"]).select("a_name", "b_name").distinct()
-    return names.withColumn("score", matching.partial_ratio_udf("a_name", "b_name"))
-
-
 def _patch() -> None:
     """SQL that needs the scored pairs gets their definitions after the view."""
     for name, (function, sql) in list(QUERIES.items()):

@@ -62,11 +62,6 @@ def export_ntriples(v: Views) -> DataFrame:
     return X.ntriples(v.triples)
 
 
-@register(None)
-def export_turtle(v: Views) -> DataFrame:
-    return X.turtle(v.triples, {"kg": NS, "p": f"{NS}p/", "c": f"{NS}c/"})
-
-
 @register(f"""SELECT s, '{{"@id":"' || s || '",' || string_agg(k, ',' ORDER BY k) || '}}' AS node FROM
 (SELECT s, '"' || p || '":[' || string_agg(x, ',' ORDER BY x) || ']' AS k FROM (SELECT DISTINCT s, p, CASE WHEN o_kind = 'iri' THEN '{{"@id":"' || o || '"}}' ELSE '{{"@value":' || to_json(o)::VARCHAR || '}}' END AS x FROM triples) GROUP BY s, p) GROUP BY s""", "triples")
 def export_jsonld(v: Views) -> DataFrame:

@@ -126,11 +126,6 @@ def relation_rank(v: Views) -> DataFrame:
     return S.current(v.versions).join(counts, "s").select("stmt_id", "s", "p", "o", "relations").orderBy(F.desc("relations"), "s", "p", "o")
 
 
-@register("SELECT stmt_id, s, p FROM versions WHERE is_current ORDER BY s, p, stmt_id LIMIT 100 OFFSET 100", "versions")
-def page_statements(v: Views) -> DataFrame:
-    return S.current(v.versions).select("stmt_id", "s", "p").orderBy("s", "p", "stmt_id").offset(100).limit(100)
-
-
 @register("SELECT s, o, stmt_id FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p, stmt_id) AS n FROM versions WHERE is_current) WHERE n <= 6", "versions")
 def neighbor_cap(v: Views) -> DataFrame:
     order = Window.partitionBy("s").orderBy("p", "stmt_id")
@@ -262,35 +257,3 @@ def reset(v: Views) -> DataFrame:
 def delete_document(v: Views) -> DataFrame:
     return S.delete_document(v.versions, _data(v), 7)[0].select("stmt_id", "s", "p", "o")
 
-
-@register("SELECT substr(sha256('ws|run|' || doc_id || '|' || version_no || '|' || s || '|' || p || '|' || o), 1, 24) AS stmt_id, doc_id, version_no, confidence FROM versions", "versions")
-def write_candidates(v: Views) -> DataFrame:
-    from ..functions.columns import short_id
-
-    return v.versions.select(short_id(F.lit("ws"), F.lit("run"), "doc_id", "version_no", "s", "p", "o").alias("stmt_id"), "doc_id", "version_no", "confidence")
-
-
-@register("""SELECT agent_id, coalesce(max(c.c_name), agent_id) AS name, count(*) AS actions FROM (SELECT DISTINCT event_id, agent_id FROM log) l
-LEFT JOIN customer c ON l.agent_id = 'user-' || c.c_custkey GROUP BY agent_id""", "log")
-def upsert_curator(v: Views) -> DataFrame:
-    """One row for each curator; the name falls back to the id."""
-    names = v.table("customer").select(F.concat(F.lit("user-"), "c_custkey").alias("agent_id"), "c_name")
-    acted = v.log.groupBy("agent_id").agg(F.count("*").alias("actions"))
-    return acted.join(names, "agent_id", "left").select("agent_id", F.coalesce("c_name", "agent_id").alias("name"), "actions")
-
-
-@register("SELECT event_id, CASE WHEN agent_id = 'user-5' THEN 'Deleted user' ELSE agent_id END AS name, agent_id = 'user-5' AS is_deleted FROM log", "log")
-def anonymize_curator(v: Views) -> DataFrame:
-    gone = F.col("agent_id") == "user-5"
-    return v.log.select("event_id", F.when(gone, "Deleted user").otherwise(F.col("agent_id")).alias("name"), gone.alias("is_deleted"))
-
-
-@register("SELECT stmt_id FROM versions WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')", "versions")
-def drop_workspace(v: Views) -> DataFrame:
-    gone = v.table("documents").where("source = 'src3'").select("doc_id")
-    return v.versions.join(gone, "doc_id", "left_anti").select("stmt_id")
-
-
-@register("SELECT event_id, CASE WHEN action = 'reject' THEN 'Queued' WHEN action = 'accept' THEN 'Done' ELSE 'Running' END AS status FROM log", "log")
-def task_status(v: Views) -> DataFrame:
-    return v.log.select("event_id", F.when(F.col("action") == "reject", "Queued").when(F.col("action") == "accept", "Done").otherwise("Running").alias("status"))

@@ -85,29 +85,6 @@ def shorten_results(v: Views) -> DataFrame:
     return v.triples.select(C.shorten(F.col("s"), PREFIXES).alias("s"), C.shorten(F.col("p"), PREFIXES).alias("p"), o.alias("o"))
 
 
-@register("SELECT * FROM (VALUES ('ex', 'http://ex.org/'), ('kg', 'http://kg.example/')) t(prefix, namespace)")
-def query_prefixes(v: Views) -> DataFrame:
-    from ..plans.sparql import query_prefixes as read
-
-    text = "PREFIX ex: <http://ex.org/>\nprefix kg: <http://kg.example/>\nSELECT * { ?s ?p ?o }"
-    return v.spark.createDataFrame(list(read(text).items()), "prefix string, namespace string")
-
-
-@register("SELECT * FROM (VALUES ('base', 'http://base/'), ('ex', 'http://mine/'), ('x', 'http://base/longer/')) t(prefix, namespace)")
-def prefix_map(v: Views) -> DataFrame:
-    """Base prefixes win on a collision."""
-    base, schema = {"base": "http://base/", "ex": "http://mine/"}, {"ex": "http://theirs/", "x": "http://base/longer/"}
-    merged = sorted((schema | base).items(), key=lambda p: -len(p[1]))
-    return v.spark.createDataFrame(merged, "prefix string, namespace string")
-
-
-@register("SELECT * FROM (VALUES ('kg'), ('cls')) t(prefix)")
-def prefixes_for_graph(v: Views) -> DataFrame:
-    """The data graph has no prefixes that only curation needs."""
-    every = v.spark.createDataFrame([(p,) for p in PREFIXES], "prefix string")
-    return every.join(v.spark.createDataFrame([("pred",), ("linkml",)], "prefix string"), "prefix", "left_anti")
-
-
 @register(r"SELECT page_id, regexp_matches(trim(url), '^https?://\S+$') AS valid FROM pages")
 def is_valid_uri(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", C.is_valid_uri(F.col("url")).alias("valid"))
@@ -183,7 +160,3 @@ def ordered_distinct(v: Views) -> DataFrame:
     """Duplicates go, the first of each stays in its place."""
     return v.table("documents").select("doc_id", F.array_join(F.array_distinct(F.array("lang", "source", "lang", "source")), ",").alias("items"))
 
-
-@register(None)
-def to_ascii(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", matching.to_ascii_udf("text").alias("ascii"))

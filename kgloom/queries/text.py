@@ -46,76 +46,9 @@ def find_span_ci(v: Views) -> DataFrame:
     return find_values(v.table("documents"), v.table("benchmark"), "doc_id", "text", "item_id", "text", any_case=True)
 
 
-@register(None)
-def find_span(v: Views) -> DataFrame:
-    """A stretch from anywhere in each document, disturbed in one of three ways, in the whole document again."""
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 29, F.lit(1))) + 1
-    docs = v.table("documents").select("doc_id", "text", F.substring("text", at.cast("int"), F.lit(30)).alias("value"))
-    kind, value = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)), F.col("value")
-    letters = F.concat(F.substring(value, 1, 14), F.lit("\u00a4"), F.substring(value, 16, 15))
-    disturbed = F.when(kind == 0, F.regexp_replace(value, " ", "  ")).when(kind == 1, F.upper(value)).otherwise(letters)
-    return docs.select("doc_id", P.find_span_udf([P.Window("head", 400)])("text", disturbed).alias("x")).select("doc_id", "x.*")
-
-
-@register("SELECT doc_id, strpos(regexp_replace(text, '\\s+', ' ', 'g'), regexp_replace(substr(text, 11, 20), '\\s+', ' ', 'g')) AS \"at\" FROM documents")
-def find_span_ws(v: Views) -> DataFrame:
-    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    return v.table("documents").select("doc_id", F.instr(flat(F.col("text")), flat(F.substring("text", 11, 20))).cast("long").alias("at"))
-
-
 _SECTION = "'# ' || source || chr(10) || text || chr(10) || '## end' || chr(10) || 'tail'"
 
 
-@register("SELECT doc_id, length(source) + 2 AS start, length(source) + 3 + length(text) + 1 AS \"end\" FROM documents WHERE NOT regexp_matches(text, '(^|\\n)#{1,6}[ \\t]')")
-def extract_section(v: Views) -> DataFrame:
-    """The bounds of the section under the first heading, by built-in functions: up to the next heading."""
-    docs = v.table("documents").where(~F.col("text").rlike(r"(^|\n)#{1,6}[ \t]"))
-    text = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n## end\ntail"))
-    begin = F.length("source") + 2
-    rest = F.substring(text, begin + 1, F.length(text))
-    return docs.select("doc_id", begin.cast("long").alias("start"), (begin + F.regexp_instr(rest, F.lit(r"(?m)^#{1,6}[ \t]")) - 1).cast("long").alias("end"))
-
-
-@register("SELECT doc_id, left(text, 400) AS head, right(text, 100) AS tail FROM documents")
-def resolve_window(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.left("text", F.lit(400)).alias("head"), F.right("text", F.lit(100)).alias("tail"))
-
-
-@register("SELECT stmt_id, round(confidence * 0.8 * greatest(0.3::DOUBLE, 1 - greatest(0, span_start - 100) / 600), 4) AS penalised FROM versions", "versions")
-def window_penalty(v: Views) -> DataFrame:
-    from ..functions.columns import decay
-
-    far = F.greatest(F.lit(0), F.col("span_start") - 100)
-    return v.versions.select("stmt_id", F.round(F.col("confidence") * 0.8 * decay(far, F.lit(600), 1.0, 0.3), 4).alias("penalised"))
-
-
-@register("SELECT doc_id, (length(text) - length(replace(lower(text), ' the ', ' th ')))::INTEGER AS n FROM documents WHERE NOT contains(lower(text), ' the the ')")
-def all_occurrences(v: Views) -> DataFrame:
-    docs = v.table("documents").where(~F.contains(F.lower("text"), F.lit(" the the ")))
-    return docs.select("doc_id", F.size(P.occurrences_udf("text", F.lit(" the "))).alias("n"))
-
-
-@register(None)
-def split_sentences(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.posexplode(P.sentences_udf("text")).alias("n", "x")).select("doc_id", "n", "x.*")
-
-
-@register(None)
-def relocate_spans(v: Views) -> DataFrame:
-    """All short words of each document as annotations, moved to where the document's other ones are."""
-
-    @F.pandas_udf("array<struct<n:int,value:string,span_start:int,span_end:int>>")
-    def move(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict]:
-            first = {x: t.find(x) for x in set((t or "").split()) if len(x) <= 20}
-            members = [{"n": i, "value": x, "span_start": first[x], "span_end": first[x] + len(x)} for i, x in enumerate((t or "").split()) if x in first]
-            return P.relocate(members, t or "")
-
-        return text.map(one)
-
-    return v.table("documents").select("doc_id", F.explode(move("text")).alias("x")).select("doc_id", "x.value", "x.span_start", "x.span_end")
-
-
 @register("SELECT a.stmt_id AS a, b.stmt_id AS b FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND a.stmt_id < b.stmt_id AND a.span_start < b.span_end AND a.span_end > b.span_start", "versions")
 def span_overlap(v: Views) -> DataFrame:
     """Spans of one document that overlap: an equi-join on the document, with the bounds beside it."""
@@ -144,22 +77,11 @@ def display_spans(v: Views) -> DataFrame:
     return joined.select("stmt_id", "span_start", "span_end", F.when(F.col("stmt_id") == F.col("other"), 0).otherwise(1).alias("rank")).distinct()
 
 
-@register("SELECT stmt_id, span_start, span_end, round(confidence, 4) AS confidence FROM versions WHERE o_kind = 'literal'", "versions")
-def annotate_literals(v: Views) -> DataFrame:
-    return v.versions.where("o_kind = 'literal'").select("stmt_id", "span_start", "span_end", F.round("confidence", 4).alias("confidence"))
-
-
 @register("SELECT s, round(sum(confidence::DECIMAL(18, 9))::DOUBLE / count(*), 9) AS mean, count(*) AS n FROM versions GROUP BY s", "versions")
 def entity_avg_conf(v: Views) -> DataFrame:
     return C.averages(v.versions, "s", digits=9).select("s", "mean", "n")
 
 
-@register("SELECT DISTINCT a.s, (SELECT 1) AS one, m.mean FROM versions a JOIN means m ON m.s = a.s", "versions", "means")
-def entity_type_conf(v: Views) -> DataFrame:
-    means = _means(v).select("s", "mean")
-    return v.versions.select("s").distinct().join(means, "s").select("s", F.lit(1).alias("one"), "mean")
-
-
 _JOINED = "FROM links l LEFT JOIN means a ON a.s = l.s LEFT JOIN means b ON b.s = l.o"
 
 
@@ -223,18 +145,6 @@ def loo_median(v: Views) -> DataFrame:
     return C.others_median(v.versions.select("doc_id", "stmt_id", "span_start"), "doc_id", "stmt_id", "span_start")
 
 
-@register("SELECT s, array_to_string(list_sort(list(DISTINCT regexp_extract(p, '[^/]*$'))), ',') AS types FROM versions GROUP BY s", "versions")
-def type_index(v: Views) -> DataFrame:
-    return v.versions.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(local_name(F.col("p")))), ",").alias("types"))
-
-
-@register("""SELECT stmt_id, CASE WHEN o_kind = 'literal' THEN confidence WHEN ends_with(p, 'sameAs') THEN round(confidence * 0.8, 4) END AS confidence FROM versions""", "versions")
-def annotate_objects(v: Views) -> DataFrame:
-    """The confidence by the strategy of the predicate."""
-    strategy = F.when(F.col("o_kind") == "literal", F.col("confidence")).when(F.endswith("p", F.lit("sameAs")), F.round(F.col("confidence") * 0.8, 4))
-    return v.versions.select("stmt_id", strategy.alias("confidence"))
-
-
 @register("SELECT stmt_id FROM versions WHERE is_current AND status = 'pending' AND activity_type <> 'lookup' AND confidence >= 0.4", "versions")
 def bulk_acceptable(v: Views) -> DataFrame:
     return v.versions.where("is_current and status = 'pending' and activity_type <> 'lookup' and confidence >= 0.4").select("stmt_id")
@@ -242,53 +152,3 @@ def bulk_acceptable(v: Views) -> DataFrame:
 
 # ---- extraction -----------------------------------------------------------------------------------------------
 
-
-@register("SELECT source AS id, min(CASE WHEN lang = 'en' THEN doc_id END) AS first_en, min(CASE WHEN lang = 'de' THEN doc_id END) AS first_de FROM documents GROUP BY source")
-def merge_by_id(v: Views) -> DataFrame:
-    """Records of one id merged, gaps filled by others."""
-    docs = v.table("documents")
-    return docs.groupBy(F.col("source").alias("id")).agg(F.min(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("first_en"), F.min(F.when(F.col("lang") == "de", F.col("doc_id"))).alias("first_de"))
-
-
-@register("SELECT event_id, CASE WHEN lower(event_type) IN ('click', 'view', 'purchase') THEN lower(event_type) END AS grounded FROM events")
-def enum_ground(v: Views) -> DataFrame:
-    known = v.spark.createDataFrame([("click",), ("view",), ("purchase",)], "grounded string")
-    rows = v.table("events").withColumn("key", F.lower(F.upper("event_type")))
-    return rows.join(F.broadcast(known), F.col("key") == F.col("grounded"), "left").select("event_id", "grounded")
-
-
-@register("SELECT p_partkey AS s, x.p, x.o FROM (SELECT p_partkey, unnest([{'p': 'name', 'o': p_name}, {'p': 'brand', 'o': p_brand}, {'p': 'size', 'o': p_size::VARCHAR}]) AS x FROM part)")
-def flatten_to_triples(v: Views) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).cast("string").alias("o")) for p, c in (("name", "p_name"), ("brand", "p_brand"), ("size", "p_size"))])
-    return v.table("part").select(F.col("p_partkey").alias("s"), F.explode(cells).alias("x")).select("s", "x.p", "x.o")
-
-
-@register("SELECT user_id, event_type AS predicate, arg_max(value, event_id) AS confidence FROM events GROUP BY ALL")
-def load_annotations(v: Views) -> DataFrame:
-    """Annotations by their key; of repeated ones the last counts."""
-    return v.table("events").groupBy("user_id", F.col("event_type").alias("predicate")).agg(F.max_by("value", "event_id").alias("confidence"))
-
-
-@register(None)
-def clean_result(v: Views) -> DataFrame:
-    item = F.to_json(F.struct(F.col("p_name").alias("name"), F.lit("AUTO").alias("id"), F.array(F.lit("")).alias("urls"), F.col("p_brand").alias("brand")))
-    return v.table("part").select("p_partkey", E.clean_udf(E.Slots(names=("name", "brand")))(item, F.lit("doc")).alias("cleaned"))
-
-
-@register(None)
-def fallback_id(v: Views) -> DataFrame:
-    item = F.to_json(F.struct(F.col("c_name").alias("name")))
-    cleaned = E.clean_udf(E.Slots(names=("name",)))(item, F.lit("doc"))
-    return v.table("customer").select("c_custkey", F.get_json_object(cleaned, "$.id").alias("id"))
-
-
-@register(None)
-def parse_completion(v: Views) -> DataFrame:
-    text = F.concat(F.lit("name: "), "p_name", F.lit("\nsizes: 1; 2\n- "), "p_brand")
-    return v.table("part").select("p_partkey", E.parse_udf(frozenset(["sizes"]), frozenset(["name"]))(text).alias("parsed"))
-
-
-@register("SELECT doc_id, text FROM documents")
-def chunk_text(v: Views) -> DataFrame:
-    """Chunks put together again are the text."""
-    return v.table("documents").select("doc_id", F.array_join(E.chunks_udf(500)("text"), "").alias("text"))

@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import pred_local_name
+from . import yaml
 
 ANNOTATION = (
     "source_document string, annotations array<struct<subject:string,predicate:string,value:string,object:string,span_start:int,span_end:int,span_text:string,confidence:double,triple_type:string>>"
 )
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations by (subject, predicate's local name, value or object); of repeated keys the last counts."""
-    rows = spark.read.schema(ANNOTATION).json(path, multiLine=True).select("source_document", F.posexplode("annotations").alias("at", "a"))
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Annotations by (subject, predicate's local name, value or object); of repeated keys the last counts.
+
+    A file is one document's object (or an array of such), or with ``lines``, as ``write_annotations`` writes it, has
+    one object a line.
+    """
+    rows = spark.read.schema(ANNOTATION).json(path, multiLine=not lines).select("source_document", F.posexplode("annotations").alias("at", "a"))
     rows = rows.select("source_document", "at", "a.*").withColumns({"predicate": pred_local_name(F.col("predicate")), "key": F.coalesce("value", "object")})
     return rows.groupBy("source_document", "subject", "predicate", "key").agg(F.max_by(F.struct("span_start", "span_end", "span_text", "confidence", "triple_type"), "at").alias("x")).select("source_document", "subject", "predicate", "key", "x.*")
 
 
 def write_annotations(rows: DataFrame, path: str) -> None:
-    """One JSON object for each document, as ``read_annotations`` takes it."""
+    """One JSON object a line for each document, as ``read_annotations`` takes it."""
     cells = F.struct(*[c for c in ("subject", "predicate", "value", "object", "span_start", "span_end", "span_text", "confidence", "triple_type") if c in rows.columns])
     rows.groupBy("source_document").agg(F.collect_list(cells).alias("annotations")).write.json(path)
 
@@ -40,14 +45,19 @@ def read_uploads(spark: SparkSession, path: str, known: DataFrame | None = None)
     return first if known is None else first.join(known.select("content_hash"), "content_hash", "left_anti")
 
 
-def read_config(path: str) -> dict:
-    """A YAML or JSON configuration, on the driver; YAML needs a YAML library."""
-    text = Path(path).read_text(encoding="utf-8")
-    if path.endswith(".json"):
-        return json.loads(text)
-    import yaml
+def parse_config(text: str, defaults: dict | None = None) -> dict:
+    """A YAML or JSON configuration; what it doesn't say comes from ``defaults``, also inside of mappings."""
+    return _over(defaults or {}, json.loads(text) if text.lstrip()[:1] == "{" else yaml.load(text) or {})
+
 
-    return yaml.safe_load(text)
+def read_config(path: str, defaults: dict | None = None) -> dict:
+    """The configuration in a file, on the driver; the defaults alone if there is no such file."""
+    file = Path(path)
+    return parse_config(file.read_text(encoding="utf-8"), defaults) if file.exists() else dict(defaults or {})
+
+
+def _over(below: dict, above: dict) -> dict:
+    return {**below, **{k: _over(below[k], v) if isinstance(v, dict) and isinstance(below.get(k), dict) else v for k, v in above.items()}}
 
 
 def slots(schema: dict) -> dict:
@@ -69,3 +79,23 @@ def commit(df: DataFrame, root: str, version: int, partition: str = "workspace_i
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition) if partition in df.columns else writer).parquet(path)
     return path
+
+
+def snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{root}/v{version:08d}")
+
+
+def changed(table: DataFrame, key: str, inserts: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
+    """``table`` after changes by ``key``: rows updated, then rows deleted, then rows added.
+
+    ``updates`` have the key and the columns that change, once for each key; keys that aren't there change nothing.
+    """
+    out = table
+    if updates is not None:
+        names = [c for c in updates.columns if c != key]
+        new = updates.select(key, F.struct(*names).alias("__new"))
+        joined = out.join(new, key, "left")
+        out = joined.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
+    if deletes is not None:
+        out = out.join(deletes.select(key).distinct(), key, "left_anti")
+    return out if inserts is None else out.unionByName(inserts)
