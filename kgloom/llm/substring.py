@@ -11,8 +11,8 @@ smallest document of their occurrences.  Every stretch of every document is then
 shards that hold its minimizer.  The matching statistics tell, for each window, in which document it stands first,
 word for word, and so the maximal spans to remove.
 
-An automaton isn't sent to all documents, as the automata of a corpus grow with it: it goes where the stretches for it
-go, and they stream past it, so a task holds one automaton of bounded size, whatever it is asked.
+Automata aren't sent to documents, as those of a corpus grow with it and are over ten times its words: the stretches
+go to the shards and stream past their automata, so a task holds one automaton of bounded size, whatever it is asked.
 """
 
 from __future__ import annotations
@@ -185,6 +185,7 @@ class Builder:
 
     def add(self, sequence: list[int], label: int) -> None:
         last, edge, target, link, length = 0, self.edge, self.target, self.link, self.length
+        symbols, chain, first = self.symbol, self.chain, self.first
         for symbol in sequence:
             at = edge.get(last << 32 | symbol, -1)
             if at >= 0:
@@ -192,8 +193,12 @@ class Builder:
                 last = q if length[q] == length[last] + 1 else self._split(last, q, symbol)
             else:
                 new, p = self._state(0, length[last] + 1), last
-                while p >= 0 and p << 32 | symbol not in edge:
-                    self._connect(p, symbol, new)
+                while p >= 0 and (key := p << 32 | symbol) not in edge:
+                    edge[key] = len(target)
+                    symbols.append(symbol)
+                    target.append(new)
+                    chain.append(first[p])
+                    first[p] = len(target) - 1
                     p = link[p]
                 if p >= 0:
                     q = target[edge[p << 32 | symbol]]
@@ -207,8 +212,6 @@ class SuffixAutomaton:
     """A finished automaton: edges sorted by state and symbol, and for each state its suffix link, the length of its
     longest string and the least label of the sequences that it occurs in."""
 
-    NAMES = ("keys", "targets", "link", "length", "label")
-
     def __init__(self, keys: np.ndarray, targets: np.ndarray, link: np.ndarray, length: np.ndarray, label: np.ndarray):
         self.keys, self.targets, self.link, self.length, self.label = keys, targets, link, length, label
 
@@ -230,13 +233,6 @@ class SuffixAutomaton:
             np.minimum.at(label, link[some], label[some])
         return cls(keys[order], targets[order], link, length, label)
 
-    def dump(self) -> list[bytes]:
-        return [getattr(self, n).tobytes() for n in self.NAMES]
-
-    @classmethod
-    def load(cls, parts: list[bytes]) -> SuffixAutomaton:
-        return cls(*[np.frombuffer(x, t) for x, t in zip(parts, (np.int64, np.int32, np.int32, np.int32, np.int64), strict=True)])
-
     def least(self, sequences: list[np.ndarray], size: int) -> list[np.ndarray]:
         """For every window of ``size`` symbols of each sequence the least label of a sequence that has it (``LAST`` if
         none has).  All sequences are read side by side, a symbol at a time; negative symbols stand nowhere."""
@@ -283,59 +279,79 @@ class SuffixAutomaton:
         return [out[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of stretches (m, segment, least) in the order of m: (shard, minimizers, words, parts of the automaton)."""
-    held: list[tuple[int, list[bytes], int]] = []
-    total = 0
-
-    def flush() -> pa.RecordBatch:
-        numbers: dict[bytes, int] = {}
-        sequences = [[numbers.setdefault(w, len(numbers)) for w in words] for _, words, _ in held]
-        automaton = SuffixAutomaton.of(sequences, [x for _, _, x in held])
-        row = [sorted({m for m, _, _ in held}), b" ".join(numbers), automaton.dump()]
-        # The name of a shard needs only be its own: a stretch stands in one shard.
-        name = int.from_bytes(hashlib.blake2b(b" ".join(held[0][1]), digest_size=8, key=held[0][0].to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-        held.clear()
-        return pa.record_batch([pa.array([name], pa.int64()), pa.array([row[0]], pa.list_(pa.int64())), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.list_(pa.binary()))], ["shard", "minimizers", "words", "parts"])
-
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches (m, name, segment, least) in the order of m, with the shard that each belongs to."""
+    total, shard = 0, 0
     for batch in batches:
-        for m, segment, least in zip(batch["m"].to_pylist(), batch["segment"].to_pylist(), batch["least"].to_pylist(), strict=True):
-            words = segment.split(b" ")
-            if held and total + len(words) > SHARD_WORDS:
-                yield flush()
-                total = 0
-            held.append((m, words, least))
-            total += len(words)
-    if held:
-        yield flush()
+        shards = []
+        for m, segment in zip(batch["m"].to_pylist(), batch["segment"].to_pylist(), strict=True):
+            words = segment.count(b" ") + 1
+            if not total or total + words > SHARD_WORDS:
+                # The name of a shard needs only be its own: its first stretch stands in no other.
+                shard, total = int.from_bytes(hashlib.blake2b(segment, digest_size=8, key=m.to_bytes(8, "little", signed=True)).digest(), "little", signed=True), 0
+            total += words
+            shards.append(shard)
+        yield pa.record_batch([pa.array(shards, pa.int64()), *batch.columns], ["shard", *batch.schema.names])
+
+
+class _Shard:
+    """The reference of one shard: its stretches as they come, and their automaton once it is asked."""
+
+    def __init__(self, number: int):
+        self.number, self.numbers = number, {}
+        self.names: list[bytes] = []
+        self.sequences: list[list[int]] = []
+        self.labels: list[int] = []
+        self.automaton: SuffixAutomaton | None = None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        numbers = self.numbers
+        self.names += rows["name"].to_pylist()
+        self.sequences += [[numbers.setdefault(w, len(numbers)) for w in s.split(b" ")] for s in rows["segment"].to_pylist()]
+        self.labels += rows["least"].to_pylist()
+
+    def found(self, names: list[bytes], sequences: list, size: int) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(names), BATCH_SEGMENTS):
+            found = self.automaton.least([np.asarray(s, np.int64) for s in sequences[at : at + BATCH_SEGMENTS]], size)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.record_batch([pa.array(names[at : at + BATCH_SEGMENTS], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["name", "firsts"])
+
+    def own(self, size: int) -> Iterator[pa.RecordBatch]:
+        """The shard's own stretches, streamed through its automaton."""
+        if self.automaton is None:
+            self.automaton = SuffixAutomaton.of(self.sequences, self.labels)
+            names, sequences = self.names, self.sequences
+            self.names, self.sequences, self.labels = [], [], []
+            yield from self.found(names, sequences, size)
+
+    def asked(self, rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+        """Stretches of other shards."""
+        yield from self.own(size)
+        get = self.numbers.get
+        yield from self.found(rows["name"].to_pylist(), [[get(w, -1) for w in s.split(b" ")] for s in rows["segment"].to_pylist()], size)
 
 
 def _stream(size: int):
-    """Of rows in the order of their shard, the automaton's first: (name, firsts) of each stretch after it."""
+    """Of rows in the order of their shard, its reference first: (name, firsts) of all its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: SuffixAutomaton | None = None
-        numbers: dict[bytes, int] = {}
-        shard: int | None = None
-        for whole in batches:
-            shards = whole["shard"].to_numpy()
-            kinds = whole["is_query"].to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1]) | ~kinds[1:]) + 1).tolist(), len(shards)]
+        shard: _Shard | None = None
+        for batch in batches:
+            shards, asked = batch["shard"].to_numpy(), batch["is_query"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (asked[1:] != asked[:-1])) + 1).tolist(), len(shards)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if not kinds[a]:
-                    automaton = SuffixAutomaton.load(whole["parts"][a].as_py())
-                    numbers = {w: i for i, w in enumerate(whole["segment"][a].as_py().split(b" "))}
-                    shard = int(shards[a])
-                    continue
-                if automaton is None or shard != int(shards[a]):
-                    raise RuntimeError("stretches without their automaton")
-                for at in range(a, b, BATCH_SEGMENTS):
-                    part = whole.slice(at, min(BATCH_SEGMENTS, b - at))
-                    sequences = [np.array([numbers.get(w, -1) for w in s.split(b" ")], np.int64) for s in part["segment"].to_pylist()]
-                    found = automaton.least(sequences, size)
-                    yield pa.record_batch([part["name"], pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["name", "firsts"])
+                if shard is None or shard.number != int(shards[a]):
+                    if shard is not None:
+                        yield from shard.own(size)
+                    shard = _Shard(int(shards[a]))
+                if asked[a]:
+                    yield from shard.asked(batch.slice(a, b - a), size)
+                else:
+                    shard.add(batch.slice(a, b - a))
+        if shard is not None:
+            yield from shard.own(size)
 
     return run
 
@@ -402,14 +418,16 @@ def remove_repeats(docs: DataFrame, size: int = 50, text: str = "text", order: s
 
     distinct = materialise(segments.groupBy("name").agg(F.min("id").alias("least"), F.first("m").alias("m"), F.first("segment").alias("segment")), "distinct-segments")
     words = distinct.agg(F.sum(F.size(F.split(F.col("segment").cast("string"), " ")))).first()[0] or 0
-    dealt = distinct.select("m", "segment", "least").repartitionByRange(tasks_for(spark, words, SHARD_WORDS), "m", "segment").sortWithinPartitions("m", "segment")
-    shards = materialise(dealt.mapInArrow(_build, "shard long, minimizers array<long>, words binary, parts array<binary>"), "shards")
-
-    # A stretch goes to each shard that holds its minimizer: one, or several where a minimizer has more than one's words.
-    where = shards.select("shard", F.explode("minimizers").alias("m"))
-    asked = distinct.select("m", "name", "segment").join(where, "m").select("shard", F.lit(True).alias("is_query"), "name", "segment", F.lit(None).cast("array<binary>").alias("parts"))
-    automata = shards.select("shard", F.lit(False).alias("is_query"), F.lit(None).cast("binary").alias("name"), F.col("words").alias("segment"), "parts")
-    met = automata.unionByName(asked).repartition(tasks_for(spark, words, SHARD_WORDS), "shard").sortWithinPartitions("shard", "is_query")
+    tasks = tasks_for(spark, words, SHARD_WORDS)
+    ordered = distinct.select("m", "name", "segment", "least").repartitionByRange(tasks, "m", "segment").sortWithinPartitions("m", "segment")
+    dealt = materialise(ordered.mapInArrow(_deal, "shard long, m long, name binary, segment binary, least long"), "shards")
+
+    # A shard's own stretches ask its automaton, and so do those of others that share a minimizer with it: where one
+    # has more than a shard's words.
+    where = dealt.select(F.col("shard").alias("to"), "m").distinct()
+    others = dealt.join(where, "m").where("shard <> to").select(F.col("to").alias("shard"), F.lit(True).alias("is_query"), "name", "segment", "least")
+    met = dealt.select("shard", F.lit(False).alias("is_query"), "name", "segment", "least").unionByName(others)
+    met = met.repartition(tasks, "shard").sortWithinPartitions("shard", "is_query")
     matched = materialise(met.mapInArrow(_stream(size), "name binary, firsts array<long>"), "matched")
     least = matched.groupBy("name").agg(F.collect_list("firsts").alias("all"))
     least = least.select("name", F.aggregate(F.slice("all", 2, 1_000_000), F.get("all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))).alias("firsts"))
