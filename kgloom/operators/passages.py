@@ -3,26 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Characters of all values that are sent to every executor.
-MOST_CHARS = 20_000_000
+#: Characters of the values that are sent to every executor at once, and that a value may have.
+MOST_CHARS, LONGEST = 20_000_000, 2_000_000
 
 
 def find_values(texts: DataFrame, values: DataFrame, ident: str, text: str, name: str, value: str, any_case: bool = False) -> DataFrame:
     """(ident, name, start, end): the first place of each value in each text that has it.
 
     All values form one automaton, so a text is read once however many values there are; it is broadcast, after a
-    check of its size.  A larger table of values must be cut into parts.  Null and empty values are found nowhere.
+    check of its size.  A larger table of values is cut into parts by a hash of the value, and the texts are read once
+    for each part.  Null and empty values are found nowhere; one above ``LONGEST`` characters is refused.
     """
+    size = values.agg(F.sum(F.length(value)).alias("chars"), F.max(F.length(value)).alias("longest")).first()
+    if (size.longest or 0) > LONGEST:
+        raise ValueError(f"a value of {size.longest} characters")
+    parts = -(-(size.chars or 0) * 2 // MOST_CHARS) if (size.chars or 0) > MOST_CHARS else 1
+    if parts > 1:
+        part = F.pmod(F.xxhash64(value), F.lit(parts))
+        each = [_find(texts, values.where(part == i), ident, text, name, value, any_case) for i in range(parts)]
+        return reduce(DataFrame.unionByName, each)
+    return _find(texts, values, ident, text, name, value, any_case)
+
+
+def _find(texts: DataFrame, values: DataFrame, ident: str, text: str, name: str, value: str, any_case: bool) -> DataFrame:
     spark = texts.sparkSession
-    size = values.agg(F.sum(F.length(value))).first()[0] or 0
-    if size > MOST_CHARS:
-        raise ValueError(f"{size} characters of values; cut the table into parts of at most {MOST_CHARS}")
     rows = [(r[0], r[1]) for r in values.select(name, value).where(F.length(value) > 0).collect()]
     sent = spark.sparkContext.broadcast(rows)
     named = to_arrow_type(values.schema[name].dataType)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import access, statements as S
-from ..session import shared_folder
+from ..session import work_folder
 from ..sources import files
 from ..views import Views, with_views
 
@@ -144,7 +144,7 @@ def access_rules(v: Views) -> DataFrame:
 def write_table(v: Views) -> DataFrame:
     """A table's next snapshot after inserts, updates and deletes by key, committed and read again."""
     rows = v.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    root = f"{shared_folder(v.spark)}/kgloom/table-{uuid.uuid4().hex}"
+    root = f"{work_folder(v.spark)}/table-{uuid.uuid4().hex}"
     files.commit(rows, root, 1)
     before = files.snapshot(v.spark, root, 1)
     after = files.changed(

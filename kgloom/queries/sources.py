@@ -14,7 +14,7 @@ from ..operators import algebra as A
 from ..operators import export as X
 from ..operators import extraction as E
 from ..plans import sparql
-from ..session import shared_folder, store
+from ..session import work_folder, store
 from ..sources import files, yaml
 from ..views import NS, Views, with_views
 
@@ -37,7 +37,7 @@ def load_annotations(v: Views) -> DataFrame:
     """Annotations written as JSON, an object for each document, and read again; of equal keys the last counts."""
     cells = F.struct(F.col("event_id").alias("span_start"), F.concat(F.lit("e/"), "event_type").alias("subject"), F.concat(F.lit("http://x/y#p"), F.col("event_id") % 5).alias("predicate"), F.lit("x").alias("value"), F.col("value").alias("confidence"))
     rows = v.table("events").groupBy(F.col("user_id").cast("string").alias("source_document")).agg(F.array_sort(F.collect_list(cells)).alias("annotations"))
-    path = f"{shared_folder(v.spark)}/kgloom/notes-{uuid.uuid4().hex}"
+    path = f"{work_folder(v.spark)}/notes-{uuid.uuid4().hex}"
     rows.write.json(path)
     return files.read_annotations(v.spark, path, lines=True).select("source_document", "subject", "predicate", "confidence", "span_start")
 
@@ -46,7 +46,7 @@ def load_annotations(v: Views) -> DataFrame:
 def write_annotations(v: Views) -> DataFrame:
     """Annotations written by document and read again."""
     rows = v.versions.select(F.col("doc_id").cast("string").alias("source_document"), F.col("s").alias("subject"), F.col("stmt_id").alias("predicate"), F.col("o").alias("value"), "span_start", "span_end", "confidence")
-    path = f"{shared_folder(v.spark)}/kgloom/notes-{uuid.uuid4().hex}"
+    path = f"{work_folder(v.spark)}/notes-{uuid.uuid4().hex}"
     files.write_annotations(rows, path)
     return files.read_annotations(v.spark, path, lines=True).select("source_document", "subject", "predicate", F.col("key").alias("value"), "span_start", "confidence")
 

@@ -37,8 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables, inside of the shared folder."""
+    return f"{shared_folder(spark)}/kgloom-{spark.sparkContext.applicationId}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` at files in the shared folder, which outlive every executor."""
-    path = f"{shared_folder(df.sparkSession)}/kgloom/{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: to be called once its results are written, as DataFrames
+    that were made before can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

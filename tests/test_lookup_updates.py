@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import statistics
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import matching as M
 from kgloom.functions import spans as P
-from kgloom.operators import access, algebra
+from kgloom.operators import access, algebra, passages
 from kgloom.operators import alignment as A
 from kgloom.operators import confidence as C
 from kgloom.operators import extraction as E
 from kgloom.operators import lookup as L
 from kgloom.operators import statements as S
 from kgloom.plans import sparql
-from kgloom.session import store
+from kgloom.session import clear, store, work_folder
 from kgloom.sources import clients, files, yaml
 
 # ---- clients and lookup ---------------------------------------------------------------------------------------
@@ -219,3 +220,28 @@ def test_window_choice():
     assert P.find_span(text, "needle", [P.Window("head", 20)]) == (50, 56, round(0.8 * (1 - 30 / 100), 4), False)
     assert P.find_span(text, "needle", [P.Window("tail", 60)]) == (50, 56, 1.0, True) and P.find_span(text, "needle") == (50, 56, 1.0, True)
     assert P.find_span(text, "needle", [P.Window("head", 60), P.Window("section", heading="none")])[3] and P.find_span("", "x", [P.Window("head", 5)]) is None
+
+
+# ---- many values, and what is left behind -----------------------------------------------------------------------
+
+
+def test_values_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("abc ") for _ in range(200))) for i in range(20)]
+    values = [(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 5)))) for i in range(80)] + [(99, None)]
+    want = sorted((i, k, t.find(x)) for i, t in texts for k, x in values if x and x in t)
+    df, asked = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(values, "k int, value string")
+    for most in (20_000_000, 60):
+        monkeypatch.setattr(passages, "MOST_CHARS", most)
+        assert sorted((r.id, r.k, r.start) for r in passages.find_values(df, asked, "id", "text", "k", "value").collect()) == want
+    monkeypatch.setattr(passages, "LONGEST", 3)
+    with pytest.raises(ValueError):
+        passages.find_values(df, asked, "id", "text", "k", "value")
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    kept = store(spark.range(5).toDF("id"))
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    assert kept.count() == 5 and any(folder.iterdir())
+    clear(spark)
+    assert not folder.exists() and store(spark.range(2).toDF("id")).count() == 2
