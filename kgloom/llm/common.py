@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_folder
+from ..session import work_folder
 
 #: Separators of words: space and the five ASCII controls 0x09 to 0x0D.  Everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -25,7 +25,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     row order, such as generated row numbers) stays the same for every later read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kgloom/{label}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
