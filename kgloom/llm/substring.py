@@ -33,6 +33,8 @@ from .words import batches_of, window_hashes, word_hashes
 GRAM = 16
 #: Words of a shard, at most (a longer stretch makes a shard of its own): about 10 MB of arrays.
 SHARD_WORDS = 100_000
+#: Shards that a task builds one after the other.
+TASK_SHARDS = 10
 #: Bytes of text that a worker looks at together, and stretches that it streams together.
 BATCH_BYTES, BATCH_SEGMENTS = 1_000_000, 2_000
 #: Stands for a null order, above all others.
@@ -416,21 +418,27 @@ def remove_repeats(docs: DataFrame, size: int = 50, text: str = "text", order: s
     cut = candidates.select("rid", "id", "text").join(held, "rid").select("rid", "id", "text", "windows")
     segments = materialise(cut.mapInArrow(_segments(size), "rid long, id long, start int, m long, segment binary, name binary"), "segments")
 
-    distinct = materialise(segments.groupBy("name").agg(F.min("id").alias("least"), F.first("m").alias("m"), F.first("segment").alias("segment")), "distinct-segments")
-    words = distinct.agg(F.sum(F.size(F.split(F.col("segment").cast("string"), " ")))).first()[0] or 0
-    tasks = tasks_for(spark, words, SHARD_WORDS)
-    ordered = distinct.select("m", "name", "segment", "least").repartitionByRange(tasks, "m", "segment").sortWithinPartitions("m", "segment")
+    first = segments.groupBy("name").agg(F.min("id").alias("least"), F.first("m").alias("m"), F.first("segment").alias("segment"))
+    distinct = materialise(first.withColumn("n", F.size(F.split(F.col("segment").cast("string"), " "))), "distinct-segments")
+    words = distinct.agg(F.sum("n")).first()[0] or 0
+    tasks = tasks_for(spark, words, TASK_SHARDS * SHARD_WORDS)
+
+    # Shards are cut from stretches in the order of their minimizers; one that has more than a shard's words is dealt
+    # to several tasks.
+    large = distinct.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD_WORDS).select("m", F.ceil(F.col("n") / SHARD_WORDS).cast("int").alias("salts"))
+    salted = distinct.join(materialise(large, "large-minimizers"), "m", "left").withColumn("salt", F.pmod(F.xxhash64("name"), F.coalesce("salts", F.lit(1))))
+    ordered = salted.repartition(tasks, "m", "salt").sortWithinPartitions("m", "salt").select("m", "name", "segment", "least")
     dealt = materialise(ordered.mapInArrow(_deal, "shard long, m long, name binary, segment binary, least long"), "shards")
 
-    # A shard's own stretches ask its automaton, and so do those of others that share a minimizer with it: where one
-    # has more than a shard's words.
+    # A shard's own stretches ask its automaton, and so do those of others that share a minimizer with it.
     where = dealt.select(F.col("shard").alias("to"), "m").distinct()
     others = dealt.join(where, "m").where("shard <> to").select(F.col("to").alias("shard"), F.lit(True).alias("is_query"), "name", "segment", "least")
     met = dealt.select("shard", F.lit(False).alias("is_query"), "name", "segment", "least").unionByName(others)
     met = met.repartition(tasks, "shard").sortWithinPartitions("shard", "is_query")
-    matched = materialise(met.mapInArrow(_stream(size), "name binary, firsts array<long>"), "matched")
-    least = matched.groupBy("name").agg(F.collect_list("firsts").alias("all"))
-    least = least.select("name", F.aggregate(F.slice("all", 2, 1_000_000), F.get("all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))).alias("firsts"))
+    answers = met.mapInArrow(_stream(size), "name binary, firsts array<long>").groupBy("name").agg(F.collect_list("firsts").alias("all"))
+    both = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    # Stored, so that the join of a stretch that many documents have can be split.
+    least = materialise(answers.select("name", both.alias("firsts")), "matched")
     hits = segments.join(least, "name").select("rid", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("span"))
     spans = hits.where(F.size("span") > 0).groupBy("rid").agg(F.collect_list("span").alias("spans"))
     partly = candidates.select("rid", "digest", "text").join(spans, "rid").mapInArrow(_remove(size), "digest binary, n_removed long, kept binary")
