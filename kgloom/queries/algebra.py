@@ -120,46 +120,23 @@ def _edges(v: Views) -> DataFrame:
     return v.versions.where(REVISIONS).select(F.col("stmt_id").alias("src"), F.col("parent_id").alias("dst"))
 
 
-_SEEDS = "SELECT stmt_id FROM versions WHERE is_current AND doc_id % 4 = 0"
-
-
-def _seeds(v: Views) -> DataFrame:
-    return v.versions.where("is_current and doc_id % 4 = 0").select(F.col("stmt_id").alias("start"))
-
-
-@register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no <= a.version_no WHERE a.is_current AND a.doc_id % 4 = 0", "versions")
-def path_star(v: Views) -> DataFrame:
-    return A.path_star(_edges(v), _seeds(v), store)
-
-
-@register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no < a.version_no WHERE a.is_current AND a.doc_id % 4 = 0", "versions")
-def path_plus(v: Views) -> DataFrame:
-    return A.path_plus(_edges(v), _seeds(v), store)
-
-
-@register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no >= a.version_no WHERE a.version_no = 0 AND a.doc_id % 4 = 1", "versions")
-def path_inverse(v: Views) -> DataFrame:
-    seeds = v.versions.where("version_no = 0 and doc_id % 4 = 1").select(F.col("stmt_id").alias("start"))
-    return A.path_star(_edges(v), seeds, store, src="dst", dst="src")
-
-
 def _starts(v: Views, where: str) -> DataFrame:
     return v.versions.where(where).select(F.col("stmt_id").alias("start"))
 
 
 @register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no <= a.version_no WHERE a.is_current", "versions")
-def path_star_whole(v: Views) -> DataFrame:
-    """As ``path_star``, from all current versions."""
+def path_star(v: Views) -> DataFrame:
+    """All versions that current ones are derived from, themselves included."""
     return A.path_star(_edges(v), _starts(v, "is_current"), store)
 
 
 @register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no < a.version_no WHERE a.is_current", "versions")
-def path_plus_whole(v: Views) -> DataFrame:
+def path_plus(v: Views) -> DataFrame:
     return A.path_plus(_edges(v), _starts(v, "is_current"), store)
 
 
 @register("SELECT a.stmt_id AS start, b.stmt_id AS node FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND b.version_no >= a.version_no WHERE a.version_no = 0", "versions")
-def path_inverse_whole(v: Views) -> DataFrame:
+def path_inverse(v: Views) -> DataFrame:
     return A.path_star(_edges(v), _starts(v, "version_no = 0"), store, src="dst", dst="src")
 
 

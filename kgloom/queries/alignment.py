@@ -119,17 +119,9 @@ def all_entities(v: Views) -> DataFrame:
     return v.entities.select("type", "uri").union(v.entities.where("is_prior").select("type", "uri"))
 
 
-@register("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 10 = 0")
-def semantic_similarity(v: Views) -> DataFrame:
-    t = v.table("embeddings")
-    left = t.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    right = t.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return left.join(right, "label").where("a < b").select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
-
-
 @register("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
-def semantic_similarity_whole(v: Views) -> DataFrame:
-    """As ``semantic_similarity``, for all pairs within a label."""
+def semantic_similarity(v: Views) -> DataFrame:
+    """The cosine of all pairs of vectors within a label."""
     t = v.table("embeddings")
     left = t.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     right = t.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))

@@ -26,21 +26,12 @@ def dedup_components(v: Views) -> DataFrame:
     return X.canonical(v.copies, store)
 
 
-_HASHED = f"SELECT '{NS}d/' || source || '_' || substr(md5(doc_id::VARCHAR), 1, 6) AS uri FROM documents WHERE doc_id < 40"
-
-
-@register(f"WITH u AS ({_HASHED}), c AS (SELECT uri, regexp_replace(uri, '_[0-9a-f]{{6}}$', '') AS cut FROM u) SELECT uri, CASE WHEN count(*) OVER (PARTITION BY cut) = 1 THEN cut ELSE uri END AS short FROM c")
-def hash_strip(v: Views) -> DataFrame:
-    docs = v.table("documents").where("doc_id < 40")
-    return X.strip_hashes(docs.select(F.concat(F.lit(f"{NS}d/"), "source", F.lit("_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6)).alias("uri")))
-
-
 _WHOLE = f"SELECT DISTINCT '{NS}d/' || source || '_' || substr(md5(doc_id::VARCHAR), 1, 6) AS uri FROM documents"
 
 
 @register(f"WITH u AS ({_WHOLE}), c AS (SELECT uri, regexp_replace(uri, '_[0-9a-f]{{6}}$', '') AS cut FROM u) SELECT uri, CASE WHEN count(*) OVER (PARTITION BY cut) = 1 THEN cut ELSE uri END AS short FROM c")
-def hash_strip_whole(v: Views) -> DataFrame:
-    """As ``hash_strip``, over the URIs of all documents."""
+def hash_strip(v: Views) -> DataFrame:
+    """URIs of all documents without the digits at their end, where these aren't needed to tell them apart."""
     return X.strip_hashes(v.table("documents").select(F.concat(F.lit(f"{NS}d/"), "source", F.lit("_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6)).alias("uri")))
 
 

@@ -21,7 +21,7 @@ def _written(spark, folder, **tables):
 
 def test_hash_strip_sees_every_uri(spark, tmp_path):
     rows = [(1, "web"), (2, "news"), (500, "web"), (501, "book")]
-    got = library.queries()["hash_strip_whole"](spark, _written(spark, tmp_path, documents=(rows, "doc_id long, source string"))).collect()
+    got = library.queries()["hash_strip"](spark, _written(spark, tmp_path, documents=(rows, "doc_id long, source string"))).collect()
     short = {r["uri"][:-7]: r["short"] for r in got if "/web_" not in r["uri"]}
     assert len(got) == 4 and short == {f"{NS}d/news": f"{NS}d/news", f"{NS}d/book": f"{NS}d/book"}
     assert all(r["short"] == r["uri"] for r in got if "/web_" in r["uri"])
@@ -29,7 +29,7 @@ def test_hash_strip_sees_every_uri(spark, tmp_path):
 
 def test_semantic_similarity_scores_every_pair(spark, tmp_path):
     rows = [(3, "a", [1.0, 0.0]), (7, "a", [0.0, 1.0]), (10, "a", [1.0, 1.0]), (20, "b", [1.0, 0.0]), (23, "b", [2.0, 0.0])]
-    got = library.queries()["semantic_similarity_whole"](spark, _written(spark, tmp_path, embeddings=(rows, "vec_id long, label string, embedding array<float>"))).collect()
+    got = library.queries()["semantic_similarity"](spark, _written(spark, tmp_path, embeddings=(rows, "vec_id long, label string, embedding array<float>"))).collect()
     assert {(r["a"], r["b"]): r["score"] for r in got} == {(3, 7): 0.0, (3, 10): 0.707107, (7, 10): 0.707107, (20, 23): 1.0}
 
 
@@ -79,5 +79,5 @@ def test_every_user_and_statement_takes_part(spark, tmp_path):
         spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"),
         customer=(users, "c_custkey long, c_name string, c_mktsegment string, c_nationkey int"), nation=([(0, "N")], "n_nationkey int, n_name string"),
     )
-    rows = {name: library.queries()[f"{name}_whole"](spark, folder).count() for name in ("user_workspaces", "path_star", "path_plus", "path_inverse")}
+    rows = {name: library.queries()[f"{name}"](spark, folder).count() for name in ("user_workspaces", "path_star", "path_plus", "path_inverse")}
     assert rows == {"user_workspaces": 3, "path_star": 9, "path_plus": 6, "path_inverse": 9}
