@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions import matching
 from ..functions import columns
 from ..functions.columns import cosine
 from ..operators import alignment as A

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import statements as S
-from ..session import store
 from ..views import NS, Views, with_views
 
 QUERIES: dict = {}

@@ -250,8 +250,6 @@ def initial_score(v: Views) -> DataFrame:
     return A.score_strings(rows, "a", "b", "score", initials=True).select("p_partkey", "form", "score")
 
 
-
-
 @register(f"""WITH names AS (SELECT DISTINCT lower(p_brand) AS p, lower(p_name) AS q FROM part), pairs AS (SELECT p, q, CASE WHEN length(p) <= length(q) THEN p ELSE q END AS a, CASE WHEN length(p) <= length(q) THEN q ELSE p END AS b FROM names),
 cuts AS (SELECT p, q, a AS x, unnest(list_concat(list_transform(range(1, length(b) - length(a) + 2), lambda i: substr(b, i, length(a))),
   list_transform(range(1, length(a)), lambda i: left(b, i)), list_transform(range(1, length(a)), lambda i: right(b, i)))) AS y FROM pairs),

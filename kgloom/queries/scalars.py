@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import matching
 from ..views import NS, Views, with_views
 
 QUERIES: dict = {}

@@ -1,15 +1,11 @@
-"""Queries of the text-span engine, the confidence model and extraction."""
+"""Queries of uploads, of passages found in texts, of spans side by side and of the confidence model."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import spans as P
-from ..functions.columns import local_name
 from ..operators import confidence as C
-from ..operators import extraction as E
 from ..operators.passages import find_values
 from ..views import Views, with_views
 
@@ -148,7 +144,3 @@ def loo_median(v: Views) -> DataFrame:
 @register("SELECT stmt_id FROM versions WHERE is_current AND status = 'pending' AND activity_type <> 'lookup' AND confidence >= 0.4", "versions")
 def bulk_acceptable(v: Views) -> DataFrame:
     return v.versions.where("is_current and status = 'pending' and activity_type <> 'lookup' and confidence >= 0.4").select("stmt_id")
-
-
-# ---- extraction -----------------------------------------------------------------------------------------------
-
