@@ -277,7 +277,7 @@ def _settled(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (src, dst) between the rows of each (cluster, part, turn) that ``dealt`` (node, part, turn, asks,
     component) makes."""
     rows = dealt.join(sets, "node").select("cluster", "part", "turn", "asks", "node", "component", "elements")
-    tasks = tasks_for(dealt.sparkSession, dealt.count(), TASK_ROWS)
+    tasks = tasks_for(dealt.sparkSession, sets.count(), TASK_ROWS)
     return rows.repartition(tasks, "cluster", "part", "turn").sortWithinPartitions("cluster", "part", "turn").mapInArrow(_link, "src long, dst long")
 
 
@@ -348,12 +348,13 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(placed: DataFrame, own: DataFrame) -> DataFrame:
     """Plausible pairs (a, b) of members of a bucket that are in different components, each in its first bucket."""
     sizes = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    parts = placed.join(materialise(sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "open"), "bucket")
+    open_ = materialise(sizes.select("bucket", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "open")
+    parts = placed.join(open_.select("bucket", "parts"), "bucket")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
     dealt = parts.select("bucket", "node", "component", mine.alias("part"), F.explode(blocks).alias("k")).select("bucket", "k.i", "k.j", "part", "node", "component")
     rows = dealt.join(own.select("node", "n", "sketch"), "node")
-    tasks = tasks_for(placed.sparkSession, dealt.count(), TASK_ROWS)
+    tasks = tasks_for(placed.sparkSession, open_.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] or 0, TASK_ROWS)
     groups = rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return groups.select("bucket", "i", "j", "part", "node", "component", "n", "sketch").mapInArrow(_compare, "a long, b long")
 
