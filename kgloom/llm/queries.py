@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, exact, html, mixing, near, packing, quality, sharding, substring, urls
+from . import asof, chat, common, exact, html, mixing, near, packing, quality, sharding, substring, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -225,6 +225,63 @@ FROM w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN classes c ON c.doc_id
 """
 
 
+#: Tolerance of op13, and the multiple to which odd ids' times are floored.
+ASOF_TOLERANCE, DAY = 72 * 3_600_000_000, 86_400_000_000
+
+
+def _moment(number: str, moment: str) -> Column:
+    """Microseconds of a time column, floored to days where the CRC of the row's number is odd."""
+    us = asof.micros(F.col(moment))
+    return F.when(F.pmod(_crc(number), F.lit(2)) == 1, us - F.pmod(us, F.lit(DAY))).otherwise(us)
+
+
+def _crc(number: str) -> Column:
+    return F.crc32(F.col(number).cast("string").cast("binary"))
+
+
+def op13_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """The order that each click follows.
+
+    Of copies that differ, the one with a client and a time counts, then the smallest.  A null number has no CRC and is
+    taken as it is; all rows with a null click_id are copies of one.  A total that no number of cents can express is
+    null.  See ``asof.asof_join`` for nulls, ties and repeated orders.
+    """
+    clicks, sales = spark.read.parquet(f"{folder}/clicks.parquet"), spark.read.parquet(f"{folder}/sales.parquet")
+    usable = F.struct(F.isnull("client_id").alias("a"), F.isnull("ts").alias("b"), "client_id", "ts")
+    one = clicks.groupBy("click_id").agg(F.min(usable).alias("c")).select("click_id", "c.client_id", "c.ts")
+    asks = one.select("click_id", "client_id", F.coalesce(_moment("click_id", "ts"), asof.micros(F.col("ts"))).alias("ts_us"))
+
+    cents = F.col("total") * 100 + 0.5
+    order = lambda sale, priority: F.struct(sale.alias("sale_id"), priority.alias("priority"))
+    first = order(F.col("sale_id"), F.col("priority"))
+    both = F.array(first, order(-1 - F.col("sale_id"), 6 - F.col("priority")))
+    orders = sales.select(
+        "client_id", F.coalesce(_moment("sale_id", "sold_at"), asof.micros(F.col("sold_at"))).alias("ts_us"),
+        F.when(F.abs(cents) < 9e18, F.floor(cents)).cast("long").alias("total_cents"),
+        F.explode(F.when(F.pmod(_crc("sale_id"), F.lit(3)) != 0, both).otherwise(F.array(first))).alias("o"),
+    ).select("client_id", "ts_us", "o.sale_id", "o.priority", "total_cents")
+    found = asof.asof_join(asks, orders, "client_id", "ts_us", ASOF_TOLERANCE, [F.col("priority"), F.bitwise_not("sale_id").alias("small")], ["sale_id", "total_cents"])
+    lag = F.col("ts_us") - F.col("matched_at")
+    return found.select("click_id", "client_id", "ts_us", "sale_id", lag.alias("lag_us"), "total_cents", "n_tied")
+
+
+OP13_SQL = """
+WITH crc(t) AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) FROM range(256) r(i)),
+clicked AS (SELECT click_id, client_id, epoch_us(ts) AS us, click_id::VARCHAR AS digits FROM clicks
+  QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY client_id IS NULL, ts IS NULL, client_id, ts) = 1),
+sold AS (SELECT sale_id, client_id, priority, total, epoch_us(sold_at) AS us, sale_id::VARCHAR AS digits FROM sales),
+ids AS (SELECT DISTINCT digits FROM (SELECT digits FROM clicked UNION ALL SELECT digits FROM sold)),
+sums AS (SELECT digits, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(digits, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c // 256))) AS h FROM ids, crc),
+asks AS (SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN us - us % 86400000000 ELSE us END AS ts_us FROM clicked LEFT JOIN sums USING (digits)),
+known AS (SELECT sale_id, client_id, priority, total, h, CASE WHEN h % 2 = 1 THEN us - us % 86400000000 ELSE us END AS moment FROM sold LEFT JOIN sums USING (digits)),
+orders AS (SELECT sale_id, client_id, priority, total, moment FROM known UNION ALL SELECT -1 - sale_id, client_id, 6 - priority, total, moment FROM known WHERE h % 3 <> 0),
+near AS (SELECT a.click_id, max(o.moment) AS moment FROM asks a JOIN orders o ON o.client_id = a.client_id AND o.moment BETWEEN a.ts_us - 259200000000 AND a.ts_us GROUP BY a.click_id),
+best AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY priority DESC NULLS LAST, sale_id ASC NULLS LAST, total DESC NULLS LAST) AS r FROM orders WINDOW w AS (PARTITION BY client_id, moment))
+SELECT a.click_id, a.client_id, a.ts_us, b.sale_id, a.ts_us - n.moment AS lag_us, CASE WHEN isfinite(b.total) THEN floor(100 * b.total + 0.5)::BIGINT END AS total_cents, coalesce(b.n, 0) AS n_tied
+FROM asks a LEFT JOIN near n ON n.click_id IS NOT DISTINCT FROM a.click_id LEFT JOIN best b ON b.client_id = a.client_id AND b.moment = n.moment AND b.r = 1
+"""
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -237,8 +294,9 @@ def queries() -> dict:
         "op8_exact": op8_exact,
         "op9_html": op9_html,
         "op10_near": op10_near,
+        "op13_asof": op13_asof,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL, "op13_asof": OP13_SQL}
