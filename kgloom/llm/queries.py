@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, chat, common, exact, html, mixing, near, packing, quality, sharding, substring, urls
+from . import asof, chat, common, decontaminate, exact, html, mixing, near, packing, quality, sharding, substring, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -225,6 +225,29 @@ FROM w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN classes c ON c.doc_id
 """
 
 
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against all items; see ``decontaminate.find_passages`` for nulls, empty texts and repeated rows."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = decontaminate.find_passages(common.documents(spark, folder).select("doc_id", "text"), items)
+    listed = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP12_SQL = r"""
+WITH lower AS (SELECT FALSE AS test, rid AS id, text FROM (SELECT row_number() OVER () AS rid, text FROM documents) UNION ALL
+  SELECT TRUE, rid, text FROM (SELECT row_number() OVER () AS rid, text FROM benchmark)),
+w AS (SELECT test, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lower),
+sizes AS (SELECT DISTINCT least(10, len(ws)) AS k FROM w WHERE test AND len(ws) > 0),
+win AS (SELECT test, id, i, k, md5(array_to_string(ws[i:i + k - 1], ' ')) AS g FROM (SELECT test, id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w JOIN sizes ON NOT test OR k = least(10, len(ws)))),
+match AS (SELECT DISTINCT d.id, d.i, d.k, t.id AS item FROM win d JOIN win t ON d.k = t.k AND d.g = t.g AND NOT d.test AND t.test),
+hits AS (SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(i, i + k)) AS place FROM match) GROUP BY id),
+named AS (SELECT DISTINCT m.id, coalesce(b.item_id::VARCHAR, '') AS name FROM match m JOIN (SELECT row_number() OVER () AS rid, item_id FROM benchmark) b ON b.rid = m.item),
+told AS (SELECT id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM named GROUP BY id)
+SELECT d.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) d JOIN w ON NOT w.test AND w.id = d.rid LEFT JOIN hits h ON h.id = d.rid LEFT JOIN told t ON t.id = d.rid
+"""
+
+
 #: Tolerance of op13, and the multiple to which odd ids' times are floored.
 ASOF_TOLERANCE, DAY = 72 * 3_600_000_000, 86_400_000_000
 
@@ -294,9 +317,10 @@ def queries() -> dict:
         "op8_exact": op8_exact,
         "op9_html": op9_html,
         "op10_near": op10_near,
+        "op12_decontaminate": op12_decontaminate,
         "op13_asof": op13_asof,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL, "op13_asof": OP13_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL, "op12_decontaminate": OP12_SQL, "op13_asof": OP13_SQL}
