@@ -40,7 +40,7 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def _pieces(text: bytes) -> Iterator[tuple[int, int]]:
+def pieces(text: bytes) -> Iterator[tuple[int, int]]:
     """Stretches of about ``PIECE`` bytes that end where no word goes on."""
     at = 0
     while at < len(text):
@@ -78,7 +78,7 @@ class Passages:
     def scan(self, text: bytes) -> tuple[bytearray, set[int]]:
         """A byte for each word of ``text``, 1 where it is hit, and the numbers of the items that occur in it."""
         hit, found, tail = bytearray(), set(), []
-        for low, high in _pieces(text):
+        for low, high in pieces(text):
             own = words_of(text[low:high])
             words = tail + own
             base = len(hit) - len(tail)
@@ -115,7 +115,7 @@ def runs(hit: bytearray) -> np.ndarray:
 def offsets(text: bytes, spans: np.ndarray) -> np.ndarray:
     """Spans of words as spans of code points of ``text``."""
     out, words, points = np.zeros_like(spans), 0, 0
-    for low, high in _pieces(text):
+    for low, high in pieces(text):
         data = np.frombuffer(text, np.uint8, high - low, low)
         inside = np.concatenate([[False], _IS_WORD[data], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, chat, common, decontaminate, exact, html, mixing, near, packing, quality, sharding, substring, urls
+from . import asof, chat, common, decontaminate, exact, html, mixing, near, packing, quality, ranked, sharding, substring, urls
 
 #: SQL of a text's words, as ``common.words_of``.
 _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -225,6 +225,29 @@ FROM w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN classes c ON c.doc_id
 """
 
 
+TOP = 10
+
+
+def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of each item; see ``ranked.rank`` for nulls, ties and repeated rows."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return ranked.rank(common.documents(spark, folder).select("doc_id", "text"), items, TOP)
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), items AS (SELECT row_number() OVER () AS iid, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+d AS (SELECT rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM docs),
+q AS (SELECT DISTINCT iid, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+n AS (SELECT count(*) AS docs, coalesce(sum(len(ts)), 0)::BIGINT AS total FROM d WHERE len(ts) > 0),
+m AS (SELECT rid, doc_id, 100 - 90 + (90 * len(ts) * n.docs) // n.total AS m FROM d, n WHERE len(ts) > 0),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n.docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, n GROUP BY term, n.docs),
+s AS (SELECT q.iid, p.rid, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m ON m.rid = p.rid GROUP BY ALL),
+r AS (SELECT i.item_id, m.doc_id, s.score, row_number() OVER (PARTITION BY s.iid ORDER BY s.score DESC, m.doc_id ASC NULLS LAST) AS rank FROM s JOIN m ON m.rid = s.rid JOIN items i ON i.iid = s.iid WHERE s.score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """All documents against all items; see ``decontaminate.find_passages`` for nulls, empty texts and repeated rows."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -317,10 +340,11 @@ def queries() -> dict:
         "op8_exact": op8_exact,
         "op9_html": op9_html,
         "op10_near": op10_near,
+        "op11_ranked": op11_ranked,
         "op12_decontaminate": op12_decontaminate,
         "op13_asof": op13_asof,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL, "op12_decontaminate": OP12_SQL, "op13_asof": OP13_SQL}
+    return {"op2_chat": OP2_SQL, "op3_quality": OP3_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op7_substring": OP7_SQL, "op8_exact": OP8_SQL, "op10_near": OP10_SQL, "op11_ranked": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_asof": OP13_SQL}
