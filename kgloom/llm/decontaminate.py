@@ -141,32 +141,32 @@ def _find(items: Broadcast):
         for whole in batches:
             for a, b in batches_of(pc.binary_length(whole["text"]).to_numpy(zero_copy_only=False), BATCH_BYTES):
                 batch = whole.slice(a, b - a)
-                counts, spans, places, told = [], [], [], []
+                counts, spans, told = [], [], []
                 for text in batch["text"].to_pylist():
                     hit, found = passages.scan(text)
                     own = runs(hit) if found else np.zeros((0, 2), np.int64)
                     counts.append(len(hit))
-                    spans.append(_structs(own))
-                    places.append(_structs(offsets(text, own)) if found else [])
+                    spans.append([dict(zip(_SPAN, x, strict=True)) for x in np.hstack([own, offsets(text, own)]).tolist()] if found else [])
                     told.append(sorted({names[i] for i in found}))
                 kept = [batch[c] for c in batch.schema.names if c != "text"]
-                pair = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
-                made = [pa.array(counts, pa.int64()), pa.array(spans, pair), pa.array(places, pair), pa.array(told, pa.list_(pa.string()))]
-                yield pa.record_batch(kept + made, [*(c for c in batch.schema.names if c != "text"), "n_words", "words", "spans", "items"])
+                kind = pa.list_(pa.struct([(c, pa.int64()) for c in _SPAN]))
+                made = [pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(told, pa.list_(pa.string()))]
+                yield pa.record_batch(kept + made, [*(c for c in batch.schema.names if c != "text"), "n_words", "spans", "items"])
 
     return run
 
 
-def _structs(pairs: np.ndarray) -> list[dict[str, int]]:
-    return [{"first": a, "after": b} for a, b in pairs.tolist()]
-
-
-_MADE = "n_words long, words array<struct<first: long, after: long>>, spans array<struct<first: long, after: long>>, items array<string>"
+#: A run of hit words: its first word and the one after it, and the same in code points of the text.
+_SPAN = ("first", "after", "start", "end")
+_SPANS = f"array<struct<{', '.join(f'{c}: bigint' for c in _SPAN)}>>"
+_MADE = f"n_words long, spans {_SPANS}, items array<string>"
 
 
 def find_passages(docs: DataFrame, items: DataFrame, order: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of ``docs``: ``order``, n_words, n_hit (long), words and spans (runs of hit words, in words and in
-    code points of the text: first and after, from 0), and items, the ids of occurring items as strings, sorted.
+    """For each row of ``docs``: ``order``, n_words, n_hit (long), spans and items.
+
+    ``spans`` are the runs of hit words, from ``first`` to before ``after`` in words and from ``start`` to before
+    ``end`` in code points of the text, from 0.  ``items`` are the ids of occurring items as strings, sorted.
 
     A word is hit if it lies in a window of ten words of an item, or in a whole item of fewer words; items without
     words occur nowhere.  Null texts have no words; texts of any length are read in pieces.  Repeated rows are judged
@@ -193,22 +193,22 @@ def find_passages(docs: DataFrame, items: DataFrame, order: str = "doc_id", text
             one = materialise(one.where("size(items) > 0") if part else one, "passages")
         found = one if found is None else found.unionByName(one)
     if parts > 1:
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("words", "spans")]
+        spans = F.flatten(F.collect_list("spans")).alias("spans")
         names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        found = found.groupBy("rid").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), *lists, names)
-        found = found.withColumns({c: _united(c) for c in ("words", "spans")})
-    n_hit = F.aggregate("words", F.lit(0).cast("long"), lambda n, r: n + r["after"] - r["first"])
-    return found.select(F.col("id").alias(order), "n_words", n_hit.alias("n_hit"), "words", "spans", "items")
+        found = found.groupBy("rid").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), spans, names)
+        found = found.withColumn("spans", _united("spans"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, r: n + r["after"] - r["first"])
+    return found.select(F.col("id").alias(order), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def _united(name: str):
     """The union of a document's runs: sorted, and joined where they meet."""
-    start = F.array().cast("array<struct<first: bigint, after: bigint>>")
+    start = F.array().cast(_SPANS)
 
     def put(done, run):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["first"].alias("first"), F.greatest(last["after"], run["after"]).alias("after"))
-        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["after"] >= run["first"])
-        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(run)))
+        last = F.try_element_at(done, F.lit(-1))
+        both = F.struct(last["first"].alias("first"), F.greatest(last["after"], run["after"]).alias("after"), last["start"].alias("start"), F.greatest(last["end"], run["end"]).alias("end"))
+        meets = F.coalesce(last["after"] >= run["first"], F.lit(False))
+        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(run)))
 
     return F.aggregate(F.array_sort(name), start, put)
