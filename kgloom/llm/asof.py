@@ -66,7 +66,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: i
         with_subs = cut.join(df.withColumns(place), ["key", "chunk"]).withColumn("subs", F.coalesce("subs", F.lit(1).cast("long")))
         return with_subs.withColumn("width", F.ceil(F.lit(chunk) / F.col("subs")).cast("long")).withColumn("sub", F.expr("off div width"))
 
-    asked = placed(asks)
+    asked = materialise(placed(asks).select("key", "at", "row", "rid", "chunk", "sub", "subs"), "asof-cells")
     many = asked.where("subs > 1").groupBy("key", "chunk", "sub").agg(F.count("*").alias("n")).where(F.col("n") > 2 * most)
     crowded = _Cells(many.select("key", "chunk", "sub", F.ceil(F.col("n") / most).alias("parts")), "crowded-cells", none=not cut.rows)
 
