@@ -11,11 +11,11 @@ OWNER_ONLY = ("delete-document", "export-provenance")
 
 def decide(requests: DataFrame, members: DataFrame, workspaces: DataFrame) -> DataFrame:
     """``requests`` (user_id, workspace_id, roles: array of the roles that may) with ``answer``: 200, 403 for users
-    without such a role, 404 for workspaces that don't exist."""
+    without such a role, 404 for workspaces that don't exist.  A member may have several roles."""
     known = workspaces.select("workspace_id", F.lit(True).alias("__known")).distinct()
-    roles = members.groupBy("user_id", "workspace_id").agg(F.max("role").alias("__role"))
+    roles = members.groupBy("user_id", "workspace_id").agg(F.collect_set("role").alias("__role"))
     joined = requests.join(known, "workspace_id", "left").join(roles, ["user_id", "workspace_id"], "left")
-    answer = F.when(F.col("__known").isNull(), 404).when(F.coalesce(F.array_contains("roles", F.col("__role")), F.lit(False)), 200).otherwise(403)
+    answer = F.when(F.col("__known").isNull(), 404).when(F.coalesce(F.arrays_overlap("roles", F.col("__role")), F.lit(False)), 200).otherwise(403)
     return joined.withColumn("answer", answer).select(*requests.columns, "answer")
 
 

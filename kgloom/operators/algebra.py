@@ -109,8 +109,8 @@ def construct_quads(solutions: DataFrame, template: Iterable[Sequence[str]]) ->
 
 
 def drop_graph(quads: DataFrame, graph: str) -> DataFrame:
-    """``quads`` (g, s, p, o) without a graph; one that isn't there is no error."""
-    return quads.where(F.col("g") != graph)
+    """``quads`` (g, s, p, o) without a graph; one that isn't there is no error.  A null graph is the default one and stays."""
+    return quads.where(~F.col("g").eqNullSafe(F.lit(graph)))
 
 
 def pinned(quads: DataFrame, graph: str) -> DataFrame:

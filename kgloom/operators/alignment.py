@@ -87,13 +87,16 @@ def cross_document(prior: str = "is_prior", source: str = "source_doc") -> Colum
 def score_strings(pairs: DataFrame, a: str, b: str, name: str, initials: bool = False) -> DataFrame:
     """Adds ``name``: the similarity of two string columns, computed once for each distinct pair of strings.
 
-    Names repeat far more than entities do, so the UDF sees the distinct pairs only; they are joined back.
+    Names repeat far more than entities do, so the UDF sees the distinct pairs only; they are joined back.  A pair of
+    which one side is null has no similarity.
     """
     kernel = matching.initial_score_udf if initials else matching.fuzz_score_udf
-    distinct = pairs.select(F.least(a, b).alias("__x"), F.greatest(a, b).alias("__y")).where("__x is not null and __y is not null").distinct()
+    # least() and greatest() skip nulls, and would compare a string with itself.
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    sides = {"__x": F.when(both, F.least(a, b)), "__y": F.when(both, F.greatest(a, b))}
+    distinct = pairs.select(*[c.alias(n) for n, c in sides.items()]).where("__x is not null").distinct()
     scored = distinct.withColumn(name, kernel("__x", "__y"))
-    keyed = pairs.withColumns({"__x": F.least(a, b), "__y": F.greatest(a, b)})
-    return keyed.join(scored, ["__x", "__y"], "left").drop("__x", "__y")
+    return pairs.withColumns(sides).join(scored, ["__x", "__y"], "left").drop("__x", "__y")
 
 
 def similar_pairs(entities: DataFrame, block: list[str], name: str, least: float, condition: Column | None = None, uri: str = "uri") -> DataFrame:

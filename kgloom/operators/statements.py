@@ -116,24 +116,32 @@ def append(versions: DataFrame, chosen: DataFrame, action: str, status: Column,
 
     The new version keeps subject, predicate, object and confidence unless ``changes`` say otherwise.
     """
+    return append_rows(versions, chosen, next_versions(chosen, action, status, **changes))
+
+
+def append_rows(versions: DataFrame, chosen: DataFrame, fresh: DataFrame) -> DataFrame:
+    return set_not_current(versions, chosen).unionByName(fresh.select(*versions.columns))
+
+
+def next_versions(chosen: DataFrame, action: str, status: Column, **changes: Column) -> DataFrame:
+    """The version that an action appends to each of the ``chosen`` ones."""
     ident = F.concat("root_id", F.lit("+"), F.col("version_no") + 1)
-    fresh = chosen.withColumns({
+    return chosen.withColumns({
         "__id": ident, "status": status, "activity_type": F.lit(action), "is_current": F.lit(True), "parent_id": F.col("stmt_id"), "parent_kind": F.lit("statement"),
         "activity_id": F.concat(F.lit(f"{action}-"), ident), "version_no": F.col("version_no") + 1, **changes,
-    }).withColumn("stmt_id", F.col("__id")).select(*versions.columns)
-    return set_not_current(versions, chosen).unionByName(fresh)
+    }).withColumn("stmt_id", F.col("__id")).drop("__id")
 
 
 def accept(versions: DataFrame, data: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accept all or nothing; the bare triples go to the data graph, which stays a set."""
-    _check(versions, ids, "accepted")
+    check(versions, ids, "accepted")
     chosen = _chosen(versions, ids)
     triples = chosen.select("s", "p", "o").distinct()
     return append(versions, chosen, "accept", F.lit("accepted")), data.unionByName(triples.join(data, ["s", "p", "o"], "left_anti"))
 
 
 def reject(versions: DataFrame, data: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    _check(versions, ids, "rejected")
+    check(versions, ids, "rejected")
     chosen = _chosen(versions, ids)
     return append(versions, chosen, "reject", F.lit("rejected")), _without(data, chosen)
 
@@ -142,23 +150,28 @@ def edit(versions: DataFrame, data: DataFrame, ids: DataFrame, **changes: Column
     """Change s, p or o; the status stays, and a triple that was accepted leaves the data graph."""
     if not changes:
         raise ActionError("an edit must change something")
-    _check(versions, ids, None)
+    check(versions, ids, None)
     chosen = _chosen(versions, ids)
     return append(versions, chosen, "edit", F.col("status"), **changes), _without(data, chosen)
 
 
 def reset(versions: DataFrame, data: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Back to the original's content, pending; the original itself can't be reset."""
-    _check(versions, ids, None)
+    check(versions, ids, None)
     chosen = _chosen(versions, ids)
+    return append_rows(versions, chosen, back_to_first(chosen, originals(versions))), _without(data, chosen)
+
+
+def back_to_first(chosen: DataFrame, first: DataFrame) -> DataFrame:
+    """Next versions of the ``chosen`` ones, none of which is an original, with the content of the ``first`` ones."""
     if not chosen.where("version_no = 0").isEmpty():
         raise ActionError("an original can't be reset")
-    first = originals(versions).select("root_id", *[F.col(c).alias(f"__{c}") for c in ("s", "p", "o", "o_kind", "confidence", "span_start", "span_end")])
-    back = {c: F.col(f"__{c}") for c in ("s", "p", "o", "o_kind", "confidence", "span_start", "span_end")}
-    return append(versions, chosen.join(first, "root_id"), "reset", F.lit("pending"), **back), _without(data, chosen)
+    own = ("s", "p", "o", "o_kind", "confidence", "span_start", "span_end")
+    said = first.select("root_id", *[F.col(c).alias(f"__{c}") for c in own])
+    return next_versions(chosen.join(said, "root_id"), "reset", F.lit("pending"), **{c: F.col(f"__{c}") for c in own}).drop(*[f"__{c}" for c in own])
 
 
-def _check(versions: DataFrame, ids: DataFrame, already: str | None) -> None:
+def check(versions: DataFrame, ids: DataFrame, already: str | None) -> None:
     wrong = invalid(versions, ids, already).limit(5).collect()
     if wrong:
         raise ActionError(f"not current or already {already}: {', '.join(str(r.stmt_id) for r in wrong)}")
@@ -169,9 +182,13 @@ def _without(data: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def delete_document(versions: DataFrame, data: DataFrame, doc_id: int) -> tuple[DataFrame, DataFrame]:
-    """Without the document's statements and the data triples that any version of them had."""
-    gone = versions.where(F.col("doc_id") == doc_id)
-    return versions.where(F.col("doc_id") != doc_id), data.join(gone.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")
+    """Without the document's statements and the data triples that any version of them had.
+
+    Versions of no document, as those of alignments and lookups, stay.
+    """
+    own = F.col("doc_id").eqNullSafe(F.lit(doc_id))
+    gone = versions.where(own)
+    return versions.where(~own), data.join(gone.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")
 
 
 def last_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -218,11 +235,15 @@ def set_not_current(versions: DataFrame, ids: DataFrame) -> DataFrame:
 # ---- curators, workspaces and tasks ---------------------------------------------------------------------------
 
 
-def upsert_curators(curators: DataFrame, users: DataFrame) -> DataFrame:
+def upsert_curators(curators: DataFrame, users: DataFrame, order: str | None = None) -> DataFrame:
     """``curators`` (id, name, email, username, is_deleted) after ``users`` (id, name, email, username) acted: theirs
-    are replaced or added, once each; a name falls back to the user name and then to the id."""
+    are replaced or added, once each; a name falls back to the user name and then to the id.
+
+    Of several rows of a user the last by ``order`` counts, and of such the largest (name, email, username).
+    """
     name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("username"), F.lit("")), F.col("id").cast("string"))
-    fresh = users.select("id", name.alias("name"), "email", "username", F.lit(False).alias("is_deleted")).dropDuplicates(["id"])
+    last = F.max(F.struct(*([F.col(order).alias("__order")] if order else []), name.alias("name"), "email", "username"))
+    fresh = users.groupBy("id").agg(last.alias("x")).select("id", "x.name", "x.email", "x.username", F.lit(False).alias("is_deleted"))
     return curators.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
@@ -251,11 +272,15 @@ NEXT = {"Queued": ("Running", "Failed"), "Running": ("Waiting", "Done", "Failed"
 FIRST_STAGE = {"pdf": "convert"}
 
 
-def update_tasks(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+def update_tasks(tasks: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """``tasks`` (doc_id, status, stage) after ``changes`` (doc_id, status, stage); failed tasks are skipped, as are
-    changes that don't follow from a task's state."""
+    changes that don't follow from a task's state.
+
+    Of several changes of a task the last by ``order`` counts, and of such the largest (status, stage).
+    """
     may = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.array(*map(F.lit, v)).cast("array<string>")) for k, v in NEXT.items()]))
-    wanted = changes.select("doc_id", F.col("status").alias("__status"), F.col("stage").alias("__stage"))
+    last = F.max(F.struct(*([F.col(order).alias("at")] if order else []), "status", "stage"))
+    wanted = changes.groupBy("doc_id").agg(last.alias("x")).select("doc_id", F.col("x.status").alias("__status"), F.col("x.stage").alias("__stage"))
     joined = tasks.join(wanted, "doc_id", "left")
     allowed = F.coalesce((F.col("status") != "Failed") & ((F.col("__status") == F.col("status")) | F.array_contains(F.try_element_at(may, F.col("status")), F.col("__status"))), F.lit(False))
     return joined.withColumns({"status": F.when(allowed, F.col("__status")).otherwise(F.col("status")), "stage": F.when(allowed, F.coalesce("__stage", "stage")).otherwise(F.col("stage"))}).select(*tasks.columns)

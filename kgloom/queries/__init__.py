@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..views import Views
-from . import actions, algebra, alignment, export, log, lookup, more, scalars, sources, spans, text
+from . import actions, algebra, alignment, export, history, log, lookup, more, scalars, sources, spans, text
 
-MODULES = (algebra, log, actions, scalars, alignment, lookup, export, text, spans, sources, more)
+MODULES = (algebra, log, history, actions, scalars, alignment, lookup, export, text, spans, sources, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import pred_local_name
 from . import yaml
+from .manifests import Manifests
 
 ANNOTATION = (
     "source_document string, annotations array<struct<subject:string,predicate:string,value:string,object:string,span_start:int,span_end:int,span_text:string,confidence:double,triple_type:string>>"
@@ -74,26 +75,32 @@ def slots(schema: dict) -> dict:
 
 
 def commit(df: DataFrame, root: str, version: int, partition: str = "workspace_id") -> str:
-    """Write a table's next snapshot; a version that exists isn't overwritten, so one of two writers fails."""
-    path = f"{root}/v{version:08d}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition) if partition in df.columns else writer).parquet(path)
-    return path
+    """Write a table's next snapshot; a version that exists isn't overwritten, so one of two writers gets a
+    ``Conflict``, and one that dies leaves no version behind."""
+    tables = Manifests(df.sparkSession, root)
+    base = tables.state(version - 1)
+    part = tables.write(df, base, "table", partition=[partition] if partition in df.columns else None)
+    tables.commit(base, {"table": [part]})
+    return part.path
 
 
 def snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/v{version:08d}")
+    tables = Manifests(spark, root)
+    (part,) = tables.state(version).parts("table")
+    return tables.read(part)
 
 
-def changed(table: DataFrame, key: str, inserts: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
+def changed(table: DataFrame, key: str, inserts: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """``table`` after changes by ``key``: rows updated, then rows deleted, then rows added.
 
-    ``updates`` have the key and the columns that change, once for each key; keys that aren't there change nothing.
+    ``updates`` have the key and the columns that change; of several for a key the last by ``order`` counts, and of such
+    the largest by its values.  Keys that aren't there change nothing.
     """
     out = table
     if updates is not None:
-        names = [c for c in updates.columns if c != key]
-        new = updates.select(key, F.struct(*names).alias("__new"))
+        names = [c for c in updates.columns if c not in (key, order)]
+        first = [F.col(order).alias("__order")] if order else []
+        new = updates.groupBy(key).agg(F.max(F.struct(*first, *names)).alias("__new"))
         joined = out.join(new, key, "left")
         out = joined.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
     if deletes is not None:
