@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,16 +27,50 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
-    try:
+    with _SmallBatches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class _SmallBatches:
+    """While any thread is inside, Arrow batches of the session have at most ``BATCH_ROWS`` rows; the last to leave puts
+    back what the first has found."""
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    lock, users = threading.Lock(), {}
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.key = spark, id(spark._jsparkSession)
+
+    def __enter__(self) -> None:
+        with self.lock:
+            inside, before = self.users.get(self.key, (0, self.spark.conf.get(self.name)))
+            self.users[self.key] = (inside + 1, before)
+            self.spark.conf.set(self.name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            inside, before = self.users.pop(self.key)
+            if inside > 1:
+                self.users[self.key] = (inside - 1, before)
+            else:
+                self.spark.conf.set(self.name, before)
+
+
+def one_of_each(rows: DataFrame, wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """``wanted`` (row, once each, and other columns) with the text of ``rows`` (row, text), once for each.
+
+    ``keys`` has the ``row`` of all rows.  Texts whose row repeats are brought down to one before anything is done with
+    them; the others are joined as they are.
+    """
+    again = materialise(keys.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated")
+    if again.isEmpty():
+        return rows.join(wanted, "row")
+    single = rows.join(wanted.join(again, "row", "left_anti"), "row")
+    texts = rows.join(wanted.join(again, "row", "left_semi").select("row"), "row").groupBy("row").agg(F.max("text").alias("text"))
+    return single.unionByName(texts.join(wanted, "row"))
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, which may hold dots, blanks and backticks."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -27,11 +27,11 @@ def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
     All sources together get the sum of all sizes.  Targets are ``least(epochs * source_size, weight * level)``,
     where the level is what remains after the clamped sources, by remaining weight: repeating "clamp, then share
     the excess" ends at the lowest level at which the next source in the order of ``epochs * source_size / weight``
-    isn't clamped.  A source of size 0 gets 0.  The table has one row for each source, so the cumulative sums over
+    isn't clamped.  A source of size 0 gets 0, and so does one of weight 0.  The table has one row for each source, so the cumulative sums over
     it run in one task.
     """
     limit = F.col("source_size") * F.lit(epochs)
-    order = Window.orderBy((limit / F.col("weight")).asc(), F.col("source").asc_nulls_last())
+    order = Window.orderBy(F.try_divide(limit, F.col("weight")).asc_nulls_last(), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     steps = sources.select(
@@ -40,10 +40,10 @@ def water_fill(sources: DataFrame, epochs: int = 3) -> DataFrame:
         (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("rest_weight"),
     )
     wide = lambda name: F.col(name).cast("decimal(19,0)")
-    free = wide("rest") * wide("weight") <= wide("limit") * wide("rest_weight")
+    free = (F.col("weight") > 0) & (wide("rest") * wide("weight") <= wide("limit") * wide("rest_weight"))
     level = steps.where(free).agg(F.max(F.struct("rest_weight", "rest")).alias("level"))
     target = F.least(F.col("limit").cast("double"), (wide("weight") * wide("level.rest")).cast("double") / F.col("level.rest_weight").cast("double"))
-    return steps.crossJoin(F.broadcast(level)).select(*[F.col(c) for c in sources.columns], F.coalesce(target, F.lit(0.0)).alias("target"))
+    return steps.crossJoin(F.broadcast(level)).select(*[F.col(c) for c in sources.columns], F.when(F.col("weight") > 0, F.coalesce(target, F.lit(0.0))).otherwise(F.lit(0.0)).alias("target"))
 
 
 def rank_weights(sources: DataFrame, weights: list[int]) -> DataFrame:
@@ -52,11 +52,19 @@ def rank_weights(sources: DataFrame, weights: list[int]) -> DataFrame:
     return sources.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
 
 
+def _weighted(sources: DataFrame, weights: DataFrame) -> DataFrame:
+    """``sources`` with the weights of a table; 0 for what it lacks."""
+    given = weights.groupBy(F.col("source").alias("__s")).agg(F.greatest(F.max("weight"), F.lit(0)).cast("long").alias("__w"))
+    joined = sources.join(given, F.col("source").eqNullSafe(F.col("__s")), "left")
+    return joined.select(*sources.columns, F.coalesce("__w", F.lit(0)).alias("weight"))
+
+
 def mix(rows: DataFrame, weights: list[int] | DataFrame, epochs: int = 3, seed: str = "mix") -> DataFrame:
     """What a mix takes of ``rows`` (doc_id, source, size long): adds ``source_size``, ``target`` and ``taken``.
 
-    ``weights`` are dealt to the sources in code-point order, or given as a table (source, weight).  A source's
-    target is rounded down to whole words.  ``taken`` counts words: ``floor(target / source_size)`` times the
+    ``weights`` are dealt to the sources in code-point order, or given as a table (source, weight), in which the largest
+    weight of a source counts; sources that it lacks, and those of a null or negative weight, have weight 0, and nothing
+    is taken of their rows, which stay.  A source's target is rounded down to whole words.  ``taken`` counts words: ``floor(target / source_size)`` times the
     document, and once more if the document comes early enough in the seeded order (MD5 of seed and doc_id, then
     doc_id and size); the one document in which the remainder ends gives only the words still missing.  So each
     source meets its target to a word, no document gives more than ``epochs`` times its size, and reruns agree.
@@ -71,7 +79,7 @@ def mix(rows: DataFrame, weights: list[int] | DataFrame, epochs: int = 3, seed:
     base = base.withColumns({"size": F.coalesce(F.col("size"), F.lit(0)).cast("long"), "__order": spread})
     base = materialise(base.withColumn("__bucket", F.conv(F.substring("__order", 1, BUCKET_DIGITS), 16, 10).cast("int")), "mix")
     sources = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    weighted = rank_weights(sources, weights) if isinstance(weights, list) else sources.join(weights, sources["source"].eqNullSafe(weights["source"])).select(sources["*"], weights["weight"])
+    weighted = rank_weights(sources, weights) if isinstance(weights, list) else _weighted(sources, weights)
     quota = F.floor("target").cast("long")
     safe = F.greatest("source_size", F.lit(1))
     plan = water_fill(weighted, epochs).withColumn("__whole", F.floor(quota / safe).cast("long"))

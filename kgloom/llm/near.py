@@ -7,10 +7,12 @@ registers find candidates.  The joint likelihood of two sketches then estimates
 pairs that it doesn't rule out are verified on the whole sets.  Linked sets form components.
 
 Equal sets are one node from the start.  Within a bucket no list of all pairs is made: every member's sketch is first
-compared with that of one centre of the bucket, and members that this leaves apart with all members, in blocks; what
-leaves a block are the edges of a forest over the plausible pairs.  Its trees are clusters, in which every plausible
-pair lies.  A cluster's whole sets are compared in blocks too, each node only with those that no link joins to it yet,
-and again only a forest of links leaves a block.
+compared with that of one centre of the bucket.  Members outside of the largest component that this leaves are then
+sent to all blocks of the bucket; what leaves a block are the edges of a forest over the plausible pairs.  Its trees are
+clusters, in which every plausible pair lies.  A cluster's whole sets are compared in blocks too, each node only with
+those that no link joins to it yet, and again only a forest of links leaves a block.  Where more than FEW members are
+outside of the largest component, they aren't sent to all blocks: the group is dealt again by a further band, as often
+as that takes, since a pair that is worth looking at shares many bands.  So rows grow with the members of a group.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import column, fresh, materialise, row_key, tasks_for
+from .common import column, fresh, materialise, one_of_each, row_key, tasks_for
 from .words import KEY, batches_of, mix, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -41,6 +43,8 @@ ESTIMATE = 0.60
 #: Members of a block of a bucket or of a cluster, elements of a block of a cluster (a block holds one set at least),
 #: and members that are compared with all others at once.
 BLOCK, ELEMENTS, SLICE = 1024, 2_000_000, 32
+#: Members outside of a group's largest component that are sent to all of its blocks.
+FEW = 4 * BLOCK
 #: Rows for a task that compares sketches or sets: their cost grows with comparisons, not with bytes.
 TASK_ROWS = 4_000
 #: Bytes of text that a worker hashes at once, and pairs that it estimates at once.
@@ -169,7 +173,7 @@ def _elements(secret: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, sets in _sets_of(whole, secret):
-                yield pa.record_batch([batch["node"], batch["cluster"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "cluster", "elements"])
+                yield pa.record_batch([batch["node"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
     return run
 
@@ -205,25 +209,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", order: str = "doc_id",
     members = materialise(bands.join(materialise(shared, "buckets"), "bucket"), "members")
 
     # Plausible pairs: members with their bucket's centre, then members of buckets that these leave apart.
-    plausible = materialise(_likely(_stars(members), own), "stars")
-    clusters = _components(plausible, members.select("node").distinct())
-    placed = members.join(clusters, "node").select("bucket", "node", "component")
-    plausible = materialise(plausible.union(_across(materialise(placed, "placed"), own).distinct()), "plausible")
+    plausible = _across(members, materialise(_likely(_stars(members), own), "stars"), own)
 
     # Links: in each block of a cluster, and then between the blocks of clusters that are still in parts.
     clusters = _components(plausible).withColumnRenamed("component", "cluster")
     wanted = own.join(clusters, "node").select("node", "cluster", "row")
-    found = rows.join(wanted, "row").select("node", "cluster", "text").mapInArrow(_elements(secret), "node long, cluster long, elements binary")
-    # Repeated rows find their node's set once each.
-    sets = materialise(found.dropDuplicates(["node"]), "sets")
-    mass = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("elements") / 8) / ELEMENTS)
-    blocks = sets.groupBy("cluster").agg(F.ceil(mass).cast("int").alias("parts"))
-    dealt = materialise(sets.select("cluster", "node").join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "parts")
-    links = materialise(_settled(dealt.select("node", "part", F.lit(0).alias("turn"), F.lit(True).alias("asks"), F.col("node").alias("component")), sets), "links")
-    large = dealt.where("parts > 1")
-    if not large.isEmpty():
-        links = materialise(links.union(_settled(_rest(large, links), sets)), "all-links")
-    labels = _components(links)
+    found = one_of_each(rows.select("row", "text"), wanted.select("node", "row"), base.select("row")).select("node", "text").mapInArrow(_elements(secret), "node long, elements binary")
+    sets = materialise(found, "sets")
+    labels = _components(_links(wanted.select(F.col("cluster").alias("group"), "node", F.array().cast("array<bigint>").alias("path")), sets, members))
 
     joined = nodes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "id")
     joined = materialise(joined, "labels")
@@ -260,25 +253,65 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
-def _rest(large: DataFrame, links: DataFrame) -> DataFrame:
-    """How clusters of several blocks are dealt again: those outside of a cluster's largest component ask, in turns,
-    all members of all parts."""
-    now = materialise(large.join(_components(links), "node", "left").select("cluster", "node", "parts", "part", F.coalesce("component", "node").alias("component")), "rest")
-    sizes = now.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-    most = materialise(most.select("cluster", F.col("most.component").alias("main"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("turns")), "turns")
-    told = now.join(most, "cluster").withColumn("own", F.pmod(F.xxhash64("node", F.lit("turn")), F.col("turns")).cast("int"))
-    answers = told.select("node", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "component")
-    asking = told.where("component <> main").select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("own").alias("turn"), F.lit(True).alias("asks"), "component")
+def _open(placed: DataFrame) -> DataFrame:
+    """Of the groups of ``placed`` (group, node, component) that are in several components: (group, main, size, few),
+    the largest component, all members, and those outside of it."""
+    parts = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
+    return materialise(tops.select("group", F.col("top.component").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("few")).where("few > 0"), "open")
+
+
+def _finer(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """``groups`` (group, node, path) dealt again: a group for each further bucket of a member, which joins the path."""
+    further = groups.join(members, "node").where(~F.array_contains("path", F.col("bucket")))
+    dealt = further.select(F.when(F.size("path") > 0, F.lit(None).cast("long")).otherwise(F.col("group")).alias("root"), "node", F.array_sort(F.concat("path", F.array("bucket"))).alias("path")).distinct()
+    return materialise(dealt.select(F.xxhash64("root", "path").alias("group"), "node", "path"), "finer")
+
+
+def _links(groups: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """A forest (src, dst) of the links between members of the same ``groups`` (group, node, path)."""
+    links = None
+    while True:
+        rows = materialise(groups, "groups")
+        mass = F.greatest(F.count("*") / BLOCK, F.sum("mass") / ELEMENTS)
+        weighed = rows.join(sets.select("node", (F.octet_length("elements") / 8).alias("mass")), "node")
+        blocks = weighed.groupBy("group").agg(F.ceil(mass).cast("int").alias("parts"))
+        dealt = rows.join(blocks, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        known = F.col("node") if links is None else F.coalesce("component", "node")
+        dealt = (dealt if links is None else dealt.join(_components(links), "node", "left")).withColumn("component", known)
+        dealt = materialise(dealt.select("group", "node", "path", "parts", "part", "component"), "parts")
+        found = materialise(_settled(dealt.select("group", "node", "part", F.lit(0).alias("turn"), F.lit(True).alias("asks"), "component"), sets), "links")
+        links = found if links is None else materialise(links.union(found), "all-links")
+        large = dealt.where("parts > 1").drop("component")
+        if large.isEmpty():
+            return links
+        now = materialise(large.join(_components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
+        open_ = _open(now.select("group", "node", "component"))
+        few = open_.where(F.col("few") <= FEW)
+        if not few.isEmpty():
+            links = materialise(links.union(_settled(_rest(now.join(few, "group")), sets)), "all-links")
+        many = open_.where(F.col("few") > FEW).select("group")
+        if many.isEmpty():
+            return links
+        groups = _finer(now.join(many, "group", "left_semi").select("group", "node", "path"), members)
+
+
+def _rest(told: DataFrame) -> DataFrame:
+    """How groups of several blocks are dealt again: those outside of a group's largest component ask, in turns, all
+    members of all parts."""
+    turns = F.ceil(F.col("few") / BLOCK).cast("int")
+    told = told.withColumn("turns", turns).withColumn("own", F.pmod(F.xxhash64("node", F.lit("turn")), F.col("turns")).cast("int"))
+    answers = told.select("group", "node", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "component")
+    asking = told.where("component <> main").select("group", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("own").alias("turn"), F.lit(True).alias("asks"), "component")
     return answers.union(asking)
 
 
 def _settled(dealt: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (src, dst) between the rows of each (cluster, part, turn) that ``dealt`` (node, part, turn, asks,
+    """Links (src, dst) between the rows of each (group, part, turn) that ``dealt`` (group, node, part, turn, asks,
     component) makes."""
-    rows = dealt.join(sets, "node").select("cluster", "part", "turn", "asks", "node", "component", "elements")
+    rows = dealt.join(sets, "node").select("group", "part", "turn", "asks", "node", "component", "elements")
     tasks = tasks_for(dealt.sparkSession, sets.count(), TASK_ROWS)
-    return rows.repartition(tasks, "cluster", "part", "turn").sortWithinPartitions("cluster", "part", "turn").mapInArrow(_link, "src long, dst long")
+    return rows.repartition(tasks, "group", "part", "turn").sortWithinPartitions("group", "part", "turn").mapInArrow(_link, "src long, dst long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
@@ -323,7 +356,7 @@ class _Forest:
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest of links of each group: rows that ask are compared, by their whole sets, with all rows that aren't
     joined to them yet."""
-    for rows in _runs(batches, "cluster", "part", "turn"):
+    for rows in _runs(batches, "group", "part", "turn"):
         nodes = rows["node"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in rows["elements"].to_pylist()]
         sizes = np.array([len(x) for x in sets])
@@ -345,39 +378,51 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield forest.result(nodes, ["src", "dst"])
 
 
-def _across(placed: DataFrame, own: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) of members of a bucket that are in different components, each in its first bucket."""
-    sizes = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    open_ = materialise(sizes.select("bucket", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "open")
-    parts = placed.join(open_.select("bucket", "parts"), "bucket")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
-    dealt = parts.select("bucket", "node", "component", mine.alias("part"), F.explode(blocks).alias("k")).select("bucket", "k.i", "k.j", "part", "node", "component")
-    rows = dealt.join(own.select("node", "n", "sketch"), "node")
-    tasks = tasks_for(placed.sparkSession, open_.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] or 0, TASK_ROWS)
-    groups = rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return groups.select("bucket", "i", "j", "part", "node", "component", "n", "sketch").mapInArrow(_compare, "a long, b long")
+def _across(members: DataFrame, plausible: DataFrame, own: DataFrame) -> DataFrame:
+    """``plausible`` pairs (a, b), and those of members of a bucket that these leave in different components."""
+    groups = members.select(F.col("bucket").alias("group"), "node", F.array("bucket").alias("path"))
+    nodes = materialise(members.select("node").distinct(), "member-nodes")
+    while True:
+        placed = materialise(groups.join(_components(plausible, nodes), "node").select("group", "node", "path", "component"), "placed")
+        open_ = _open(placed)
+        plausible = materialise(plausible.union(_compared(placed, open_.where(F.col("few") <= FEW), own).distinct()), "plausible")
+        many = open_.where(F.col("few") > FEW).select("group")
+        if many.isEmpty():
+            return plausible
+        groups = _finer(placed.join(many, "group", "left_semi").select("group", "node", "path"), members)
+        plausible = materialise(plausible.union(_likely(_stars(groups.select(F.col("group").alias("bucket"), "node")), own)).distinct(), "plausible")
+
+
+def _compared(placed: DataFrame, open_: DataFrame, own: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of members of a group, one of them outside of the largest component: that one goes to
+    every block of the group."""
+    rows = placed.join(open_.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "group")
+    mine, asks = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("component") != F.col("main")
+    parts = F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
+    dealt = rows.select("group", "node", "component", asks.alias("asks"), mine.alias("own"), F.explode(parts).alias("part"))
+    dealt = dealt.select("group", "part", "node", "component", "asks", (F.col("own") == F.col("part")).alias("answers"))
+    n = open_.agg(F.sum(F.col("size") + F.col("few") * F.col("size") / BLOCK)).first()[0] or 0
+    groups = dealt.join(own.select("node", "n", "sketch"), "node").repartition(tasks_for(placed.sparkSession, int(n), TASK_ROWS), "group", "part").sortWithinPartitions("group", "part")
+    return groups.select("group", "part", "node", "component", "asks", "answers", "n", "sketch").mapInArrow(_compare, "a long, b long")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the plausible pairs of each (bucket, i, j): of a member of the one part with one of the other, or,
-    where i and j are the same, of any two."""
-    for rows in _runs(batches, "bucket", "i", "j"):
-        node, component, part, n = (rows[c].to_numpy() for c in ("node", "component", "part", "n"))
+    """A forest of the plausible pairs of each (group, part): of a member that asks with one that answers."""
+    for rows in _runs(batches, "group", "part"):
+        node, component, n = (rows[c].to_numpy() for c in ("node", "component", "n"))
+        asks, answers = (rows[c].to_numpy(zero_copy_only=False) for c in ("asks", "answers"))
         forest = _Forest(component)
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-        names, counts = np.unique(component, return_counts=True)
-        few = np.flatnonzero(component != names[np.argmax(counts)])
-        across = rows["i"][0].as_py() != rows["j"][0].as_py()
+        few, all_ = np.flatnonzero(asks), np.flatnonzero(answers)
         for start in range(0, len(few), SLICE):
             some = few[start : start + SLICE]
-            fits = forest.root[some][:, None] != forest.root
-            fits &= 100 * np.minimum(n[some][:, None], n) >= LINK * np.maximum(n[some][:, None], n)
-            if across:
-                fits &= part[some][:, None] != part
+            fits = forest.root[some][:, None] != forest.root[all_]
+            # Two that ask are compared where the larger one answers.
+            fits &= ~asks[all_] | (node[some][:, None] < node[all_])
+            fits &= 100 * np.minimum(n[some][:, None], n[all_]) >= LINK * np.maximum(n[some][:, None], n[all_])
             x, y = np.nonzero(fits)
             for at in range(0, len(x), BATCH_PAIRS):
-                p, q = some[x[at : at + BATCH_PAIRS]], y[at : at + BATCH_PAIRS]
+                p, q = some[x[at : at + BATCH_PAIRS]], all_[y[at : at + BATCH_PAIRS]]
                 keep = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_EQUAL
                 p, q = p[keep], q[keep]
                 keep = estimate(sketch[p], sketch[q], n[p], n[q]) >= ESTIMATE

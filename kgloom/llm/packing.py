@@ -80,13 +80,15 @@ class ChunkTokenizer(dict):
             self.clear()
         tail = chunk[-1] if chunk[-1] in ".," else ""
         core = chunk[: len(chunk) - len(tail)]
-        low = core.lower()
+        # As the normaliser does, so letters that it takes apart aren't letters alone any more.
+        low = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
         # A final sigma depends on what stands around it; other letters fall to lower case one by one.
-        if self.short and core.isalpha() and low.isalpha() and (core.isascii() or "\u03c2" not in low and "\u03c3" not in low):
+        plain = low.isascii() or "\u03c2" not in low and "\u03c3" not in low and unicodedata.is_normalized("NFC", low)
+        if self.short and low.isalpha() and plain:
             if low != chunk:
                 out = self[low] + self[tail] if tail else self[low]
             else:
-                out = self._ids(self.merge("".join([self.letters[b] for b in unicodedata.normalize("NFC", low).lower().encode()])))
+                out = self._ids(self.merge("".join([self.letters[b] for b in low.encode()])))
         elif self.short and chunk.isascii() and chunk.isprintable() and not any(m in chunk for m in self.marks):
             out = b"".join([self._ids(self.merge(part)) for part in _ASCII_SPLIT.findall(chunk.lower())])
         else:
@@ -136,6 +138,8 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 def tokenise(docs: DataFrame, tokenizer_path: str, end: int) -> tuple[DataFrame, str]:
     """(rid, doc_id, n, ids) of ``docs`` (doc_id, text), stored, and the number type of ``ids``.
 
+    Every row has a number ``rid`` of its own, repeated ones too; a text of any length is one row, held by one task.
+
     The tokenizer's file is read by the driver and broadcast (a few MB that don't depend on the data).
     """
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -274,6 +278,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end: int = 2,
     before = F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     combined = placed.where("sequence_id is not null").withColumn("offset", before.cast("long"))
     gaps = placed.where("sequence_id is not null").groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("gap", window - F.col("used")).where("gap > 0")
+    gaps = materialise(gaps, "open-gaps")
     gaps = materialise(running_total(gaps, "gap", "sequence_id", "at"), "gaps")
     stream = materialise(running_total(placed.where("sequence_id is null").drop("sequence_id"), "length", "rid", "at"), "stream")
     room = gaps.agg(F.sum("gap")).first()[0] or 0

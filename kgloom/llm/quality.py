@@ -156,7 +156,8 @@ def learn(metrics: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_i
 
     A document with several labels is good only if all of them say 1; null labels say nothing.  With ``text_key``, a
     column that equal texts share, each labelled text counts once, as the bound takes labelled documents as
-    independent; a text is good only if all its labels say so.  No labels give no cutoffs.
+    independent; a text is good only if all its labels say so.  No labels give no cutoffs.  Repeated rows of ``metrics``
+    count each without ``text_key``, as one with it; texts aren't read here, so their length doesn't matter.
     """
     good = labels.where("quality is not null").groupBy(column(key).alias("key")).agg(F.min("quality").alias("quality"))
     shares = soft_shares()

@@ -138,7 +138,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("group")
     )
     placed = sharding.assign_shards(common.materialise(rows, "sizes"), SHARDS, "group", "size")
-    slots = common.number_within(placed, "shard", ["doc_id", "group", "size"], "slot")
+    slots = common.number_within(common.materialise(placed, "placed"), "shard", ["doc_id", "group", "size"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -43,17 +43,18 @@ def assign_shards(rows: DataFrame, shards: int, group: str, size: str) -> DataFr
     """
     kept = rows.drop("shard") if "shard" in rows.columns else rows
     keys, names, own, shared = (fresh(kept.columns, x) for x in ("__key", "__name", "__own", "__shared"))
-    key = F.coalesce(column(group), F.lit(-1).cast("long"))
+    # As text, so that the null group has a name that no number has.
+    key = F.coalesce(column(group).cast("string"), F.lit("null"))
     groups = materialise(kept.groupBy(key.alias("g")).agg(F.sum(F.coalesce(column(size), F.lit(0))).cast("long").alias("bytes")), "groups").withColumn("bundle", _bundle(F.col("g"), shards))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     heavy = F.col("bytes") > F.lit(total / (shards * HEAVY))
-    large = [(int(r.g), int(r.bytes)) for r in groups.where(heavy).select("g", "bytes").collect()]
+    large = [(r.g, int(r.bytes)) for r in groups.where(heavy).select("g", "bytes").collect()]
     bundles = [(r.bundle, int(r.bytes)) for r in groups.where(~heavy).groupBy("bundle").agg(F.sum("bytes").alias("bytes")).collect()]
     assert len(large) <= shards * HEAVY and len(bundles) <= shards * BUNDLES * LEVELS
     plan = least_loaded(large + bundles, shards)
 
     spark = rows.sparkSession
-    by_group = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in large], f"`{keys}` long, `{own}` int"))
+    by_group = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in large], f"`{keys}` string, `{own}` int"))
     by_bundle = F.broadcast(spark.createDataFrame([(k, plan[k]) for k, _ in bundles], f"`{names}` string, `{shared}` int"))
     out = kept.withColumn(keys, key).withColumn(names, _bundle(F.col(keys), shards))
     out = out.join(by_group, keys, "left").join(by_bundle, names, "left")

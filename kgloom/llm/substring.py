@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, row_key, tasks_for
+from .common import column, materialise, one_of_each, row_key, tasks_for
 from .words import batches_of, window_hashes, word_hashes
 
 #: Words of a gram; the minimizer of a window is the least hash of its grams.
@@ -409,7 +409,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, text: str = "text", order: s
     shared = runs.groupBy("m").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x <> y").select("m")
     near = runs.join(materialise(shared, "minimizers"), "m").groupBy("rid").agg(F.collect_set(F.struct("m", "start", "count")).alias("runs"))
     named = near.join(tops.select("rid", "id", "digest"), "rid").join(base.select("rid", "row"), "rid")
-    candidates = materialise(rows.select("row", "text").join(named, "row"), "candidates")
+    candidates = materialise(one_of_each(rows.select("row", "text"), named, base.select("row")), "candidates")
 
     windows = candidates.mapInArrow(_window_hashes(size), "rid long, m long, start int, hashes array<long>")
     windows = materialise(windows.select("rid", "m", "start", F.posexplode("hashes").alias("i", "hash")).select("rid", "m", (F.col("start") + F.col("i")).alias("start"), "hash"), "windows")

@@ -140,6 +140,31 @@ def test_near_in_many_blocks(spark, rows, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(_near(rows))
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_near_in_groups_that_are_dealt_again(spark, rows, monkeypatch, few):
+    """Where many members are outside of the largest component, groups are dealt by further bands, and nothing is lost."""
+    monkeypatch.setattr(near, "BLOCK", 2)
+    monkeypatch.setattr(near, "FEW", few)
+    dealt, finer = [], near._finer
+    monkeypatch.setattr(near, "_finer", lambda *a: dealt.append(1) or finer(*a))
+    some = rows[:45]
+    got = near.near_duplicates(spark.createDataFrame(some, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(_near(some))
+    assert dealt
+
+
+def test_a_row_that_repeats_often(spark, monkeypatch):
+    """Its text is looked at once: by sketches and shingles, and by windows."""
+    rng = random.Random(8)
+    text, other = _prose(rng, 80), _prose(rng, 70)
+    rows = [(1, " ".join(text))] * 500 + [(2, " ".join(text[:79] + ["x"])), (3, " ".join(other)), (4, " ".join(other + ["y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_duplicates(df)
+    assert sorted((r.doc_id, r.component_id, r["count"]) for r in got.groupBy("doc_id", "component_id").count().collect()) == [(1, 1, 500), (2, 1, 1), (3, 3, 1), (4, 3, 1)]
+    removed = substring.remove_repeats(df, 50).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in removed) == [(1, 0, 500), (2, 79, 1), (3, 0, 1), (4, 70, 1)]
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.75, 0.9):

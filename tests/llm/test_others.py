@@ -58,6 +58,58 @@ def test_chunks_have_the_tokens_of_whole_texts():
         assert np.frombuffer(got, short.width).tolist() == short.inner.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunks_of_every_code_point():
+    """Each code point by itself, between two letters and before a combining mark."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    short, whole = packing.ChunkTokenizer(open(path, encoding="utf-8").read(), limit=10**7), Tokenizer.from_file(path)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for form in ("{}", "a{}b", "{}\u0301"):
+        texts = [form.format(c) for c in points]
+        for at in range(0, len(texts), 100_000):
+            some = texts[at : at + 100_000]
+            want = [np.array(e.ids, short.width).tobytes() for e in whole.encode_batch_fast(some, add_special_tokens=False)]
+            wrong = [t for t, got, ids in zip(some, short.texts(some), want, strict=True) if got != ids]
+            assert not wrong, [hex(ord(t[form.index("{")])) for t in wrong[:20]]
+
+
+def test_mixing_with_a_table_of_weights(spark):
+    """Sources that the table lacks, or names with no or a negative weight, keep their rows and give nothing; doubled weights count once."""
+    docs = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (3, None, 10), (4, "c", 10), (5, "d", 10)], "doc_id long, source string, size long")
+    weights = spark.createDataFrame([("a", 1), ("a", 1), (None, 4), ("c", None), ("d", -1), ("x", 9)], "source string, weight int")
+    got = {r.doc_id: (r.source_size, r.target, r.taken) for r in mixing.mix(docs, weights, 3).collect()}
+    assert got == {1: (10, 20.0, 20), 2: (10, 0.0, 0), 3: (10, 30.0, 30), 4: (10, 0.0, 0), 5: (10, 0.0, 0)}
+    alone = {r.doc_id: r.target for r in mixing.mix(docs, weights.where("false"), 3).collect()}
+    assert alone == dict.fromkeys(range(1, 6), 0.0)
+
+
+def test_null_group_is_a_group_of_its_own(spark):
+    rows = spark.createDataFrame([(None, 100), (-1, 100), (None, 1), (-1, 1)], "g long, size long")
+    got = sharding.assign_shards(rows, 2, "g", "size").collect()
+    homes = {g: {r.shard for r in got if r.g == g} for g in (None, -1)}
+    assert len(homes[None]) == len(homes[-1]) == 1 and homes[None] != homes[-1]
+
+
+def test_sharding_of_small_groups_is_even(spark):
+    """The path that large corpora take, groups in bundles: no shard far above the mean."""
+    sizes = defaultdict(int)
+    for r in queries.op5_sharding(spark, "/root/testdata/sf0.01").select("shard", "size").collect():
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == queries.SHARDS and max(sizes.values()) <= 1.01 * sum(sizes.values()) / queries.SHARDS
+
+
+def test_settings_of_writers_beside_each_other(spark):
+    """Two threads that write at once leave the session as it was."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    name = common._SmallBatches.name
+    before = spark.conf.get(name)
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(lambda i: common.materialise(spark.range(i), "x").count(), range(12))) == 66
+    assert spark.conf.get(name) == before and not common._SmallBatches.users
+
+
 def test_nnls_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(20):
