@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,19 +72,28 @@ def exists(left: DataFrame, right: DataFrame, negated: bool = False) -> DataFram
     return left.join(right.select(*shared).distinct(), shared, "left_anti" if negated else "left_semi")
 
 
-#: Inline data is written in the query: a list of this many rows is far beyond what a query text holds.
+#: Inline data of up to this many rows is broadcast.
 INLINE_ROWS = 10_000
 
 
 def values(left: DataFrame, names: Sequence[str], rows: Sequence[Sequence[str]]) -> DataFrame:
-    """Join with inline data; None is unbound and matches anything (such rows are joined one by one)."""
-    if len(rows) > INLINE_ROWS:
-        raise ValueError("inline data is limited; give a table")
-    if any(x is None for r in rows for x in r):
-        conditions = [reduce(lambda a, b: a & b, [F.col(n) == x for n, x in zip(names, r, strict=True) if x is not None], F.lit(True)) for r in rows]
-        return union(*[left.where(c) for c in conditions])
-    data = left.sparkSession.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{n}` string" for n in names))
-    return natural_join(left, F.broadcast(data))
+    """Join with inline data; None is unbound and matches anything.
+
+    Rows that leave the same variables unbound are joined together, on the others.  Beyond ``INLINE_ROWS`` the data
+    isn't broadcast but joined like any table.
+    """
+    by: dict[tuple[str, ...], list[tuple]] = {}
+    for row in rows:
+        bound = tuple(n for n, x in zip(names, row, strict=True) if x is not None)
+        by.setdefault(bound, []).append(tuple(x for x in row if x is not None))
+    parts = []
+    for bound, data in by.items():
+        if not bound:
+            parts += [left] * len(data)
+            continue
+        table = left.sparkSession.createDataFrame(data, ", ".join(f"`{n}` string" for n in bound))
+        parts.append(natural_join(left, F.broadcast(table) if len(data) <= INLINE_ROWS else table))
+    return union(*parts) if parts else left.where("false")
 
 
 def term_order(name: str, kind: str | None = None) -> list[Column]:
@@ -141,26 +151,46 @@ def modify(graph: DataFrame, solutions: DataFrame, delete: list[Sequence[str]],
 # ---- paths ----------------------------------------------------------------------------------------------------
 
 
+#: Rounds that follow edges one by one before a chain is jumped along, and parts of a result that are read together.
+FRONTIER_ROUNDS, PARTS = 8, 16
+
+
 def path_plus(edges: DataFrame, seeds: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node): nodes that one or more ``edges`` lead to from the ``seeds`` (start), as a set.
 
-    Each round doubles the length of the ways that are known, so chains of any length take a logarithmic number of
-    rounds: what is reached so far is extended by ways of up to 2^k edges, and then those ways by themselves.  Cycles
-    end as sets stop growing.  ``store`` cuts the lineage after each round.
+    Each round follows the edges of what the last one has added, and only that is stored, so the work is bound by what
+    the seeds reach.  Where that takes more than a few rounds and no node has several edges (versions derived from
+    versions), pointers that double their length go on: a logarithmic number of rounds for chains of any length, each
+    with a row for a node at most.  Other graphs take as many rounds as the longest of the shortest ways.  Cycles end, as
+    nothing is added twice.  ``store`` cuts the lineage after each round; ``edges`` are read in each, so what is costly
+    to make should be stored before.
     """
-    ways = store(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct())
-    found = store(seeds.select("start").distinct().join(ways, F.col("start") == F.col("node")).select("start", F.col("to").alias("node")).distinct())
-    size = found.count()
-    while size:
-        # Only ways from nodes that are reached are made longer.
-        live = ways.join(found.select("node").distinct(), "node", "left_semi")
-        found = store(found.union(found.join(live, "node").select("start", F.col("to").alias("node"))).distinct())
-        grown = found.count()
-        if grown == size:
+    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node is not null and to is not null").distinct()
+    added = store(seeds.select(F.col("start"), F.col("start").alias("node")).distinct().join(steps, "node").select("start", F.col("to").alias("node")).distinct())
+    parts = [added]
+    for turn in count(1):
+        if added.isEmpty():
+            break
+        if turn == FRONTIER_ROUNDS and steps.groupBy("node").count().where("count > 1").isEmpty():
+            parts.append(_jump(added, steps, store))
             break
-        size = grown
-        ways = store(ways.union(ways.join(ways.toDF("to", "next"), "to").select("node", F.col("next").alias("to"))).distinct())
-    return found
+        if len(parts) > PARTS:
+            parts = [store(reduce(DataFrame.union, parts))]
+        known = reduce(DataFrame.union, parts)
+        added = store(added.join(steps, "node").select("start", F.col("to").alias("node")).distinct().join(known, ["start", "node"], "left_anti"))
+        parts.append(added)
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def _jump(reached: DataFrame, steps: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``reached`` (start, node) leads to where every node has one step (node, to) at most, itself included."""
+    while True:
+        further = reached.join(steps, "node").select("start", F.col("to").alias("node")).distinct().join(reached, ["start", "node"], "left_anti")
+        further = store(further)
+        if further.isEmpty():
+            return reached
+        reached = store(reached.union(further))
+        steps = store(steps.join(steps.toDF("to", "next"), "to").select("node", F.col("next").alias("to")))
 
 
 def path_star(edges: DataFrame, seeds: DataFrame, store: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:

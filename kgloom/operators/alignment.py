@@ -57,6 +57,20 @@ def type_config(config: dict, kind: str) -> TypeConfig:
     return TypeConfig(found["threshold"], **weights, initials=found["expand_initials"], sparsity=found["sparsity_penalty"], sparsity_fields=found["sparsity_max_fields"], hard_match=tuple(sorted(hard.items())))
 
 
+def settings_columns(config: dict, kind: Column) -> dict[str, Column]:
+    """Columns of the settings of the type in ``kind``: those of the types that a configuration names, a branch each,
+    and those of all types for any other."""
+    named = {k: type_config(config, k) for k in config.get("entity_types", {})}
+    rest = type_config({**config, "entity_types": {}}, "")
+    out = {}
+    for name in ("threshold", "syntactic", "semantic", "structural", "sparsity", "sparsity_fields", "initials"):
+        column = F.lit(getattr(rest, name))
+        for k, found in named.items():
+            column = F.when(kind == k, F.lit(getattr(found, name))).otherwise(column)
+        out[name] = column
+    return out
+
+
 def conflict(keys: list[str], a: str, b: str) -> Column:
     """No identifier is shared, and one that both sides have differs (array columns ``<side>_<key>``)."""
     both = [F.arrays_overlap(f"{a}_{k}", f"{b}_{k}") for k in keys]

@@ -43,7 +43,8 @@ class TypeRules:
 @dataclass(frozen=True)
 class Source:
     """An external source: ``search`` maps (query) to hits (query, rank, candidate), ``records`` has the candidates
-    that are known to exist.  ``identifier`` names the literal that may already hold a candidate."""
+    that are known to exist.  ``identifier`` names the literal that may already hold a candidate.  ``others`` are the
+    rules of all types that ``types`` doesn't name; without them such entities aren't looked up."""
 
     name: str
     types: Mapping[str, TypeRules]
@@ -53,6 +54,7 @@ class Source:
     field_names: Mapping[str, str] = field(default_factory=dict)
     join_with: str | None = None
     limit: int = 5
+    others: TypeRules | None = None
 
 
 # ---- queries --------------------------------------------------------------------------------------------------
@@ -98,11 +100,16 @@ def sufficient(literals: Column, require_any_of: tuple[str, ...], identifier: st
 
 def queries(entities: DataFrame, source: Source) -> DataFrame:
     """(uri, at, query) of all entities with enough data, in the order of the rules; equal ones of an entity once."""
-    texts = F.array().cast("array<string>")
-    for kind, rules in source.types.items():
+    none = F.array().cast("array<string>")
+
+    def asked(rules: TypeRules) -> Column:
         sets = F.concat(*[value_sets(F.col("literals"), r) for r in rules.rules])
-        asked = F.transform(sets, lambda terms: render(terms, source.field_names, source.join_with))
-        texts = F.when((F.col("type") == kind) & sufficient(F.col("literals"), rules.require_any_of, source.identifier), asked).otherwise(texts)
+        texts = F.transform(sets, lambda terms: render(terms, source.field_names, source.join_with))
+        return F.when(sufficient(F.col("literals"), rules.require_any_of, source.identifier), texts).otherwise(none)
+
+    texts = asked(source.others) if source.others else none
+    for kind, rules in source.types.items():
+        texts = F.when(F.col("type") == kind, asked(rules)).otherwise(texts)
     rows = entities.select("uri", F.posexplode(texts).alias("at", "query")).where("query <> ''")
     return rows.groupBy("uri", "query").agg(F.min("at").alias("at")).select("uri", "at", "query")
 
@@ -176,9 +183,9 @@ def judged(scored: DataFrame, threshold: Column, unresolved_penalty: Column, fuz
     return scored.withColumn("score", before).where(F.col("score") >= threshold).withColumn("score", F.col("score") * after)
 
 
-def by_type(types: Mapping[str, TypeRules], attribute: str) -> Column:
-    out = F.lit(None).cast("double")
-    for kind, rules in types.items():
+def by_type(source: Source, attribute: str) -> Column:
+    out = F.lit(float(getattr(source.others, attribute)) if source.others else None).cast("double")
+    for kind, rules in source.types.items():
         out = F.when(F.col("type") == kind, F.lit(float(getattr(rules, attribute)))).otherwise(out)
     return out
 
@@ -200,9 +207,9 @@ def run(entities: DataFrame, sources: list[Source], score: Callable[[DataFrame],
     """
     out: DataFrame | None = None
     for source in sources:
-        wanted = entities.where(F.col("type").isin(list(source.types)))
+        wanted = entities if source.others else entities.where(F.col("type").isin(list(source.types)))
         pairs = candidates(wanted, source).join(wanted, "uri").join(source.records, "candidate")
-        kept = judged(score(pairs), by_type(source.types, "threshold"), by_type(source.types, "unresolved_penalty"), by_type(source.types, "fuzzy_penalty"))
+        kept = judged(score(pairs), *[by_type(source, a) for a in ("threshold", "unresolved_penalty", "fuzzy_penalty")])
         results = keep(kept.select(F.lit(source.name).alias("source"), "uri", "candidate", "score"))
         if source.identifier:
             entities = keep(feed_back(entities, results.select("uri", F.col("candidate").alias("value")), source.identifier))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import matching
 from ..functions.columns import cosine
@@ -70,9 +71,8 @@ def build_query(v: Views) -> DataFrame:
 @register(f"WITH {_E} SELECT uri, name || ' ' || brand AS query FROM e")
 def build_plain_query(v: Views) -> DataFrame:
     """The values of a rule put together, for sources without fields."""
-    kinds = [r.type for r in v.table("part").select(F.col("p_type").alias("type")).distinct().limit(100).collect()]
-    types = {k: L.TypeRules((L.Rule(("name", "brand")),)) for k in kinds}
-    return L.queries(_parts(v), L.Source("things", types, _nothing, v.table("part"), join_with=" ")).select("uri", "query")
+    source = L.Source("things", {}, _nothing, v.table("part"), join_with=" ", others=L.TypeRules((L.Rule(("name", "brand")),)))
+    return L.queries(_parts(v), source).select("uri", "query")
 
 
 # ---- candidates -----------------------------------------------------------------------------------------------
@@ -88,16 +88,18 @@ def _by_name(v: Views):
 
     def search(queries: DataFrame) -> DataFrame:
         # A source answers with its first hits; a dozen is more than anyone asks for.
-        hits = v.table("part").where("p_partkey % 8 <> 0").groupBy("p_name").agg(F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 12).alias("ks"))
+        place = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey")) - 1
+        hits = v.table("part").where("p_partkey % 8 <> 0").select("p_name", F.col("p_partkey").alias("k"), place.alias("rank")).where("rank < 12")
         found = queries.join(hits, F.col("query") == F.concat(F.lit('name:"'), "p_name", F.lit('"')))
-        return found.select("query", F.posexplode("ks").alias("rank", "k")).select("query", "rank", F.concat(F.lit("ext/"), "k").alias("candidate"))
+        return found.select("query", "rank", F.concat(F.lit("ext/"), "k").alias("candidate"))
 
     return search
 
 
-def _people(v: Views, types: tuple[str, ...]) -> L.Source:
-    rules = {t: L.TypeRules((L.Rule(("name",)),), unresolved_penalty=0.4, fuzzy_penalty=0.1) for t in types}
-    return L.Source("people", rules, _by_name(v), _records(v), identifier="known", limit=3)
+def _people(v: Views, *types: str) -> L.Source:
+    """People of some types, or of all."""
+    rules = L.TypeRules((L.Rule(("name",)),), unresolved_penalty=0.4, fuzzy_penalty=0.1)
+    return L.Source("people", dict.fromkeys(types, rules), _by_name(v), _records(v), identifier="known", limit=3, others=None if types else rules)
 
 
 _HITS = """ranked AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) AS n FROM e WHERE k % 8 <> 0),
@@ -105,11 +107,10 @@ found AS (SELECT uri, type, k, 'ext/' || k AS candidate, FALSE AS fuzzy_match, F
   UNION ALL SELECT e.uri, e.type, e.k, 'ext/' || r.k, TRUE, e.k % 4 < 2 FROM e JOIN ranked r ON e.name = r.name AND r.n <= 3 WHERE e.k % 8 <> 4)"""
 
 
-@register(f"WITH {_E}, {_HITS} SELECT uri, candidate, fuzzy_match, unresolved FROM found WHERE type IN ('PROMO', 'SMALL')")
+@register(f"WITH {_E}, {_HITS} SELECT uri, candidate, fuzzy_match, unresolved FROM found")
 def generate_candidates(v: Views) -> DataFrame:
     """Carried ids that exist; else the first three hits by name, unresolved where an id was carried."""
-    parts = _parts(v).where("type in ('PROMO', 'SMALL')")
-    return L.candidates(parts, _people(v, ("PROMO", "SMALL")))
+    return L.candidates(_parts(v), _people(v))
 
 
 def _details(v: Views) -> DataFrame:
@@ -139,10 +140,10 @@ def candidate_literals(v: Views) -> DataFrame:
 
 
 @register(f"""WITH {_E}, {_HITS} SELECT f.uri, f.candidate, round((CASE WHEN unresolved THEN 0.6 ELSE 1.0 END)::DOUBLE * (CASE WHEN fuzzy_match THEN 0.9 ELSE 1.0 END)::DOUBLE * least(1.0, 0.5 + k % 7 / 10), 9) AS score
-FROM found f WHERE (CASE WHEN unresolved THEN 0.6 ELSE 1.0 END)::DOUBLE * least(1.0, 0.5 + k % 7 / 10) >= 0.55 AND type IN ('PROMO', 'SMALL')""")
+FROM found f WHERE (CASE WHEN unresolved THEN 0.6 ELSE 1.0 END)::DOUBLE * least(1.0, 0.5 + k % 7 / 10) >= 0.55""")
 def score_lookup(v: Views) -> DataFrame:
     """The penalty for unresolved candidates counts before the threshold, the one for fuzzy ones after it."""
-    pairs = L.candidates(_parts(v).where("type in ('PROMO', 'SMALL')"), _people(v, ("PROMO", "SMALL"))).join(_parts(v).select("uri", "k"), "uri")
+    pairs = L.candidates(_parts(v), _people(v)).join(_parts(v).select("uri", "k"), "uri")
     scored = pairs.withColumn("score", F.least(F.lit(1.0), 0.5 + F.col("k") % 7 / 10))
     return L.judged(scored, F.lit(0.55), F.lit(0.4), F.lit(0.1)).select("uri", "candidate", F.round("score", 9).alias("score"))
 
@@ -171,7 +172,7 @@ def _run(v: Views) -> DataFrame:
 
     items = v.table("part").select(F.concat(F.lit("item/"), "p_partkey").alias("candidate"), F.col("p_name").alias("found_name"))
     rules = {t: L.TypeRules((L.Rule(("known",)),), fuzzy_penalty=0.2) for t in ("PROMO", "SMALL")}
-    sources = [_people(v, ("PROMO",)), L.Source("things", rules, things, items, limit=2)]
+    sources = [_people(v, "PROMO"), L.Source("things", rules, things, items, limit=2)]
     same = F.when(F.array_contains(L.values_of(F.col("literals"), "name"), F.col("found_name")), 1.0).otherwise(0.5)
     return L.run(_parts(v), sources, lambda pairs: pairs.withColumn("score", same), store)
 
@@ -273,9 +274,9 @@ _CONFIG = {"settings": {"default_threshold": 0.7, "default_sparsity_penalty": 0.
 CASE p_type WHEN 'PROMO' THEN 0.0 ELSE 0.35 END::DOUBLE AS semantic, 0.5::DOUBLE AS sparsity, p_type = 'SMALL' AS initials FROM part""")
 def type_settings(v: Views) -> DataFrame:
     """The settings of each type: its own, then those of all types, then the built-in ones."""
-    kinds = [r[0] for r in v.table("part").select("p_type").distinct().limit(100).collect()]
-    found = [(k, A.type_config(_CONFIG, k)) for k in kinds]
-    return v.spark.createDataFrame([(k, c.threshold, c.syntactic, c.semantic, c.sparsity, c.initials) for k, c in found], "type string, threshold double, syntactic double, semantic double, sparsity double, initials boolean")
+    found = A.settings_columns(_CONFIG, F.col("type"))
+    kinds = v.table("part").select(F.col("p_type").alias("type")).distinct()
+    return kinds.select("type", *[found[c].alias(c) for c in ("threshold", "syntactic", "semantic", "sparsity", "initials")])
 
 
 @register("SELECT n AS syntactic, n = 5 AS valid FROM (SELECT unnest(range(0, 11)) AS n)")

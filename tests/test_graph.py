@@ -61,6 +61,31 @@ def test_paths_against_search(spark):
     assert {tuple(r) for r in A.path_star(df, seeds, store).select("start", "node").collect()} == expected | {(str(i), str(i)) for i in range(13)}
 
 
+@pytest.mark.parametrize("seed, most", [(294, 12), (0, 3_500)])
+def test_what_a_path_stores_follows_what_its_seeds_reach(spark, seed, most):
+    """A chain of 300 edges: one seed near its end stores little, one at its start no square of it, in few rounds."""
+    stored = []
+
+    def keep(df):
+        out = store(df)
+        stored.append(out.count())
+        return out
+
+    edges = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = A.path_plus(edges, spark.createDataFrame([(seed,)], "start long"), keep)
+    assert {r.node for r in found.collect()} == set(range(seed + 1, 301))
+    assert sum(stored) <= most and len(stored) < 40
+
+
+def test_long_inline_data(spark, monkeypatch):
+    monkeypatch.setattr(A, "INLINE_ROWS", 2)
+    left = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "s string, p string")
+    rows = [("a", "x"), ("a", None), (None, "y"), ("b", "y"), (None, None), ("z", "z")]
+    want = sorted((s, str(p)) for s, p in [("a", "x"), ("a", "x"), ("b", "y"), ("b", "y"), ("a", "x"), ("b", "y"), ("c", None)])
+    assert sorted((r.s, str(r.p)) for r in A.values(left, ["s", "p"], rows).collect()) == want
+    assert A.values(left, ["s", "p"], []).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["random", "path", "empty"])
 def test_components_against_union_find(spark, kind):
     rng = random.Random(5)

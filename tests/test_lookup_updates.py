@@ -234,9 +234,16 @@ def test_values_in_parts(spark, monkeypatch):
     for most in (20_000_000, 60):
         monkeypatch.setattr(passages, "MOST_CHARS", most)
         assert sorted((r.id, r.k, r.start) for r in passages.find_values(df, asked, "id", "text", "k", "value").collect()) == want
-    monkeypatch.setattr(passages, "LONGEST", 3)
-    with pytest.raises(ValueError):
-        passages.find_values(df, asked, "id", "text", "k", "value")
+    monkeypatch.setattr(passages, "LONGEST", 2)
+    found = passages.find_values(df, asked, "id", "text", "k", "value").collect()
+    assert sorted((r.id, r.k, r.start) for r in found) == want and all(r.end - r.start == len(dict(values)[r.k]) for r in found)
+
+
+def test_rules_for_all_other_types(spark):
+    """Entities of any number of types are asked for, none is left out."""
+    entities = spark.createDataFrame([(f"u{i}", f"t{i}", {"name": [f"n{i}"]}) for i in range(250)], f"uri string, type string, literals {L.LITERALS}")
+    source = L.Source("s", {"t3": L.TypeRules((L.Rule(("none",)),))}, lambda q: q, entities, join_with=" ", others=L.TypeRules((L.Rule(("name",)),)))
+    assert {(r.uri, r.query) for r in L.queries(entities, source).collect()} == {(f"u{i}", f"n{i}") for i in range(250) if i != 3}
 
 
 def test_intermediate_tables_can_be_cleared(spark):
