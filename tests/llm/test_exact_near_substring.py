@@ -140,14 +140,13 @@ def test_near_in_many_blocks(spark, rows, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(_near(rows))
 
 
-@pytest.mark.parametrize("few", [0, 2])
-def test_near_in_groups_that_are_dealt_again(spark, rows, monkeypatch, few):
+def test_near_in_groups_that_are_dealt_again(spark, rows, monkeypatch):
     """Where many members are outside of the largest component, groups are dealt by further bands, and nothing is lost."""
     monkeypatch.setattr(near, "BLOCK", 2)
-    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "FEW", 2)
     dealt, finer = [], near._finer
     monkeypatch.setattr(near, "_finer", lambda *a: dealt.append(1) or finer(*a))
-    some = rows[:45]
+    some = rows[:40]
     got = near.near_duplicates(spark.createDataFrame(some, SCHEMA)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(_near(some))
     assert dealt
