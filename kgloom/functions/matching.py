@@ -149,5 +149,6 @@ def _each(kernel: Callable[[str], str], kind: str = "string") -> Callable:
 fuzz_score_udf = _pairwise(fuzz_score)
 initial_score_udf = _pairwise(initial_score)
 partial_ratio_udf = _pairwise(lambda a, b: partial_ratio(a.lower(), b.lower()))
+sorted_tokens_udf = _each(sorted_tokens)
 to_ascii_udf = _each(to_ascii)
 to_nfc_udf = _each(to_nfc)

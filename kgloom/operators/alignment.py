@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import matching
-from ..functions.columns import cosine, normalize_tokens, structural_similarity
+from ..functions.columns import cosine, structural_similarity
 
 
 @dataclass(frozen=True)
@@ -113,25 +115,71 @@ def score_strings(pairs: DataFrame, a: str, b: str, name: str, initials: bool =
     return pairs.withColumns(sides).join(scored, ["__x", "__y"], "left").drop("__x", "__y")
 
 
-def similar_pairs(entities: DataFrame, block: list[str], name: str, least: float, condition: Column | None = None, uri: str = "uri") -> DataFrame:
+#: Room for rounding where a score is compared with a bound.
+ROUNDING = 1e-9
+#: From this score on names are indexed by three letters, below by two.
+LONG_GRAMS = 0.85
+#: Further stretches under which names are indexed.
+FURTHER = 3
+
+
+def similar_names(names: DataFrame, block: list[str], name: str, least: float, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(block, __x, __y, fuzz) of the distinct ``names`` of a block that score ``least`` or more, __x <= __y.
+
+    Two strings with a common subsequence of L letters, and D letters that aren't in it, have at least
+    L - (q - 1) (1 + D) stretches of q letters in common, counted as often as both have them: each of the D letters breaks
+    q - 1 stretches of neighbours in the subsequence at most.  So with the bound on L that the score gives, two names
+    share one of their rarest stretches, if each is indexed under as many of these as the bound leaves open, and with
+    each further one that both are indexed under they share one more, as far as they have to share so many.  Only names
+    that meet under all of these are scored.  A name so short that the bound asks for nothing in common meets all of its
+    admissible lengths; for scores of 2/3 and less that would be every name, and all names of a block are paired.
+    """
+    rows = names.where(F.col(name).isNotNull()).select(*block, F.col(name).alias("__n")).distinct()
+    rows = rows.withColumn("__t", matching.sorted_tokens_udf("__n")).withColumn("__m", F.length("__t"))
+    rows = store(rows) if store else rows
+    score = least - ROUNDING
+    side = lambda df, n: df.select(*block, *[F.col(c).alias(c if c in block else f"{c}{n}") for c in df.columns if c not in block])
+    bound = (F.col("__n1") <= F.col("__n2")) & (2 * F.least("__m1", "__m2") >= F.lit(score) * (F.col("__m1") + F.col("__m2")))
+    if score <= 2 / 3:
+        met = side(rows, 1).join(side(rows, 2), block).where(bound)
+    else:
+        q = 3 if score >= LONG_GRAMS else 2
+        # The least number of common stretches over all lengths that the score admits beside this one.
+        common = F.ceil((score / 2 - (q - 1) * (1 - score)) * 2 * F.col("__m") / (2 - score) - (q - 1) - ROUNDING)
+        grams = F.when(F.col("__m") >= q, F.transform(F.sequence(F.lit(1), F.col("__m") - (q - 1)), lambda i: F.substr("__t", i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+        cells = rows.withColumn("__common", common).where("__common > 0").select(*block, "__n", "__m", "__common", F.explode(F.array_sort(grams)).alias("__g"))
+        # Equal stretches of a name are told apart by their number.
+        counted = cells.groupBy(*block, "__n", "__m", "__common", "__g").agg(F.count("*").cast("int").alias("__c"))
+        keys = counted.select(*block, "__n", "__m", "__common", F.explode(F.transform(F.sequence(F.lit(1), F.col("__c")), lambda i: F.concat("__g", i.cast("string")))).alias("__g"))
+        often = keys.groupBy(*block, "__g").agg(F.count("*").alias("__f"))
+        rare = F.row_number().over(Window.partitionBy(*block, "__n").orderBy("__f", "__g"))
+        index = keys.join(often, [*block, "__g"]).withColumn("__r", rare).withColumn("__e", F.least(F.lit(FURTHER), F.col("__common") - 1)).where(F.col("__r") <= F.col("__m") - (q - 1) - F.col("__common") + 1 + F.col("__e")).select(*block, "__g", "__n", "__m", "__e")
+        index = store(index) if store else index
+        met = side(index, 1).withColumnRenamed("__g1", "__g").join(side(index, 2).withColumnRenamed("__g2", "__g"), [*block, "__g"]).where(bound)
+        met = met.groupBy(*block, "__n1", "__n2").agg(F.count("*").alias("__c"), F.least(F.min("__e1"), F.min("__e2")).alias("__e")).where("__c > __e")
+        short = rows.where(common <= 0)
+        lengths = F.sequence(F.ceil(F.col("__m") * score / (2 - score)).cast("int"), F.floor(F.col("__m") * (2 - score) / score + ROUNDING).cast("int"))
+        asks = short.select(*block, F.col("__n").alias("__a"), F.explode(lengths).alias("__m"))
+        near = asks.join(rows.drop("__t"), [*block, "__m"])
+        turned = near.select(*block, F.least("__a", "__n").alias("__n1"), F.greatest("__a", "__n").alias("__n2"))
+        met = met.select(*block, "__n1", "__n2").union(turned)
+    met = met.select(*block, F.col("__n1").alias("__x"), F.col("__n2").alias("__y")).distinct()
+    met = store(met) if store else met
+    scored = met.select("__x", "__y").distinct().withColumn("fuzz", matching.fuzz_score_udf("__x", "__y")).where(F.col("fuzz") >= least)
+    return met.join(scored, ["__x", "__y"]).select(*block, "__x", "__y", "fuzz")
+
+
+def similar_pairs(entities: DataFrame, block: list[str], name: str, least: float, condition: Column | None = None, uri: str = "uri", store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a_*, b_*, fuzz) of entities of a block whose names score ``least`` or more.
 
-    Distinct names of a block are paired and scored first.  Their tokens in sorted order have a ratio of at most
-    2 * shorter / (shorter + longer), so pairs of very different lengths are dropped before the kernel sees them; only
-    names that are alike are then expanded to their entities.
+    Distinct names of a block are matched first (``similar_names``); only those that are alike are then expanded to
+    their entities.
     """
-    names = entities.where(F.col(name).isNotNull()).select(*block, F.col(name).alias("__name")).distinct()
-    names = names.withColumn("__length", F.length(normalize_tokens(F.col("__name"))))
-    x = names.select(*block, F.col("__name").alias("__x"), F.col("__length").alias("__m"))
-    y = names.select(*block, F.col("__name").alias("__y"), F.col("__length").alias("__n"))
-    bound = 2 * F.least("__m", "__n") >= F.lit(least - 1e-9) * (F.col("__m") + F.col("__n"))
-    alike = x.join(y, block).where((F.col("__x") <= F.col("__y")) & bound)
-    scored = alike.select("__x", "__y").distinct().withColumn("fuzz", matching.fuzz_score_udf("__x", "__y")).where(F.col("fuzz") >= least)
-    kept = alike.select(*block, "__x", "__y").join(scored, ["__x", "__y"])
+    kept = similar_names(entities, block, name, least, store)
     a = entities.select(*[F.col(c).alias(c if c in block else f"a_{c}") for c in entities.columns])
     b = entities.select(*[F.col(c).alias(c if c in block else f"b_{c}") for c in entities.columns])
     # Either name of an unordered pair may be that of the entity with the smaller URI.
-    turned = kept.select(*block, "__x", "__y", "fuzz").unionByName(kept.where("__x <> __y").select(*block, F.col("__y").alias("__x"), F.col("__x").alias("__y"), "fuzz"))
+    turned = kept.unionByName(kept.where("__x <> __y").select(*block, F.col("__y").alias("__x"), F.col("__x").alias("__y"), "fuzz"))
     joined = turned.join(a.withColumn("__x", F.col(f"a_{name}")), [*block, "__x"]).join(b.withColumn("__y", F.col(f"b_{name}")), [*block, "__y"]).where(F.col(f"a_{uri}") < F.col(f"b_{uri}")).drop("__x", "__y")
     return joined if condition is None else joined.where(condition)
 

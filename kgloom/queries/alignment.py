@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import columns
 from ..functions.columns import cosine
 from ..operators import alignment as A
+from ..operators import vectors
+from ..session import store
 from ..views import NS, Views, with_views
 from .scalars import _TOKENS
 
@@ -41,7 +43,7 @@ def _scored(v: Views) -> DataFrame:
 
 def _alike(v: Views, least: float, condition=None) -> DataFrame:
     """Pairs whose names score ``least`` or more: names are scored before entities are paired."""
-    return A.similar_pairs(v.entities, ["type", "brand"], "name", least, condition)
+    return A.similar_pairs(v.entities, ["type", "brand"], "name", least, condition, store=store)
 
 
 @register("SELECT a_uri, b_uri FROM (" + _PAIRS + ")", "entities")
@@ -126,6 +128,27 @@ def semantic_similarity(v: Views) -> DataFrame:
     return left.join(right, "label").where("a < b").select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("score"))
 
 
+def _asks(v: Views) -> tuple[DataFrame, DataFrame]:
+    t = v.table("embeddings")
+    return t, t.where("vec_id % 100 = 0")
+
+
+@register(None)
+def nearest_vectors(v: Views) -> DataFrame:
+    """The ten nearest of its label of every hundredth vector, through the index; tests measure what it finds."""
+    found = vectors.nearest(*_asks(v), 10)
+    return found.select("a", "rank", "b", F.round("score", 6).alias("score"))
+
+
+@register("""SELECT a, rank::INTEGER AS rank, b, round(score, 6) AS score FROM (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 10""")
+def nearest_exact(v: Views) -> DataFrame:
+    """The same against all vectors of the label."""
+    found = vectors.nearest(*_asks(v), 10, exact=True)
+    return found.select("a", "rank", "b", F.round("score", 6).alias("score"))
+
+
 # ---- lookup ---------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import confidence as C
+from ..operators import intervals
 from ..operators.passages import find_values
+from ..session import store
 from ..views import Views, with_views
 
 QUERIES: dict = {}
@@ -47,30 +49,27 @@ _SECTION = "'# ' || source || chr(10) || text || chr(10) || '## end' || chr(10)
 
 @register("SELECT a.stmt_id AS a, b.stmt_id AS b FROM versions a JOIN versions b ON a.doc_id = b.doc_id AND a.stmt_id < b.stmt_id AND a.span_start < b.span_end AND a.span_end > b.span_start", "versions")
 def span_overlap(v: Views) -> DataFrame:
-    """Spans of one document that overlap: an equi-join on the document, with the bounds beside it."""
-    t = v.versions.select("doc_id", "stmt_id", "span_start", "span_end")
-    a, b = t.toDF("doc_id", "a", "s1", "e1"), t.toDF("doc_id", "b", "s2", "e2")
-    return a.join(b, "doc_id").where("a < b and s1 < e2 and e1 > s2").select("a", "b")
+    """Spans of one document that overlap: those that don't hardly meet."""
+    return intervals.overlapping_pairs(v.versions, "doc_id", "span_start", "span_end", "stmt_id").select("a", "b")
 
 
-@register("""SELECT doc_id, x AS start, lead(x) OVER (PARTITION BY doc_id ORDER BY x) AS "end"
-FROM (SELECT doc_id, span_start AS x FROM versions UNION SELECT doc_id, span_end FROM versions) QUALIFY "end" IS NOT NULL""", "versions")
+@register("""SELECT c.doc_id, c.x AS start, c."end", CASE WHEN count(*) FILTER (v.o_kind = 'iri') > 0 THEN 'object' WHEN count(v.stmt_id) > 0 THEN 'subject' END AS role
+FROM (SELECT doc_id, x, lead(x) OVER (PARTITION BY doc_id ORDER BY x) AS "end" FROM (SELECT doc_id, span_start AS x FROM versions UNION SELECT doc_id, span_end FROM versions)) c
+LEFT JOIN versions v ON v.doc_id = c.doc_id AND v.span_start <= c.x AND v.span_end >= c."end" WHERE c."end" IS NOT NULL GROUP BY c.doc_id, c.x, c."end" """, "versions")
 def highlight_segments(v: Views) -> DataFrame:
-    """Cut points of a document's spans, as segments."""
-    from pyspark.sql.window import Window
+    """The pieces that a document's spans cut it into, an object's role before a subject's."""
+    roles = v.versions.withColumn("role", F.when(F.col("o_kind") == "iri", "object").otherwise("subject"))
+    return intervals.segments(roles, "doc_id", "span_start", "span_end", "role", store)
 
-    cuts = v.versions.select("doc_id", F.explode(F.array("span_start", "span_end")).alias("start")).distinct()
-    return cuts.withColumn("end", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))).where("end is not null")
 
-
-@register("""SELECT DISTINCT a.stmt_id, b.span_start, b.span_end, CASE WHEN a.stmt_id = b.stmt_id THEN 0 ELSE 1 END AS rank FROM versions a JOIN versions b ON a.doc_id = b.doc_id
-WHERE a.is_current AND (a.stmt_id = b.stmt_id OR a.span_start <> b.span_start OR a.span_end <> b.span_end)""", "versions")
+@register(""", v AS (SELECT doc_id // 4 AS doc_id, stmt_id, s, o, o_kind, span_start AS a, span_end AS b FROM versions WHERE is_current)
+SELECT stmt_id, a AS span_start, b AS span_end, 'object' AS role, 0 AS rank FROM v WHERE o_kind = 'literal'
+UNION ALL SELECT DISTINCT x.stmt_id, y.a, y.b, 'subject', 1 FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.s = y.s WHERE NOT (x.o_kind = 'literal' AND x.a = y.a AND x.b = y.b)
+UNION ALL SELECT DISTINCT x.stmt_id, y.a, y.b, 'object', 2 FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.o = y.s WHERE x.o_kind = 'iri'""", "versions")
 def display_spans(v: Views) -> DataFrame:
-    """A statement's own span, then those of its subject except an equal one."""
-    t = v.versions.select("doc_id", "stmt_id", "span_start", "span_end")
-    a = v.versions.where("is_current").select("doc_id", "stmt_id", F.col("span_start").alias("s"), F.col("span_end").alias("e"))
-    joined = a.join(t.withColumnRenamed("stmt_id", "other"), "doc_id").where("stmt_id = other or span_start <> s or span_end <> e")
-    return joined.select("stmt_id", "span_start", "span_end", F.when(F.col("stmt_id") == F.col("other"), 0).otherwise(1).alias("rank")).distinct()
+    """A statement's own span, then those of its subject except an equal one, then those of its object."""
+    now = v.versions.where("is_current").withColumn("doc_id", F.floor(F.col("doc_id") / 4))
+    return intervals.shown_spans(now, now)
 
 
 @register("SELECT s, round(sum(confidence::DECIMAL(18, 9))::DOUBLE / count(*), 9) AS mean, count(*) AS n FROM versions GROUP BY s", "versions")

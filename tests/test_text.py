@@ -10,7 +10,9 @@ from hypothesis import strategies as st
 
 from kgloom.functions import matching as M
 from kgloom.functions import spans as P
+from kgloom.operators import alignment
 from kgloom.operators import extraction as E
+from kgloom.session import store
 
 SHORT = st.text("abAB .", max_size=12)
 
@@ -157,3 +159,36 @@ def test_random_spans_lie_in_the_text():
         found = P.find_in(text, value)
         if value.strip():
             assert found is None or 0 <= found.start < found.end <= len(text) and 0 <= found.confidence <= 1
+
+
+def test_similar_names_against_all_pairs(spark):
+    """Any bound, on names that are short, empty, equal but for their order, or written with marks and odd letters."""
+    rng = random.Random(7)
+    words = ["ana", "anna", "Maria", "jo", "x", "ß", "I\u0307z", "e\u0301a", "\u0130zmir", "lee", "leeds", "aaaa", "abab"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(0, 4))) for _ in range(90)} | {"", "!", "a", "b", "ab", "ba", "aaaaaaaa", "aaaaaaaaa"})
+    df = spark.createDataFrame([(b, n) for b in "pq" for n in names if b == "p" or len(n) % 2] + [("p", None)], "block string, name string")
+    for least in (0.6, 0.7, 0.8, 0.9, 1.0):
+        got = {(r.block, r["__x"], r["__y"]): r.fuzz for r in alignment.similar_names(df, ["block"], "name", least).collect()}
+        of = {b: [n for n in names if b == "p" or len(n) % 2] for b in "pq"}
+        want = {(b, x, y): M.fuzz_score(x, y) for b in "pq" for x in of[b] for y in of[b] if x <= y and M.fuzz_score(x, y) >= least}
+        assert got == want, least
+
+
+def test_few_names_of_a_large_block_meet(spark):
+    rng = random.Random(3)
+    syllables = [a + b + c for a in "bcdfghklmnprstvz" for b in "aeiou" for c in ("", "n", "r", "ss", "th")]
+    names = list({" ".join("".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(3)) for _ in range(3000)})
+    names += [n[:-1] + "x" for n in names[:100]]
+    met = []
+
+    def keep(df):
+        out = store(df)
+        if "__y" in out.columns:
+            met.append(out.count())
+        return out
+
+    df = spark.createDataFrame([("one", n) for n in names], "block string, name string")
+    found = {(r["__x"], r["__y"]) for r in alignment.similar_names(df, ["block"], "name", 0.9, keep).where("__x <> __y").collect()}
+    close = {tuple(sorted((n, n[:-1] + "x"))) for n in names[:100] if M.fuzz_score(n, n[:-1] + "x") >= 0.9}
+    assert found >= close and len(close) > 50
+    assert met[0] < len(names) ** 2 / 2 / 20
