@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import threading
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import algebra as A
 from ..session import store
+from ..sources import clients
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
@@ -195,6 +196,9 @@ class _Parser:
             elif self.take("GRAPH"):
                 name = self.term()
                 out.parts.append(("graph", name, self.group()))
+            elif self.take("SERVICE"):
+                silent = self.take("SILENT")
+                out.parts.append(("service", self.iri(), self.group(), silent))
             elif self.take("FILTER"):
                 if self.peek("NOT", "EXISTS"):
                     negated = self.take("NOT")
@@ -449,13 +453,13 @@ class _Compiler:
     """``triples`` (s, p, o, and g where there are several graphs) are what a group sees; ``graph`` is the term of the
     GRAPH part that it stands in."""
 
-    def __init__(self, triples: DataFrame, graph: str | None = None):
-        self.triples, self.graph, self.fresh = triples, graph, 0
+    def __init__(self, triples: DataFrame, graph: str | None = None, services: Mapping[str, Service] | None = None, labels: Sequence[str] = ()):
+        self.triples, self.graph, self.fresh, self.services, self.labels = triples, graph, 0, services or {}, labels
 
     def inside(self, graph: str) -> _Compiler:
         if "g" not in self.triples.columns:
             return self
-        out = _Compiler(self.triples, graph)
+        out = _Compiler(self.triples, graph, self.services, self.labels)
         out.fresh = self.fresh + 1000
         return out
 
@@ -536,10 +540,38 @@ class _Compiler:
                 out = A.exists(out, self.group(part[1]), part[2])
             elif part[0] == "bind":
                 out = out.withColumn(part[2], self.value(part[1]))
+        # Services come last, with what the rest of the group has bound.
+        for part in group.parts:
+            if part[0] == "service":
+                out = self.bound(out, part[1], part[2], part[3])
         for test in filters:
             out = out.where(self.value(test))
         return out
 
+    def bound(self, out: DataFrame, name: str, group: Group, silent: bool) -> DataFrame:
+        """A bind join: the distinct values of the variables that a service needs go to it, and its answers join back.
+
+        A label service needs every variable ``x`` of which ``xLabel`` is asked for, and leaves out no solution.
+        """
+        service = self.services.get(name)
+        if service is None:
+            if silent:
+                return out
+            raise QueryError(f"no client for the service {name}")
+        if isinstance(service, LabelService):
+            said = {t[2][1]: t[3] for t in group.parts if t[0] == "triple" and t[2][0] == "iri"}
+            languages = next((o.split(",") for p, o in said.items() if p.endswith("language")), ["en"])
+            for x in (v for v in self.labels if v in out.columns):
+                values = store(out.select(F.col(f"`{x}`").alias("item")).where("item is not null").distinct())
+                found = service.answers(values, [c.strip() for c in languages]).select(F.col("item").alias(x), F.coalesce("label", "item").alias(f"{x}Label"))
+                out = A.natural_join(out, found, "left")
+            return out
+        names = list(dict.fromkeys(v for part in group.parts if part[0] == "triple" for v in _variables(part)))
+        shared = [v for v in names if v in out.columns]
+        if not shared:
+            raise QueryError(f"the service {name} shares no variable with the pattern around it")
+        return A.natural_join(out, service(store(out.select(*shared).distinct()), group).select(*names))
+
     def value(self, e: tuple) -> Column:
         kind = e[0]
         if kind == "var":
@@ -627,17 +659,71 @@ def _has_aggregate(e: tuple) -> bool:
     return isinstance(e, tuple) and (e[:1] == ("call",) and e[1] in _AGGREGATES or any(_has_aggregate(x) for x in e if isinstance(x, tuple)) or any(_has_aggregate(y) for x in e if isinstance(x, list) for y in x))
 
 
-def run(text: str, triples: DataFrame, aliases: Mapping[str, str] | None = None, graph: str | None = None) -> DataFrame:
+#: What answers a SERVICE part: a function from the distinct bindings (a column for each shared variable) and the
+#: part's group to solutions of all of the group's variables.
+Service = Callable[[DataFrame, Group], DataFrame]
+
+
+@dataclass(frozen=True)
+class LabelService:
+    """Names of things: ``answers`` maps (item) and languages, the preferred one first, to (item, label)."""
+
+    answers: Callable[[DataFrame, list[str]], DataFrame]
+
+
+def service_over(triples: DataFrame) -> Service:
+    """A service that answers from a table: the group's solutions there that agree with the bindings."""
+
+    def run(bindings: DataFrame, group: Group) -> DataFrame:
+        return A.natural_join(_Compiler(triples.select("s", "p", "o")).group(group), bindings)
+
+    return run
+
+
+def labels_over(labels: DataFrame) -> LabelService:
+    """Labels from a table (item, lang, label): of the preferred language that an item has, the smallest label."""
+
+    def answers(items: DataFrame, languages: list[str]) -> DataFrame:
+        place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang"))
+        best = items.join(labels, "item").where(place > 0).groupBy("item").agg(F.min(F.struct(place.alias("place"), "label")).getField("label").alias("label"))
+        return items.join(best, "item", "left")
+
+    return LabelService(answers)
+
+
+def labels_from(call: Callable[[list[str]], list], folder: str, **limits) -> LabelService:
+    """Labels from a client that gets lines of an item and the languages, parted by tabs, and answers with a label or None.
+
+    Answers are kept in ``folder`` (``clients.ask_stored``), so nothing is asked twice, and what stays unanswered has no
+    label.
+    """
+
+    def answers(items: DataFrame, languages: list[str]) -> DataFrame:
+        asked = items.withColumn("input", F.concat_ws("\t", "item", F.lit(",".join(languages))))
+        return asked.join(clients.ask_stored(asked, "input", call, "string", folder, **limits), "input", "left").select("item", F.col("answer").alias("label"))
+
+    return LabelService(answers)
+
+
+def _variables(part: tuple) -> list[str]:
+    """The variables of a triple part."""
+    terms = [part[1], part[3], *([part[2][1]] if part[2][0] == "var" else [])]
+    return [t[1:] for t in terms if isinstance(t, str) and t.startswith("?")]
+
+
+def run(text: str, triples: DataFrame, aliases: Mapping[str, str] | None = None, graph: str | None = None, services: Mapping[str, Service | LabelService] | None = None) -> DataFrame:
     """The solutions of a SELECT query, one row ``answer`` for ASK, or the triples of a CONSTRUCT, over ``triples``.
 
     These are (s, p, o), or (g, s, p, o) with ``graph`` as the one graph that the query is pinned to: other graphs that
-    it names have no triples.  ``aliases`` may say which predicate ``a`` stands for.  Raises ``QueryError`` for a text
+    it names have no triples.  ``aliases`` may say which predicate ``a`` stands for.  ``services`` answer SERVICE parts by
+    their IRI; one without a client is an error, or with SILENT adds nothing.  Raises ``QueryError`` for a text
     that can't be compiled.
     """
     query = parse(text, aliases)
     if graph is not None:
         triples = A.pinned(triples, graph)
-    compiler = _Compiler(triples.select("s", "p", "o", *(["g"] if "g" in triples.columns else [])))
+    labels = list(dict.fromkeys(re.findall(r"[?$](\w+)Label\b", text)))
+    compiler = _Compiler(triples.select("s", "p", "o", *(["g"] if "g" in triples.columns else [])), services=services, labels=labels)
     if query.form == "ask":
         return A.ask(compiler.group(query.where))
     if query.form == "construct":

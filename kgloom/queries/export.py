@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import export as X
+from ..plans.sparql import labels_over, service_over
 from ..plans.sparql import run as sparql
 from ..session import store
 from ..views import NS, Views, with_views
@@ -92,6 +93,31 @@ def user_group(v: Views) -> DataFrame:
     return sparql(_PREFIX + "SELECT ?segment (COUNT(*) AS ?n) { ?c p:segment ?segment } GROUP BY ?segment HAVING (?n > 3) ORDER BY DESC(?n)", v.triples)
 
 
+_LABELS = "labels AS (SELECT '" + NS + "customer/' || c_custkey AS item, unnest(CASE c_custkey % 3 WHEN 0 THEN ['en'] WHEN 1 THEN ['en', 'de'] ELSE ['fr'] END) AS lang, c_name || ' ' || c_custkey % 3 AS label FROM customer)"
+
+
+@register(f""", {_LABELS}, best AS (SELECT item, coalesce(max(label || ' ' || lang) FILTER (lang = 'de'), max(label || ' ' || lang) FILTER (lang = 'en')) AS label FROM labels GROUP BY item)
+SELECT t.s AS c, coalesce(b.label, t.s) AS "cLabel" FROM triples t LEFT JOIN best b ON b.item = t.s WHERE t.p = '{NS}p/segment' AND t.o = 'BUILDING'""", "triples")
+def service_labels(v: Views) -> DataFrame:
+    """A label service beside a pattern: the items that it binds, once each, get a label of the preferred language."""
+    k = F.col("c_custkey")
+    languages = F.when(k % 3 == 0, F.array(F.lit("en"))).when(k % 3 == 1, F.array(F.lit("en"), F.lit("de"))).otherwise(F.array(F.lit("fr")))
+    labels = v.table("customer").select(F.concat(F.lit(f"{NS}customer/"), k).alias("item"), F.explode(languages).alias("lang"), F.concat("c_name", F.lit(" "), k % 3).alias("label"))
+    labels = labels.withColumn("label", F.concat_ws(" ", "label", "lang"))
+    text = f"""PREFIX p: <{NS}p/> PREFIX bd: <http://bd/> PREFIX wikibase: <http://wikibase/>
+      SELECT ?c ?cLabel {{ SERVICE wikibase:label {{ bd:serviceParam wikibase:language "de, en" }} ?c p:segment 'BUILDING' }}"""
+    return sparql(text, v.triples, services={"http://wikibase/label": labels_over(labels)})
+
+
+@register(f"""SELECT a.s AS c, b.o AS n, d.o AS region FROM triples a JOIN triples b ON a.s = b.s JOIN triples c ON c.s = b.o JOIN triples d ON d.s = c.o
+WHERE a.p = '{NS}p/segment' AND a.o = 'BUILDING' AND b.p = '{NS}p/inNation' AND c.p = '{NS}p/inRegion' AND d.p = '{NS}p/name'""", "triples")
+def service_join(v: Views) -> DataFrame:
+    """A pattern that another service answers for the nations that the rest of the query binds."""
+    here, there = v.triples.where(~F.contains("s", F.lit("/nation/")) & ~F.contains("s", F.lit("/region/"))), v.triples
+    text = f"PREFIX p: <{NS}p/> SELECT ?c ?n ?region {{ ?c p:segment 'BUILDING' ; p:inNation ?n SERVICE <http://places/> {{ ?n p:inRegion ?r . ?r p:name ?region }} }}"
+    return sparql(text, here, services={"http://places/": service_over(there)})
+
+
 @register(f"SELECT count(*) > 0 AS answer FROM triples WHERE p = '{NS}p/inRegion'", "triples")
 def user_ask(v: Views) -> DataFrame:
     return sparql(_PREFIX + "ASK { ?n p:inRegion ?r }", v.triples)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from ..functions import matching
 from ..functions.columns import cosine
 from ..operators import alignment as A
 from ..operators import lookup as L
-from ..session import store
+from ..session import store, work_folder
 from ..sources import clients
 from ..views import Views, with_views
 from .alignment import _LCS
@@ -231,10 +233,27 @@ def entity_hits(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.explode(clients.entity_hits(answer)).alias("x")).select("p_partkey", "x.*")
 
 
+def _shout(prompts: list[str]) -> list[str]:
+    return [p.upper() for p in prompts]
+
+
+def _folder(v: Views) -> str:
+    return f"{work_folder(v.spark)}/answers-{uuid.uuid4().hex}"
+
+
 @register("SELECT p_partkey, upper(p_name) AS completion FROM part")
 def complete_prompts(v: Views) -> DataFrame:
     """A language model's client (here one that shouts) over all prompts."""
-    return v.table("part").select("p_partkey", clients.completion(F.col("p_name"), str.upper).alias("completion"))
+    prompts = v.table("part").select("p_partkey", F.col("p_name").alias("prompt"))
+    return clients.completed(prompts, "prompt", _shout, _folder(v)).select("p_partkey", "completion")
+
+
+@register("SELECT DISTINCT p_name AS prompt, upper(p_name) AS answer FROM part WHERE trim(p_name) <> ''")
+def stored_answers(v: Views) -> DataFrame:
+    """Some prompts are asked first, then all: only those without a stored answer go to the client."""
+    prompts, folder = v.table("part").select("p_partkey", F.col("p_name").alias("prompt")), _folder(v)
+    clients.ask_stored(prompts.where("p_partkey % 3 = 0"), "prompt", _shout, "string", folder)
+    return clients.ask_stored(prompts, "prompt", _shout, "string", folder)
 
 
 # ---- scores of names, and settings ----------------------------------------------------------------------------
