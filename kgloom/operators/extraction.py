@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -242,14 +243,19 @@ def parse(text: str, many: frozenset[str] = frozenset(), fields: frozenset[str]
     return {k: [p.strip() for x in v for p in x.split(";") if p.strip()] if k in many else " ".join(v) for k, v in out.items()}
 
 
+def iter_chunks(text: str, size: int) -> Iterator[str]:
+    """Pieces of at most ``size`` characters, one by one, cut at sentence ends where there are any."""
+    at = 0
+    while at < len(text):
+        piece = text[at : at + size]
+        if at + size < len(text):
+            piece = piece[: max((m.end() for m in re.finditer(r"[.!?]\s", piece)), default=size)]
+        yield piece
+        at += len(piece)
+
+
 def chunks(text: str, size: int) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at sentence ends where there are any."""
-    out, rest = [], text
-    while len(rest) > size:
-        cut = max((m.end() for m in re.finditer(r"[.!?]\s", rest[:size])), default=size)
-        out.append(rest[:cut])
-        rest = rest[cut:]
-    return [*out, rest] if rest else out
+    return list(iter_chunks(text, size))
 
 
 def clean_udf(slots: Slots):
@@ -300,9 +306,9 @@ def parse_udf(many: frozenset[str] = frozenset(), fields: frozenset[str] | None
     return run
 
 
-def chunks_udf(size: int):
-    @F.pandas_udf("array<string>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [] if t is None else chunks(t, size))
+@F.udtf(returnType="n: int, chunk: string")
+class ChunkTable:
+    """A table function: the pieces of a text as rows, one by one, however long the text; null has none."""
 
-    return run
+    def eval(self, text: str, size: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(iter_chunks(text or "", size))

@@ -152,7 +152,7 @@ UNION ALL SELECT doc_id, n + 1, left(rest, k), substr(rest, k + 1) FROM (SELECT
 SELECT doc_id, n, chunk FROM c WHERE n >= 0""")
 def chunk_text(v: Views) -> DataFrame:
     """Texts in pieces of at most 500 characters, cut behind sentences where there are any."""
-    return v.table("documents").select("doc_id", F.posexplode(E.chunks_udf(500)("text")).alias("n", "chunk"))
+    return v.table("documents").select("doc_id", "text").lateralJoin(E.ChunkTable(F.col("text").outer(), F.lit(500))).drop("text")
 
 
 @register("SELECT event_id, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'VIEW' WHEN 'purchase' THEN 'purchase' END AS grounded FROM events")

@@ -145,7 +145,7 @@ p AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS raw, generate_subscripts
 c AS (SELECT doc_id, i, replace(raw, chr(2), '') AS raw FROM p), s AS (SELECT doc_id, i, raw, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS n, (before + length(raw) - length(regexp_replace(raw, '^\s+', '')))::INTEGER AS start, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') AS text FROM s WHERE regexp_matches(raw, '\S')""")
 def split_sentences(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.posexplode(P.sentences_udf("text")).alias("n", "x")).select("doc_id", "n", "x.*")
+    return v.table("documents").select("doc_id", F.col("text").alias("whole")).lateralJoin(P.SentenceTable(F.col("whole").outer())).drop("whole")
 
 
 @register(None)

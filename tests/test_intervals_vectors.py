@@ -7,6 +7,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from kgloom.functions.spans import SentenceTable, iter_sentences
+from kgloom.operators import extraction as E
 from kgloom.operators import intervals, vectors
 from kgloom.queries import queries
 from kgloom.session import store
@@ -107,3 +109,20 @@ def test_vectors_without_neighbours(spark):
         got = {(r.a, r["rank"], r.b, round(r.score, 6)) for r in vectors.nearest(df, df, 5, exact=exact).collect()}
         assert got == {(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)}
         assert vectors.nearest(df.where("false"), df.where("false"), 5, exact=exact).count() == 0
+
+
+def test_long_texts_become_rows_one_by_one(spark):
+    """A text of 6 MB: its sentences and chunks come as rows, and only one of them is held at a time."""
+    import tracemalloc
+
+    text = "Some words of Dr. No elsewhere. " * 200_000
+    for rows, least in ((iter_sentences(text), 200_000), (E.iter_chunks(text, 500), 12_000)):
+        tracemalloc.start()
+        assert sum(1 for _ in rows) >= least
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+        tracemalloc.stop()
+    df = spark.createDataFrame([(1, "A b. C d.\n\nE"), (2, None), (3, "")], "id int, text string")
+    got = df.lateralJoin(SentenceTable(F.col("text").outer())).drop(df.text).collect()
+    assert sorted((r.id, r.n) for r in got)[0] == (1, 0) and {r.id for r in got} == {1}
+    pieces = df.lateralJoin(E.ChunkTable(F.col("text").outer(), F.lit(4))).collect()
+    assert "".join(r.chunk for r in sorted(pieces, key=lambda r: r.n)) == "A b. C d.\n\nE"
