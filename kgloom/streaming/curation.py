@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ACTION = "event_id long, chain_id string, at timestamp, action string"
 
@@ -23,16 +21,49 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str | None
     return marked.groupBy(F.window("at", window), "action").agg(F.count("*").alias("n")).select("window.start", "action", "n")
 
 
-def current_status(events: DataFrame) -> DataFrame:
-    """(chain_id, version, action): a row for each batch in which a chain moved on; late events change nothing."""
+STATUS = "chain_id string, version long, action string, closed boolean"
+#: The store of keyed state that expires (RocksDB), to be set in the session: state isn't held on the heap.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Chain(StatefulProcessor):
+    """A chain's number of actions and its last one, by time and then by event, until nothing has come for a while."""
+
+    def __init__(self, rest_ms: int):
+        self.rest_ms = rest_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("chain", "version long, at long, event long, action string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        version, last = 0, (-1, -1, None)
+        if self.state.exists():
+            version, *last = self.state.get()
+        for frame in rows:
+            version += len(frame)
+            moments = frame["at"].astype("datetime64[us]").astype("int64") // 1000
+            last = max([tuple(last), *zip(moments.tolist(), frame["event_id"].tolist(), frame["action"].tolist(), strict=True)], key=lambda x: x[:2])
+        self.state.update((version, *last))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(last[0]) + self.rest_ms)
+        yield pd.DataFrame({"chain_id": [key[0]], "version": [version], "action": [last[2]], "closed": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        version, _, _, action = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"chain_id": [key[0]], "version": [version], "action": [action], "closed": [True]})
+
+    def close(self) -> None:
+        pass
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, action, last = state.get if state.exists else (0, None, -1)
-        for frame in frames:
-            for at, _, name in sorted(zip(frame["at"].astype("int64"), frame["event_id"], frame["action"], strict=True)):
-                if at > last:
-                    version, action, last = version + 1, name, int(at)
-        state.update((version, action, last))
-        yield pd.DataFrame({"chain_id": [key[0]], "version": [version], "action": [action]})
+def current_status(events: DataFrame, late: str = "1 hour", rest_ms: int = 24 * 3_600_000) -> DataFrame:
+    """(chain_id, version, action, closed): a row for each batch in which a chain moved on, and one as it closes.
 
-    return events.groupBy("chain_id").applyInPandasWithState(step, "chain_id string, version long, action string", "version long, action string, last long", "update", GroupStateTimeout.NoTimeout)
+    ``version`` counts a chain's events and ``action`` is that of the last one by time, ties by event, so the order in
+    which they come within ``late`` doesn't matter.  Once the watermark is ``rest_ms`` behind a chain's last event its
+    state is dropped; an event after that begins anew.  The session needs ``STATE_STORE``.
+    """
+    return events.withWatermark("at", late).groupBy("chain_id").transformWithStateInPandas(_Chain(rest_ms), STATUS, "Update", "EventTime")

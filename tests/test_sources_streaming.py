@@ -59,5 +59,22 @@ def test_stream(spark, tmp_path):
 
     counts = run(curation.windowed_counts(curation.deduplicated(source()), late=None), "counts", "append")
     assert {(r.start.hour, r.action): r.n for r in counts} == {(1, "extract"): 2, (1, "accept"): 1}
-    status = run(curation.current_status(source()), "status", "update")
-    assert {r.chain_id: (r.version, r.action) for r in status} == {"a": (3, "reset"), "b": (1, "extract")}
+
+
+def test_status_in_any_order_and_its_end(spark, tmp_path):
+    """Batches of a log in any order within the watermark end as the whole log does; chains at rest lose their state."""
+    spark.conf.set(*curation.STATE_STORE)
+    at = lambda h, m: datetime.datetime(2026, 1, 1, h, m)
+    log = [(i, f"c{i % 3}", at(1, (i * 7) % 50), f"act{i}") for i in range(12)]
+    want = {c: (4, max((r for r in log if r[1] == c), key=lambda r: (r[2], r[0]))[3]) for c in ("c0", "c1", "c2")}
+    for n, order in enumerate((log, log[::-1])):
+        folder, seen = tmp_path / f"in{n}", []
+        for batch in [order[:5], order[5:], [(90, "c9", at(9, 0), "other")], [(91, "c9", at(9, 1), "other")], [(92, "c0", at(9, 2), "again")]]:
+            spark.createDataFrame(batch, curation.ACTION).coalesce(1).write.mode("append").parquet(str(folder))
+            events = spark.readStream.schema(curation.ACTION).parquet(str(folder))
+            status = curation.current_status(events, "1 hour", 60_000)
+            query = status.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / f"cp{n}")).trigger(availableNow=True).start()
+            query.awaitTermination(120)
+        closed = {r.chain_id: (r.version, r.action) for r in seen if r.closed}
+        assert {c: closed[c] for c in want} == want
+        assert [(r.version, r.action) for r in seen if r.chain_id == "c0" and not r.closed][-1] == (1, "again")
