@@ -44,6 +44,12 @@ def check_weights(weights: dict[str, float], where: str) -> None:
         raise ValueError(f"the weights of {where} sum to {sum(weights.values()):.6f}, not to 1")
 
 
+def valid_weights(*weights: Column) -> Column:
+    """Whether the weights of a row sum to 1; null is no weight, and none at all are allowed."""
+    given = F.filter(F.array(*weights), lambda w: w.isNotNull())
+    return (F.size(given) == 0) | (F.abs(F.aggregate(given, F.lit(0.0), lambda a, w: a + w) - 1) <= 1e-6)
+
+
 def settings_of(config: dict, kind: str) -> dict:
     """A type's settings: its own, or else those for all types (``default_*``), or else the built-in ones."""
     own, shared = config.get("entity_types", {}).get(kind, {}), config.get("settings", {})

@@ -114,6 +114,45 @@ def queries(entities: DataFrame, source: Source) -> DataFrame:
     return rows.groupBy("uri", "query").agg(F.min("at").alias("at")).select("uri", "at", "query")
 
 
+# ---- derived literals -----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Derivation:
+    """A literal ``name`` that entities of a type get: from their own ``literal``, as its part after the last slash, or
+    with ``relation`` from that literal of the entities that the relation leads to, or with ``incoming`` comes from."""
+
+    type: str
+    name: str
+    literal: str
+    relation: str | None = None
+    incoming: bool = False
+
+
+def derive(entities: DataFrame, relations: DataFrame, rules: list[Derivation]) -> DataFrame:
+    """``entities`` with the literals that ``rules`` derive, from the literals as they were given.
+
+    ``relations`` are (s, p, o) between entities.  A literal's values are distinct, in the order of the entity that they
+    come from; one that a rule finds nothing for stays as it is, and of several rules for a name the last that finds
+    something counts.  Related entities that aren't there, and null values, give nothing.
+    """
+    table = [(i, r.type, r.name, r.literal, r.relation, r.incoming) for i, r in enumerate(rules)]
+    known = F.broadcast(entities.sparkSession.createDataFrame(table, "rule int, type string, name string, literal string, relation string, incoming boolean"))
+    values = entities.select("uri", F.explode("literals").alias("literal", "xs")).select("uri", "literal", F.posexplode("xs").alias("place", "value")).where("value is not null")
+    typed = entities.select("uri", "type")
+    own = typed.join(known.where("relation is null"), "type").join(values, ["uri", "literal"])
+    own = own.select("uri", "rule", "name", F.lit("").alias("via"), "place", F.element_at(F.split("value", "/"), -1).alias("value"))
+    ends = F.array(F.struct(F.col("s").alias("uri"), F.col("o").alias("via"), F.lit(False).alias("incoming")), F.struct(F.col("o").alias("uri"), F.col("s").alias("via"), F.lit(True).alias("incoming")))
+    links = relations.select(F.col("p").alias("relation"), F.explode(ends).alias("e")).select("relation", "e.*").join(known.where("relation is not null"), ["relation", "incoming"])
+    found = links.join(typed, ["uri", "type"]).join(values.withColumnRenamed("uri", "via"), ["via", "literal"]).select("uri", "rule", "name", "via", "place", "value")
+    first = own.unionByName(found).groupBy("uri", "rule", "name", "value").agg(F.min(F.struct("via", "place")).alias("at"))
+    lists = first.groupBy("uri", "rule", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("value"))
+    last = lists.groupBy("uri", "name").agg(F.max(F.struct("rule", "value")).getField("value").alias("value"))
+    more = last.groupBy("uri").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__more"))
+    joined = F.map_concat(F.map_filter("literals", lambda k, _: ~F.array_contains(F.map_keys("__more"), k)), "__more")
+    return entities.join(more, "uri", "left").withColumn("literals", F.when(F.col("__more").isNull(), F.col("literals")).otherwise(joined)).drop("__more")
+
+
 # ---- candidates -----------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns
 from ..functions.columns import cosine
 from ..operators import alignment as A
+from ..operators import lookup as L
 from ..operators import vectors
 from ..session import store
 from ..views import NS, Views, with_views
@@ -152,12 +153,22 @@ def nearest_exact(v: Views) -> DataFrame:
 # ---- lookup ---------------------------------------------------------------------------------------------------
 
 
-@register(f"""SELECT c.s AS entity, n.o AS derived FROM triples c JOIN triples n ON c.o = n.s AND n.p = '{NS}p/name' WHERE c.p = '{NS}p/inNation'""", "triples")
+_P = f"{NS}p/"
+
+
+@register(f"""SELECT a.s AS uri, 'nation' AS name, n.o AS value FROM triples a JOIN triples n ON a.o = n.s AND n.p = '{_P}name' WHERE a.p = '{_P}inNation'
+UNION ALL SELECT DISTINCT a.o, 'segments', c.o FROM triples a JOIN triples c ON a.s = c.s AND c.p = '{_P}segment' WHERE a.p = '{_P}inNation'
+UNION ALL SELECT s, 'tail', o FROM triples WHERE p = '{_P}name' AND contains(s, '/region/')""", "triples")
 def derive_literals(v: Views) -> DataFrame:
-    """A literal of the entity that a relation leads to."""
-    links = v.triples.where(F.col("p") == f"{NS}p/inNation").select(F.col("s").alias("entity"), F.col("o").alias("via"))
-    names = v.triples.where(F.col("p") == f"{NS}p/name").select(F.col("s").alias("via"), F.col("o").alias("derived"))
-    return links.join(names, "via").select("entity", "derived")
+    """Literals that entities get along a relation, against one, and from their own."""
+    cell = F.map_from_entries(F.array(F.struct(F.substring_index("p", "/", -1).alias("k"), F.array("o").alias("v"))))
+    literals = v.triples.where("o_kind = 'literal'").groupBy("s").agg(F.aggregate(F.collect_list(cell), F.create_map().cast(L.LITERALS), lambda a, x: F.map_concat(a, x)).alias("literals"))
+    kinds = v.triples.where(F.col("p") == f"{_P}type").select("s", F.substring_index("o", "/", -1).alias("type"))
+    entities = kinds.join(literals, "s").select(F.col("s").alias("uri"), "type", "literals")
+    relations = v.triples.where("o_kind = 'iri'").select("s", F.substring_index("p", "/", -1).alias("p"), "o")
+    rules = [L.Derivation("Customer", "nation", "name", "inNation"), L.Derivation("Nation", "segments", "segment", "inNation", True), L.Derivation("Region", "tail", "name"), L.Derivation("Region", "none", "name", "placedBy")]
+    found = L.derive(entities, relations, rules).select("uri", F.explode("literals").alias("name", "values")).where("name in ('nation', 'segments', 'tail', 'none')")
+    return found.select("uri", "name", F.explode("values").alias("value"))
 
 
 _HITS = """hits AS (SELECT a.uri, b.uri AS candidate, b.type, a.size = b.size AS verified,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import export as X
-from ..plans.sparql import labels_over, service_over
+from ..plans.sparql import labels_over, service_over, within
 from ..plans.sparql import run as sparql
 from ..session import store
 from ..views import NS, Views, with_views
@@ -118,6 +118,13 @@ def service_join(v: Views) -> DataFrame:
     return sparql(text, here, services={"http://places/": service_over(there)})
 
 
+@register(f"SELECT s AS c, o AS n FROM triples WHERE p = '{NS}p/name' AND contains(s, '/customer/')", "triples")
+def timed_query(v: Views) -> DataFrame:
+    """A user's query that ends, or is cancelled, within its time limit: its result is stored by then."""
+    found = sparql(f"PREFIX p: <{NS}p/> SELECT ?c ?n {{ ?c p:name ?n ; p:segment ?s }}", v.triples)
+    return within(found, 600.0, store)
+
+
 @register(f"SELECT count(*) > 0 AS answer FROM triples WHERE p = '{NS}p/inRegion'", "triples")
 def user_ask(v: Views) -> DataFrame:
     return sparql(_PREFIX + "ASK { ?n p:inRegion ?r }", v.triples)

@@ -252,3 +252,14 @@ def test_intermediate_tables_can_be_cleared(spark):
     assert kept.count() == 5 and any(folder.iterdir())
     clear(spark)
     assert not folder.exists() and store(spark.range(2).toDF("id")).count() == 2
+
+
+def test_derived_literals(spark):
+    """Both directions, missing and null values, several rules for a name, repeated relations."""
+    rows = [("a", "P", {"id": ["http://x/1", "http://y/1", "2"]}), ("b", "P", {"id": []}), ("o", "O", {"name": ["N", None]}), ("w", "W", {"doi": ["d2", "d1"]}), ("v", "W", {"doi": ["d1"]})]
+    entities = spark.createDataFrame(rows, f"uri string, type string, literals {L.LITERALS}")
+    relations = spark.createDataFrame([("w", "author", "a"), ("w", "author", "a"), ("v", "author", "a"), ("a", "at", "o"), ("b", "at", "gone"), ("o", "at", "o")], "s string, p string, o string")
+    rules = [L.Derivation("P", "key", "id"), L.Derivation("P", "doi", "doi", "author", True), L.Derivation("P", "place", "id"), L.Derivation("P", "place", "name", "at")]
+    got = {r.uri: r.literals for r in L.derive(entities, relations, rules).collect()}
+    assert got["a"] == {"id": ["http://x/1", "http://y/1", "2"], "key": ["1", "2"], "doi": ["d1", "d2"], "place": ["N"]}
+    assert got["b"] == {"id": []} and got["o"] == {"name": ["N", None]} and len(got) == 5
