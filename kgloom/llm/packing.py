@@ -10,6 +10,7 @@ gaps that rounding lengths up to bins has left, a fragment each, and then window
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -72,8 +73,11 @@ class ChunkTokenizer(dict):
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.short = said.get("normalizer") == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[-1].get("type") == "ByteLevel"
         self.marks = [t["content"] for t in said.get("added_tokens", [])]
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = "".join([letters[b] for b in range(256)])
         self.merge = self.inner.model.tokenize
+        last = max(self.inner.get_vocab(with_added_tokens=True).values(), default=-1)
+        self.bytes_of = [i.to_bytes(self.size, "little") for i in range(last + 1)]
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > self.limit:
@@ -88,7 +92,7 @@ class ChunkTokenizer(dict):
             if low != chunk:
                 out = self[low] + self[tail] if tail else self[low]
             else:
-                out = self._ids(self.merge("".join([self.letters[b] for b in low.encode()])))
+                out = self._ids(self.merge(codecs.charmap_decode(low.encode(), "strict", self.letters)[0]))
         elif self.short and chunk.isascii() and chunk.isprintable() and not any(m in chunk for m in self.marks):
             out = b"".join([self._ids(self.merge(part)) for part in _ASCII_SPLIT.findall(chunk.lower())])
         else:
@@ -97,7 +101,8 @@ class ChunkTokenizer(dict):
         return out
 
     def _ids(self, tokens: list) -> bytes:
-        return b"".join([t.id.to_bytes(self.size, "little") for t in tokens])
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in tokens])
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         return [b"".join(map(self.__getitem__, _chunks(t))) if t else b"" for t in texts]
