@@ -192,3 +192,21 @@ def test_few_names_of_a_large_block_meet(spark):
     close = {tuple(sorted((n, n[:-1] + "x"))) for n in names[:100] if M.fuzz_score(n, n[:-1] + "x") >= 0.9}
     assert found >= close and len(close) > 50
     assert met[0] < len(names) ** 2 / 2 / 20
+
+
+@given(st.text("aB *_`–—\n\t\u2003\U0001f600", max_size=40), st.booleans())
+def test_collapsed_texts_have_small_places(text, marks):
+    out, places = [], []
+    for i, c in enumerate(text):
+        if marks and c in "*_`" or c.isspace() and (not out or out[-1] == " "):
+            continue
+        out.append(" " if c.isspace() else "-" if marks and c in "–—" else c)
+        places.append(i)
+    flat, found = P.collapse(text, marks)
+    assert (flat, list(found)) == ("".join(out), places) and found.nbytes == 4 * len(places)
+
+
+def test_collapse_keeps_nulls(spark):
+    got = spark.createDataFrame([(1, None), (2, " a  b")], "n int, t string").select("n", P.collapse_udf(False)("t").alias("x")).orderBy("n").collect()
+    assert got[0]["x"] is None or got[0]["x"]["flat"] is None
+    assert got[1]["x"].asDict() == {"flat": "a b", "places": [1, 2, 4]}
