@@ -81,3 +81,11 @@ def test_every_user_and_statement_takes_part(spark, tmp_path):
     )
     rows = {name: library.queries()[f"{name}"](spark, folder).count() for name in ("user_workspaces", "path_star", "path_plus", "path_inverse")}
     assert rows == {"user_workspaces": 3, "path_star": 9, "path_plus": 6, "path_inverse": 9}
+
+
+def test_relocate_spans_gives_rows_as_they_come(spark, tmp_path):
+    folder = _written(spark, tmp_path, documents=([(1, "a b a"), (2, None), (3, "")], "doc_id long, text string"))
+    got = library.queries()["relocate_spans"](spark, folder)
+    assert sorted(map(tuple, got.collect()))[0][:2] == (1, "a") and got.count() == 3
+    # No array holds the rows of a text, let alone of a batch of texts.
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
