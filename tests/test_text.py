@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -210,3 +211,13 @@ def test_collapse_keeps_nulls(spark):
     got = spark.createDataFrame([(1, None), (2, " a  b")], "n int, t string").select("n", P.collapse_udf(False)("t").alias("x")).orderBy("n").collect()
     assert got[0]["x"] is None or got[0]["x"]["flat"] is None
     assert got[1]["x"].asDict() == {"flat": "a b", "places": [1, 2, 4]}
+
+
+def test_windows_are_given_for_few_texts_at_a_time(spark):
+    assert [len(x) for x in P.few([pa.array(range(130)), pa.array([1])])] == [64, 64, 2, 1]
+    seen = []
+
+    def noted(texts):
+        return (x for x in P.windows_udf({"head": P.Window("head", 3)}).func(seen.append(len(t)) or t for t in texts))
+
+    assert [len(x) for x in noted([pa.array(["abcd", None] * 100)])] == [64, 64, 64, 8] and seen == [200]
