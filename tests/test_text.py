@@ -221,3 +221,13 @@ def test_windows_are_given_for_few_texts_at_a_time(spark):
         return (x for x in P.windows_udf({"head": P.Window("head", 3)}).func(seen.append(len(t)) or t for t in texts))
 
     assert [len(x) for x in noted([pa.array(["abcd", None] * 100)])] == [64, 64, 64, 8] and seen == [200]
+
+
+def test_a_cut_stretch_is_not_in_its_window():
+    text, tail = "x" * 50 + " needle here", [P.Window("tail", 11)]
+    assert P.find_span(text, " needle here", tail, exact_only=True)[2:] == (0.9, True)
+    assert P.find_span(text, " needle here", tail, exact_only=True, rungs=P.LITERAL) == (50, 62, 0.8, False)
+
+
+def test_penalties_round_halves_up():
+    assert [P._rounded(x) for x in (0.57095, 0.74195, 0.64125, 0.25, 0.99995)] == [0.571, 0.742, 0.6413, 0.25, 1.0]
