@@ -79,18 +79,18 @@ def type_index(triples: DataFrame, type_predicate: str) -> DataFrame:
     return triples.where((F.col("p") == type_predicate) & (F.col("o_kind") == "iri")).groupBy("s").agg(F.array_sort(F.collect_set(local_name(F.col("o")))).alias("types"))
 
 
-def annotate_literals(triples: DataFrame, docs: DataFrame, windows: Mapping[str, list[Part]] | None = None, exact: frozenset[str] = frozenset(), penalties: Penalties = Penalties(), type_predicate: str = "type") -> DataFrame:
+def annotate_literals(triples: DataFrame, docs: DataFrame, windows: Mapping[str, list[Part]] | None = None, exact: frozenset[str] = frozenset(), penalties: Penalties = Penalties(), type_predicate: str = "type", literal: frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, s, p, o, start, end, confidence, in_window) of the literals that are found in their document.
 
     ``triples`` (doc_id, s, p, o, o_kind) count if their object is a literal, or an IRI of a predicate in ``exact``;
-    these are matched by the strict rungs only.  ``windows`` are given by the predicate's local name.  A document's text
+    these are matched by the strict rungs only, and predicates in ``literal`` letter by letter.  ``windows`` are given by the predicate's local name.  A document's text
     is joined once to the list of its values, not to each of them.
     """
     name = local_name(F.col("p"))
     wanted = triples.where((name != type_predicate) & ((F.col("o_kind") == "literal") | name.isin(list(exact)))).withColumn("name", name)
     lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("name", F.col("o").alias("value"))).alias("values"))
     found = docs.select("doc_id", "text").join(lists, "doc_id")
-    rows = found.select("doc_id", F.explode(find_spans_udf(windows or {}, penalties, exact)("text", "values")).alias("x")).select("doc_id", "x.*")
+    rows = found.select("doc_id", F.explode(find_spans_udf(windows or {}, penalties, exact, literal=literal)("text", "values")).alias("x")).select("doc_id", "x.*")
     rows = rows.withColumn("confidence", F.round("confidence", 4))
     return wanted.join(rows, (wanted["doc_id"] == rows["doc_id"]) & (wanted["name"] == rows["name"]) & (F.col("o") == F.col("value"))).select(wanted["doc_id"], "s", "p", "o", "start", "end", "confidence", "in_window")
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from kgloom import queries as library
 from kgloom.functions import matching as M
 from kgloom.functions import spans as P
+from kgloom.operators import confidence as C
 from kgloom.views import NS
 
 
@@ -89,3 +90,11 @@ def test_relocate_spans_gives_rows_as_they_come(spark, tmp_path):
     assert sorted(map(tuple, got.collect()))[0][:2] == (1, "a") and got.count() == 3
     # No array holds the rows of a text, let alone of a batch of texts.
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_literals_are_annotated_letter_by_letter(spark):
+    text = "x" * 50 + " needle here"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    triples = spark.createDataFrame([(1, "s", "quote", " needle here", "literal")], "doc_id long, s string, p string, o string, o_kind string")
+    got = C.annotate_literals(triples, docs, {"quote": [P.Window("tail", 11)]}, exact=frozenset(["quote"]), literal=frozenset(["quote"])).first()
+    assert (got["start"], got["confidence"], got["in_window"]) == (50, 0.8, False)
