@@ -98,3 +98,9 @@ def test_literals_are_annotated_letter_by_letter(spark):
     triples = spark.createDataFrame([(1, "s", "quote", " needle here", "literal")], "doc_id long, s string, p string, o string, o_kind string")
     got = C.annotate_literals(triples, docs, {"quote": [P.Window("tail", 11)]}, exact=frozenset(["quote"]), literal=frozenset(["quote"])).first()
     assert (got["start"], got["confidence"], got["in_window"]) == (50, 0.8, False)
+
+
+def test_merge_chunks_keeps_a_last_zero(spark, tmp_path):
+    rows = [(1, 7, "view", 2.5), (2, 7, "error", 0.0)]
+    got = library.queries()["merge_chunks"](spark, _written(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string, value double"))).first()
+    assert tuple(got) == (7, 0.0, "error,view", "view")
