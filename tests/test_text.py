@@ -231,3 +231,25 @@ def test_a_cut_stretch_is_not_in_its_window():
 
 def test_penalties_round_halves_up():
     assert [P._rounded(x) for x in (0.57095, 0.74195, 0.64125, 0.25, 0.99995)] == [0.571, 0.742, 0.6413, 0.25, 1.0]
+
+
+@given(SHORT, SHORT)
+def test_best_stretch_passes_over_none_that_is_better(a, b):
+    if a and len(a) <= len(b):
+        every = [_table(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)]
+        assert M.best_stretch(a, b) == (max(every), every.index(max(every)))
+
+
+@given(SHORT, SHORT)
+def test_partial_ratio_is_the_best_of_all_stretches(a, b):
+    a, b = sorted((a, b), key=len)
+    n = len(a)
+    stretches = [b[i : i + n] for i in range(len(b) - n + 1)] + [x for i in range(1, n) for x in (b[:i], b[-i:])]
+    wanted = max((2 * _table(a, s) / (n + len(s)) for s in stretches), default=0.0) if a else 0.0 if b else 1.0
+    assert M.partial_ratio(a, b) == wanted
+
+
+def test_similar_stretches_of_a_long_text_are_passed_over(monkeypatch):
+    looked, common = [], M._common
+    monkeypatch.setattr(M, "_common", lambda hits, full: looked.append(1) or common(hits, full))
+    assert M.best_stretch("needle in the hay", "abcdefgh" * 100 + "needle is the hay" + "abcdefgh" * 100) == (16, 800) and len(looked) < 800
